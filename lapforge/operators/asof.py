@@ -15,7 +15,7 @@ from lapforge.session import written
 def _interleave(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, rt: str, tie: str,
                 cols: Sequence[str]) -> Ordered:
     """Both streams in one order; a right row sorts before a left row of the same time."""
-    payload = F.struct(F.col(rt).alias("t"), *[F.col(c) for c in cols])
+    payload = F.struct(F.col(rt).alias("_at"), *[F.col(c) for c in cols])
     lhs = left.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"),
                       F.struct(*left.columns).alias("_l"))
     rhs = right.select(*keys, F.col(rt).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"),
@@ -37,12 +37,12 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tie: st
         hit = F.col("_p")
     else:
         o = o.running(_p=("last", "_r"), _n=("next", "_r"))
-        dp, dn = F.col("_t") - F.col("_p.t"), F.col("_n.t") - F.col("_t")
+        dp, dn = F.col("_t") - F.col("_p._at"), F.col("_n._at") - F.col("_t")
         hit = F.when(F.col("_p").isNotNull() & (F.col("_n").isNull() | (dp <= dn)), F.col("_p")).otherwise(F.col("_n"))
     if tolerance is not None:
-        hit = F.when(F.abs(hit["t"] - F.col("_t")) <= tolerance, hit)
+        hit = F.when(F.abs(hit["_at"] - F.col("_t")) <= tolerance, hit)
     d = o.df.where("_side = 1").withColumn("_h", hit)
-    return d.select("_l.*", F.col("_h.t").alias(f"{prefix}t"), *[F.col(f"_h.{c}").alias(f"{prefix}{c}") for c in cols])
+    return d.select("_l.*", F.col("_h._at").alias(f"{prefix}t"), *[F.col(f"_h.{c}").alias(f"{prefix}{c}") for c in cols])
 
 
 def bracket(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tie: str, cols: Sequence[str],
@@ -56,8 +56,8 @@ def bracket(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tie:
 def lerp(t: Column, col: str, edge: str = "clamp") -> Column:
     """Value at ``t`` between the knots ``p`` and ``q``; outside them clamp or NULL."""
     p, q = F.col("p"), F.col("q")
-    w = (t - p["t"]) / F.nullif(q["t"] - p["t"], F.lit(0).cast("double"))
-    mid = F.when(p["t"] == t, p[col]).when(
+    w = (t - p["_at"]) / F.nullif(q["_at"] - p["_at"], F.lit(0).cast("double"))
+    mid = F.when(p["_at"] == t, p[col]).when(
         p.isNotNull() & q.isNotNull(), p[col] + (q[col] - p[col]) * F.coalesce(w, F.lit(0.0)))
     if edge == "null":
         return mid
@@ -78,7 +78,7 @@ def interpolate(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str,
         before=1, after=1)
     d = bracket(left, knots.df, keys, t, tie, [*cols, *[f"_s_{c}" for c in cols]], rt)
     k = F.coalesce("p", "q")
-    return d.withColumns({c: k[c] + (F.col(t) - k["t"]) * F.coalesce(k[f"_s_{c}"], F.lit(0.0)) for c in cols}).drop("p", "q")
+    return d.withColumns({c: k[c] + (F.col(t) - k["_at"]) * F.coalesce(k[f"_s_{c}"], F.lit(0.0)) for c in cols}).drop("p", "q")
 
 
 def interpolate_angle(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tie: str, angle: str) -> DataFrame:
@@ -170,10 +170,10 @@ def fix_provenance(rows: DataFrame, fixes: DataFrame, keys: Sequence[str], t: st
     the last one (0.05 a row down to 0.1), dropped before the first."""
     o = _interleave(rows, fixes, keys, t, t, tie, cols).running(p=("last", "_r"), q=("next", "_r"))
     o = o.where("_side = 1 and p is not null")
-    past = F.when(F.col("q").isNull() & (F.col("p.t") < F.col("_t")), 1)
+    past = F.when(F.col("q").isNull() & (F.col("p._at") < F.col("_t")), 1)
     o = Ordered(written(o.df.withColumn("_past", past)), keys, o.rows).renumber().running(n=("count", "_past"))
-    w = (F.col("_t") - F.col("p.t")) / F.nullif(F.col("q.t") - F.col("p.t"), F.lit(0.0))
-    inside = F.when(F.col("p.t") == F.col("_t"), 1.0).otherwise(1.0 - F.least(w, 1.0 - w))
+    w = (F.col("_t") - F.col("p._at")) / F.nullif(F.col("q._at") - F.col("p._at"), F.lit(0.0))
+    inside = F.when(F.col("p._at") == F.col("_t"), 1.0).otherwise(1.0 - F.least(w, 1.0 - w))
     conf = F.when(F.col("_past") == 1, F.greatest(F.lit(0.1), 1.0 - 0.05 * F.col("n"))).otherwise(inside)
     source = F.when(F.col("_past") == 1, "Extrapolated").otherwise("Interpolated")
     return o.df.select("_l.*", *[lerp(F.col("_t"), c).alias(f"fix_{c}") for c in cols],
