@@ -73,8 +73,8 @@ def interpolate(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str,
     rt = right_t or t
     knots = ordered(right.select(*keys, rt, tie, *cols), keys, [rt, tie]).over(
         {f"_s_{c}": (lambda c: lambda w: F.coalesce(
-            (F.lead(c).over(w) - F.col(c)) / (F.lead(rt).over(w) - F.col(rt)),
-            (F.col(c) - F.lag(c).over(w)) / (F.col(rt) - F.lag(rt).over(w))))(c) for c in cols},
+            (F.lead(c).over(w) - F.col(c)) / F.nullif(F.lead(rt).over(w) - F.col(rt), F.lit(0.0)),
+            (F.col(c) - F.lag(c).over(w)) / F.nullif(F.col(rt) - F.lag(rt).over(w), F.lit(0.0))))(c) for c in cols},
         before=1, after=1)
     d = bracket(left, knots.df, keys, t, tie, [*cols, *[f"_s_{c}" for c in cols]], rt)
     k = F.coalesce("p", "q")

@@ -59,3 +59,55 @@ def opportunity(sectors: DataFrame, keys: Sequence[str], clean: str) -> DataFram
     p = pace_pack(d, [*keys, "sector"], "duration")
     return p.withColumns({"mean_loss": F.col("mean") - F.col("best"), "spread": F.col("p90") - F.col("p50")}).withColumn(
         "opportunity", F.col("mean_loss") + F.col("spread"))
+
+
+def ideal_lap(sectors: DataFrame, keys: Sequence[str], splits: Sequence[float], points: int) -> DataFrame:
+    """Ideal clock on equal fractions: piecewise linear through the best clean sector times."""
+    n = len(splits) + 1
+    best = sectors.groupBy(*keys).agg(*[F.min(F.when(F.col("sector") == i + 1, F.col("duration"))).alias(f"_b{i}") for i in range(n)])
+    fs, total = [0.0, *splits, 1.0], F.lit(0.0)
+    marks = [F.lit(0.0)]
+    for i in range(n):
+        total = total + F.col(f"_b{i}")
+        marks.append(total)
+    d = best.select(*best.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("grid"))
+    f = F.col("grid") / F.lit(float(points - 1))
+    t = marks[-1]
+    for i in reversed(range(n)):
+        t = F.when(f <= fs[i + 1], marks[i] + (marks[i + 1] - marks[i]) * (f - fs[i]) / (fs[i + 1] - fs[i])).otherwise(t)
+    return d.select(*keys, "grid", t.alias("ideal_t"), marks[-1].alias("ideal_time"))
+
+
+def boundary_slices(trace: DataFrame, keys: Sequence[str], clock: str, order: str, slices: int) -> DataFrame:
+    """Per lap and time slice, the samples nearest to and farthest from the slice's mean longitude."""
+    span = trace.groupBy(*keys).agg(F.max(clock).alias("_span"))
+    d = salted_lookup(trace, span, keys, F.col(order), "inner").where(F.col("_span") > 0)
+    d = d.withColumn("slice", F.floor(F.col(clock) / (F.col("_span") / slices))).where(F.col("slice") < slices)
+    mean = d.groupBy(*keys, "slice").agg(F.avg("lon").alias("_mid"))
+    d = salted_lookup(d, mean, [*keys, "slice"], F.col(order)).withColumn("_off", F.abs(F.col("lon") - F.col("_mid")))
+    return d.groupBy(*keys, "slice").agg(
+        F.min_by(order, F.struct("_off", order)).alias("left"), F.max_by(order, F.struct("_off", order)).alias("right"))
+
+
+def centre_line(points: DataFrame, keys: Sequence[str], side: str, x: str, y: str, tie: str) -> DataFrame:
+    """Midpoints of inner and outer traces paired by rank of the angle about the common centroid.
+
+    The longer trace is thinned to the shorter one's length by scaled rank.
+    """
+    from lapforge.operators.ordered import ordered
+
+    mid = points.groupBy(*keys).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy")) if keys else None
+    d = salted_lookup(points, mid, keys, F.col(tie))
+    d = d.withColumn("_ang", F.atan2(F.col(x) - F.col("_cx"), F.col(y) - F.col("_cy")))
+    o = ordered(d, [*keys, side], ["_ang", tie]).position("_r").totals(_n=F.count(F.lit(1)))
+    sizes = o.df.groupBy(*keys, side).agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg(F.min("_c").alias("_m"))
+    d = salted_lookup(o.df, sizes, keys, F.col(tie))
+    # Rank r of the shorter trace meets rank floor(r * (n - 1) / (m - 1)) of the longer one.
+    n1, m1 = F.col("_n") - 1, F.greatest(F.col("_m") - 1, F.lit(1))
+    slot = F.ceil(F.col("_r") * m1 / F.greatest(n1, F.lit(1)))
+    hit = F.floor(slot * n1 / m1) == F.col("_r")
+    d = d.where(hit).withColumn("slot", slot)
+    one = d.where(F.col(side) == 0).select(*keys, "slot", F.col(x).alias("_ax"), F.col(y).alias("_ay"))
+    two = d.where(F.col(side) == 1).select(*keys, "slot", F.col(x).alias("_bx"), F.col(y).alias("_by"))
+    j = one.join(two, [*keys, "slot"])
+    return j.select(*keys, "slot", ((F.col("_ax") + F.col("_bx")) / 2).alias(x), ((F.col("_ay") + F.col("_by")) / 2).alias(y))

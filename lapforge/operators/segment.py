@@ -11,6 +11,7 @@ from lapforge.functions.geo import gate_hit, inside
 from lapforge.operators.clean import salted_lookup
 from lapforge.operators.ordered import G, Ordered, ordered, quantiles
 from lapforge.operators.smooth import rolling
+from lapforge.operators.stats import correlation
 
 
 # -- windows and sessions ------------------------------------------------------------
@@ -361,9 +362,9 @@ def windowed_lags(o: Ordered, a: str, b: str, t: str, width: float, step: float,
                before=max(0, -lo), after=max(0, hi))
     first = F.floor((F.col(t) - width) / step) + 1
     d = o.df.withColumn("win", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(F.floor(F.col(t) / step), F.lit(0)))))
-    wide = d.groupBy(*o.keys, "win").agg(F.count(F.lit(1)).alias("rows"), *[F.corr(a, f"_b{k}".replace("-", "m")).alias(f"_d{k}") for k in lags])
+    wide = d.groupBy(*o.keys, "win").agg(F.count(F.lit(1)).alias("rows"), *[correlation(a, f"_b{k}".replace("-", "m")).alias(f"_d{k}") for k in lags])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_d{k}").alias("score")) for k in lags])
-    long = wide.select(*o.keys, "win", "rows", F.explode(rows).alias("x")).select(*o.keys, "win", "rows", "x.*").where("score is not null and not isnan(score)")
+    long = wide.select(*o.keys, "win", "rows", F.explode(rows).alias("x")).select(*o.keys, "win", "rows", "x.*").where("score is not null")
     best = F.max_by(F.struct("lag", "score", "rows"), F.struct("score", -F.abs("lag"), -F.col("lag")))
     return long.groupBy(*o.keys, "win").agg(best.alias("b")).select(*o.keys, "win", "b.*")
 

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from lapforge.operators.ordered import G, Ordered, ordered, quantiles
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of complete pairs; NULL when either side is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def pace_pack(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """n, best, mean, std (sample, 0 for one value), cv, median, p50 and p90 per key."""
     std = F.coalesce(F.stddev_samp(col), F.lit(0.0))

@@ -1,2 +1,2 @@
-from lapforge.plans import aggregates, rows, segments, streams  # noqa: F401
+from lapforge.plans import aggregates, lapreports, rows, segments, streams  # noqa: F401
 from lapforge.plans.registry import QUERIES, SQL  # noqa: F401

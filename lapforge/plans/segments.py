@@ -54,10 +54,10 @@ cr AS (SELECT session, event_id, i, t + (37.5 - e)/(ne - e)*(nt - t) AS tc, CASE
 WHERE ne <> e AND (37.5 - e)/(ne - e) BETWEEN 0 AND 1 AND n + (37.5 - e)/(ne - e)*(nn - n) BETWEEN -12 AND 12 AND speed >= 0.6) """
 
 
-@query("SEG-05", T(CROSS + "SELECT session, event_id, round(tc, 5) AS t_cross, side FROM cr"))
+@query("SEG-05", T(CROSS + "SELECT session, event_id, round(tc, 3) AS t_cross, side FROM cr"))
 def seg_05(spark, sf):
     o = sg.gate_crossings(trace(spark, sf), GATE, "t", "speed")
-    return o.out("session", "event_id", r("t_cross", 5).alias("t_cross"), "side")
+    return o.out("session", "event_id", r("t_cross", 3).alias("t_cross"), "side")
 
 
 def debounce_sql(pre: str, clock: str, gap: str, final: str) -> str:
@@ -79,11 +79,11 @@ def seg_06(spark, sf):
 
 
 @query("SEG-07", T(f""", st AS (SELECT *, lead(e){W} AS ne, lead(n){W} AS nn, lead(t){W} AS nt FROM trace)
-SELECT session, event_id, round(t + (37.5 - e)/(ne - e)*(nt - t), 5) AS t_cross FROM st WHERE e < 37.5 AND ne >= 37.5
+SELECT session, event_id, round(t + (37.5 - e)/(ne - e)*(nt - t), 3) AS t_cross FROM st WHERE e < 37.5 AND ne >= 37.5
 AND abs(n + (37.5 - e)/(ne - e)*(nn - n)) <= 12 AND (ne - e)/sqrt(pow(ne-e,2)+pow(nn-n,2)) >= 0.85"""))
 def seg_07(spark, sf):
     o = sg.half_plane_crossings(trace(spark, sf), (37.5, 0.0), (1.0, 0.0), 12.0, 0.85, "t")
-    return o.out("session", "event_id", r("t_cross", 5).alias("t_cross"))
+    return o.out("session", "event_id", r("t_cross", 3).alias("t_cross"))
 
 
 @query("SEG-08", T(f""", st AS (SELECT *, lead(e){W} AS ne, lead(n){W} AS nn, lead(t){W} AS nt FROM trace), g AS (SELECT * FROM (VALUES ('a', 37.5, 0.6), ('b', 62.5, 12.0), ('c', 12.5, 0.2)) v(gate, gx, half)),
@@ -191,14 +191,14 @@ c1 AS (SELECT session, lap, min(t + (37.5-n)/(nn-n)*(nt-t)) AS t1 FROM st WHERE
 c2 AS (SELECT st.session, st.lap, min(t + (62.5-e)/(ne-e)*(nt-t)) AS t2 FROM st JOIN c1 ON c1.session = st.session AND c1.lap = st.lap WHERE ne <> e AND (62.5-e)/(ne-e) BETWEEN 0 AND 1 AND n + (62.5-e)/(ne-e)*(nn-n) BETWEEN 90 AND 110
  AND t + (62.5-e)/(ne-e)*(nt-t) > t1 GROUP BY ALL),
 l AS (SELECT session, lap, min(t) AS a, max(t) AS z FROM trace GROUP BY ALL)
-SELECT l.session, l.lap, round(t1 - a, 5) AS sector_1, round(t2 - t1, 5) AS sector_2, round(z - t2, 5) AS sector_3 FROM l LEFT JOIN c1 ON c1.session = l.session AND c1.lap = l.lap LEFT JOIN c2 ON c2.session = l.session AND c2.lap = l.lap"""))
+SELECT l.session, l.lap, round(t1 - a, 2) AS sector_1, round(t2 - t1, 2) AS sector_2, round(z - t2, 2) AS sector_3 FROM l LEFT JOIN c1 ON c1.session = l.session AND c1.lap = l.lap LEFT JOIN c2 ON c2.session = l.session AND c2.lap = l.lap"""))
 def seg_17(spark, sf):
     o = trace(spark, sf).rekey(["session", "lap"])
     one = sg.gate_crossings(o, (90.0, 37.5, 110.0, 37.5), "t").df.select("session", "lap", F.lit(1).alias("line"), F.col("t_cross").alias("tc"))
     two = sg.gate_crossings(o, (62.5, 90.0, 62.5, 110.0), "t").df.select("session", "lap", F.lit(2).alias("line"), F.col("t_cross").alias("tc"))
     laps = o.df.groupBy("session", "lap").agg(F.min("t").alias("a"), F.max("t").alias("z"))
     d = sg.sector_crossings(one.unionByName(two), laps, ["session"], "lap", "a", "z")
-    return d.select("session", "lap", *[r(c, 5).alias(c) for c in ("sector_1", "sector_2", "sector_3")])
+    return d.select("session", "lap", *[r(c, 2).alias(c) for c in ("sector_1", "sector_2", "sector_3")])
 
 
 POLY = {1: [(20.0, -20.0), (80.0, -20.0), (80.0, 20.0), (20.0, 20.0)], 2: [(90.0, 20.0), (120.0, 20.0), (120.0, 120.0), (90.0, 120.0)]}
