@@ -190,14 +190,14 @@ def lap_07b(spark, sf):
     return coach.sector_scores(d.withColumn("cv", F.col("cv") / 3.0 * 0.12)).select("session", "sector", "score")
 
 
-CUE = CSTAT + """, hd AS (SELECT fr.session, corner, avg(k/100.0 - 0.5) AS yaw FROM fr JOIN hw ON hw.session = fr.session WHERE f >= cf - 0.1 AND f < cf GROUP BY ALL),
+CUE = CSTAT + """, hd AS (SELECT fr.session, corner, avg(k/97.0 - 0.5) AS yaw FROM fr JOIN hw ON hw.session = fr.session WHERE f >= cf - 0.1 AND f < cf GROUP BY ALL),
 cu AS (SELECT sc.session, sc.corner, array_to_string(list_filter([CASE WHEN line_spread > 2.5 THEN 'line' END, CASE WHEN apex_cv > 0.1 THEN 'apex' END, CASE WHEN entry_mean - apex_mean > 12 THEN 'overslow' END, CASE WHEN exit_mean < apex_mean + 1 THEN 'exit' END,
 CASE WHEN brake_std > 4 THEN 'brake' END, CASE WHEN abs(yaw) < 0.08 THEN 'look' END], lambda x: x IS NOT NULL), ',') AS cues FROM sc LEFT JOIN hd ON hd.session = sc.session AND hd.corner = sc.corner) """
 
 
 def cue_table(spark, sf):
     o, c, s = corner_table(spark, sf)
-    head = coach.head_approach(o.df.withColumn("head", F.col("k") / 100.0 - 0.5), c, ["session"], "head", 0.1)
+    head = coach.head_approach(o.df.withColumn("head", F.col("k") / 97.0 - 0.5), c, ["session"], "head", 0.1)
     return s, coach.corner_cues(s, head, ["session"])
 
 
@@ -239,8 +239,8 @@ def lap_11(spark, sf):
     return d.select("session", "grid", r("ideal_t", 3).alias("ideal_t"), r("ideal_time", 3).alias("ideal_time"))
 
 
-@query("LAP-12", T(FGRID.format(m=19) + f""", c AS (SELECT session, lap, grid, {GT} AS tt, coalesce({LERP.format(p='pv', q='qv')}, pv, qv) AS v FROM j), s AS (SELECT session, lap, max(CASE WHEN grid = 9 THEN tt END) - min(tt) AS s1, min(CASE WHEN grid <= 9 THEN v END) AS apex FROM c GROUP BY ALL)
-SELECT session, lap, row_number() OVER (PARTITION BY session ORDER BY s1, lap) AS place, round(s1 - min(s1) OVER (PARTITION BY session), 3) AS delta, round(apex, 6) AS apex, round(max(apex) OVER (PARTITION BY session) - min(apex) OVER (PARTITION BY session), 6) AS apex_spread FROM s"""))
+@query("LAP-12", T(FGRID.format(m=19) + f""", c AS (SELECT session, lap, grid, {GT} AS tt, coalesce({LERP.format(p='pv', q='qv')}, pv, qv) AS v FROM j), s9 AS (SELECT session, lap, max(CASE WHEN grid = 9 THEN tt END) - min(tt) AS s1, min(CASE WHEN grid <= 9 THEN v END) AS apex FROM c GROUP BY ALL)
+SELECT session, lap, row_number() OVER (PARTITION BY session ORDER BY s1, lap) AS place, round(s1 - min(s1) OVER (PARTITION BY session), 3) AS delta, round(apex, 6) AS apex, round(max(apex) OVER (PARTITION BY session) - min(apex) OVER (PARTITION BY session), 6) AS apex_spread FROM s9"""))
 def lap_12(spark, sf):
     """First part of every lap on a common grid: ranked, delta to the best, spread of the lowest speed."""
     g = resample.fraction_grid(clocked(spark, sf).df, ["session", "lap"], "frac", "event_id", ["clock", "speed"], 20)
@@ -249,10 +249,10 @@ def lap_12(spark, sf):
     return o.out("session", "lap", (F.col("_r") + 1).alias("place"), r(F.col("s1") - F.col("best"), 3).alias("delta"), r("apex").alias("apex"), r(F.col("hi") - F.col("lo")).alias("apex_spread"))
 
 
-@query("LAP-13", T(CORN + "SELECT fr.session, corner, round(avg(k/100.0 - 0.5), 6) AS head_yaw FROM fr JOIN hw ON hw.session = fr.session WHERE f >= cf - 0.1 AND f < cf GROUP BY ALL"))
+@query("LAP-13", T(CORN + "SELECT fr.session, corner, round(avg(k/97.0 - 0.5), 6) AS head_yaw FROM fr JOIN hw ON hw.session = fr.session WHERE f >= cf - 0.1 AND f < cf GROUP BY ALL"))
 def lap_13(spark, sf):
     o, c = corners(spark, sf)
-    d = coach.head_approach(o.df.withColumn("head", F.col("k") / 100.0 - 0.5), c, ["session"], "head", 0.1)
+    d = coach.head_approach(o.df.withColumn("head", F.col("k") / 97.0 - 0.5), c, ["session"], "head", 0.1)
     return d.select("session", "corner", r("head_yaw").alias("head_yaw"))
 
 
@@ -278,9 +278,9 @@ def lap_15(spark, sf):
     return s.join(t, "driver", "left").select("driver", "name", "laps", r(F.coalesce("cv", "sheet_cv")).alias("cv"), F.when(F.col("cv").isNull(), "sheet").otherwise("telemetry").alias("source"))
 
 
-@query("LAP-16", T(CSTAT + """, ap AS (SELECT fr.session, corner, arg_min(t, (pow(e-mx,2)+pow(n-my,2), i)) - min(t) AS at FROM fr JOIN rf ON rf.session = fr.session AND fr.lap = rl, mk GROUP BY ALL),
-wk AS (SELECT session, corner, row_number() OVER (PARTITION BY session ORDER BY score, corner) AS p FROM sc), z AS (SELECT ap.*, row_number() OVER (PARTITION BY ap.session ORDER BY at, ap.corner) AS beat FROM ap JOIN wk ON wk.session = ap.session AND wk.corner = ap.corner WHERE p <= 4)
-SELECT session, CAST(beat AS INTEGER) AS beat, corner, round(at, 6) AS at FROM z WHERE beat <= 3"""))
+@query("LAP-16", T(CSTAT + """, ap AS (SELECT fr.session, corner, arg_min(t, (pow(e-mx,2)+pow(n-my,2), i)) - min(t) AS ta FROM fr JOIN rf ON rf.session = fr.session AND fr.lap = rl, mk GROUP BY ALL),
+wk AS (SELECT session, corner, row_number() OVER (PARTITION BY session ORDER BY score, corner) AS p FROM sc), z AS (SELECT ap.*, row_number() OVER (PARTITION BY ap.session ORDER BY ta, ap.corner) AS beat FROM ap JOIN wk ON wk.session = ap.session AND wk.corner = ap.corner WHERE p <= 4)
+SELECT session, CAST(beat AS INTEGER) AS beat, corner, round(ta, 6) AS apex_t FROM z WHERE beat <= 3"""))
 def lap_16(spark, sf):
     """The four weakest corners in order of their apex time on the reference lap, first three."""
     from pyspark.sql import Window
@@ -291,7 +291,7 @@ def lap_16(spark, sf):
     weak = s.withColumn("_p", F.row_number().over(Window.partitionBy("session").orderBy("score", "corner"))).where("_p <= 4")
     d = at.join(weak.select("session", "corner"), ["session", "corner"])
     d = d.withColumn("beat", F.row_number().over(Window.partitionBy("session").orderBy("at", "corner"))).where("beat <= 3")
-    return d.select("session", "beat", "corner", r("at").alias("at"))
+    return d.select("session", "beat", "corner", r("at").alias("apex_t"))
 
 
 @query("LAP-17", T("""SELECT session, round(max(speed), 6) AS max_speed, round(quantile_cont(speed*k/1000, 0.99), 6) AS p99_g, round(max(e) - min(e), 6) AS width, count(*) AS n,
@@ -342,8 +342,8 @@ def lap_20(spark, sf):
 
 @query("LAP-21", T(FGRID.format(m=39) + f""", c AS (SELECT session, lap, grid, coalesce({LERP.format(p='pv', q='qv')}, pv, qv) AS v FROM j), l AS (SELECT session, lap, max(t) - min(t) AS lt FROM fr JOIN ok USING (session, lap) GROUP BY session, lap),
 bw AS (SELECT session, arg_min(lap, (lt, lap)) AS bl, arg_max(lap, (lt, lap)) AS wl FROM l GROUP BY session HAVING count(*) > 1), d AS (SELECT b.session, b.grid, b.v - w.v AS dv FROM c b JOIN bw ON bw.session = b.session AND b.lap = bl JOIN c w ON w.session = b.session AND w.lap = wl AND w.grid = b.grid),
-m AS (SELECT *, avg(dv) OVER (PARTITION BY session ORDER BY grid ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS m FROM d), g AS (SELECT *, CASE WHEN m > 2 THEN 1 WHEN m < -2 THEN -1 ELSE 0 END AS sg FROM m),
-h AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> sg THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY grid) AS isl FROM (SELECT *, lag(sg) OVER (PARTITION BY session ORDER BY grid) AS ps FROM g))
+m AS (SELECT *, avg(dv) OVER (PARTITION BY session ORDER BY grid ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS m FROM d), g9 AS (SELECT *, CASE WHEN m > 2 THEN 1 WHEN m < -2 THEN -1 ELSE 0 END AS sg FROM m),
+h AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> sg THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY grid) AS isl FROM (SELECT *, lag(sg) OVER (PARTITION BY session ORDER BY grid) AS ps FROM g9))
 SELECT session, min(grid) AS g_from, max(grid) AS g_to, sg AS sign, round(avg(m), 5) AS mean_diff FROM h WHERE sg <> 0 GROUP BY session, isl, sg"""))
 def lap_21(spark, sf):
     """Best minus worst lap speed on a common grid; forward means beyond 2 merged into sections."""
