@@ -1,2 +1,2 @@
-from lapforge.plans import aggregates, history, lapreports, rows, segments, streams  # noqa: F401
+from lapforge.plans import aggregates, files, history, lapreports, live, rows, segments, streams  # noqa: F401
 from lapforge.plans.registry import QUERIES, SQL  # noqa: F401
