@@ -12,6 +12,7 @@ from lapforge.operators.clean import salted_lookup
 from lapforge.operators.ordered import G, Ordered, ordered, quantiles
 from lapforge.operators.smooth import rolling
 from lapforge.operators.stats import correlation
+from lapforge.session import written
 
 
 # -- windows and sessions ------------------------------------------------------------
@@ -400,3 +401,48 @@ def return_laps(o: Ordered, dist: Column, near: float, back: int, min_rows: int)
     o = o.cols(_d=dist).lag(back, _was="_d").position("_i")
     o = o.where((F.col("_d") < near) & (F.col("_was") >= near))
     return debounce(o.map(lambda d: d.drop("_was")), "_i", min_rows, inclusive=True)
+
+
+# -- zones ---------------------------------------------------------------------------
+def corner_zones(d: DataFrame, keys: Sequence[str], pid: str, x: str, y: str, turn: str, lat_g: str, g: str, speed: str, eps: float,
+                 min_pts: int, top: float = 0.85) -> DataFrame:
+    """Corners: rows with the highest cornering score, clustered, with weighted centre, side,
+    severity and class."""
+    from lapforge.operators.cluster import density_clusters
+
+    d = d.withColumn("_sc", F.abs(turn) / 10 + F.abs(lat_g) * 3).withColumn("_at", F.abs(turn))
+    d = written(d, "score")
+    cut = quantiles(d, keys, ["_sc"], {"cut": top})
+    d = salted_lookup(d, cut, keys, F.col(pid), "inner").where(F.col("_sc") > F.col("_sc_cut"))
+    c = density_clusters(d, keys, pid, x, y, eps, min_pts).where("cluster >= 0")
+    by = [*keys, "cluster"]
+    q = quantiles(c, by, [turn, "_at", g, speed], {"50": 0.5, "85": 0.85, "15": 0.15, "20": 0.2})
+    w = F.sum("_sc")
+    a = c.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), (F.sum(F.col(x) * F.col("_sc")) / w).alias("x"), (F.sum(F.col(y) * F.col("_sc")) / w).alias("y"))
+    a = a.where(F.col("points") >= min_pts).join(q, by)
+    sev = F.col("_at_85") / 10 + F.col(f"{g}_85") * 5 + (F.col(f"{speed}_85") - F.col(f"{speed}_15")) / 5
+    kind = F.when(sev > 8, "hairpin").when(sev > 5, "sharp").when(sev > 3, "medium").otherwise("gentle")
+    return a.select(*by, "points", "x", "y", F.when(F.col(f"{turn}_50") > 0, "left").otherwise("right").alias("direction"), sev.alias("severity"),
+                    kind.alias("kind"), F.col(f"{speed}_20").alias("min_speed"))
+
+
+def merge_corners(corners: DataFrame, keys: Sequence[str], pid: str, near: float) -> DataFrame:
+    """Corners closer than ``near`` to each other become one, the most severe."""
+    from lapforge.operators.cluster import density_clusters
+
+    c = density_clusters(corners, keys, pid, "x", "y", near, 1)
+    best = F.max_by(F.struct(pid, "x", "y", "severity"), F.struct("severity", -F.col(pid)))
+    return c.groupBy(*keys, F.col("cluster").alias("_c")).agg(best.alias("b")).select(*keys, "b.*")
+
+
+def best_offset(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tie: str, a: str, b: str, offsets: Sequence[float]) -> DataFrame:
+    """Clock offset at which the other sensor, read by interpolation, correlates best."""
+    from lapforge.operators.asof import interpolate
+
+    shifts = F.explode(F.array(*[F.lit(float(o)) for o in offsets])).alias("offset")
+    grid = left.select(*keys, F.col(t).alias("_t"), tie, a, shifts).withColumn("_at", F.col("_t") + F.col("offset"))
+    grid = grid.withColumn("_tie", F.col(tie))
+    d = interpolate(grid, right.select(*keys, F.col(t).alias("_k"), F.col(tie).alias("_tie"), b), keys, "_at", "_tie", [b], "null", right_t="_k")
+    s = d.where(F.col(b).isNotNull()).groupBy(*keys, "offset").agg(F.round(correlation(a, b), 9).alias("score")).where("score is not null")
+    best = F.max_by(F.struct("offset", "score"), F.struct("score", -F.abs("offset"), -F.col("offset")))
+    return s.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")

@@ -372,3 +372,62 @@ LINE39 = f""", dd AS (SELECT session, event_id, i, sqrt(e*e+n*n) AS d FROM trace
 @query("SEG-39", debounce_sql(LINE39, "i", ">= 4", KEPT))
 def seg_39(spark, sf):
     return sg.return_laps(trace(spark, sf), hypot("e", "n"), 20.0, 5, 4).out("session", "event_id")
+
+
+def clusters_sql(src: str, eps: float, min_pts: int) -> str:
+    """Clusters of ``src(session, id, x, y)`` by neighbour pairs and reachability."""
+    return f""", nb AS MATERIALIZED (SELECT a.session, a.id AS a, b.id AS b FROM {src} a JOIN {src} b ON a.session = b.session AND sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= {eps}),
+core AS MATERIALIZED (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {min_pts}), ce AS MATERIALIZED (SELECT a, b FROM nb JOIN core c ON c.id = a JOIN core d ON d.id = b),
+rc(root, node) AS (SELECT id, id FROM core UNION SELECT rc.root, ce.b FROM rc JOIN ce ON ce.a = rc.node), lb AS (SELECT node AS id, min(root) AS label FROM rc GROUP BY node),
+cl AS (SELECT s.session, s.id, coalesce(lb.label, (SELECT min(l2.label) FROM nb JOIN lb l2 ON l2.id = nb.b WHERE nb.a = s.id), -1) AS cluster FROM {src} s LEFT JOIN lb ON lb.id = s.id) """
+
+
+TREC = T("").replace("WITH ev", "WITH RECURSIVE ev", 1)
+
+
+@query("SEG-29", TREC + ", pt AS MATERIALIZED (SELECT session, event_id AS id, e AS x, n AS y FROM trace)" + clusters_sql("pt", 1.2, 4) + "SELECT session, id AS event_id, cluster FROM cl")
+def seg_29(spark, sf):
+    from lapforge.operators.cluster import density_clusters
+
+    d = trace(spark, sf).df.select("session", "event_id", "e", "n")
+    return density_clusters(d, ["session"], "event_id", "e", "n", 1.2, 4).select("session", "event_id", "cluster")
+
+
+CZ = TREC + """, sc AS (SELECT session, event_id, e, n, CAST((k - 50)*0.8 AS DOUBLE) AS turn, CAST(abs((k-50)*0.8)/10 AS DOUBLE) + abs(speed/100)*3 AS sc, speed, speed/100 AS g FROM trace), ct AS (SELECT session, quantile_cont(sc, 0.5) AS cut FROM sc GROUP BY session),
+hi AS MATERIALIZED (SELECT sc.* FROM sc JOIN ct ON ct.session = sc.session WHERE sc.sc > cut), pt AS MATERIALIZED (SELECT session, event_id AS id, e AS x, n AS y FROM hi)""" + clusters_sql("pt", 2.0, 3) + """,
+zz AS (SELECT hi.session, cluster, count(*) AS points, sum(e*sc)/sum(sc) AS x, sum(n*sc)/sum(sc) AS y, median(turn) AS mt, quantile_cont(abs(turn), 0.85)/10 + quantile_cont(g, 0.85)*5 + (quantile_cont(speed, 0.85) - quantile_cont(speed, 0.15))/5 AS sev, quantile_cont(speed, 0.2) AS ms
+FROM hi JOIN cl ON cl.id = hi.event_id WHERE cluster >= 0 GROUP BY hi.session, cluster HAVING count(*) >= 3) """
+
+
+def zones(spark, sf):
+    d = trace(spark, sf).df.select("session", "event_id", "e", "n", "speed", ((F.col("k") - 50) * 0.8).alias("turn"), (F.col("speed") / 100).alias("lat"), (F.col("speed") / 100).alias("g"))
+    return sg.corner_zones(d, ["session"], "event_id", "e", "n", "turn", "lat", "g", "speed", 2.0, 3, top=0.5)
+
+
+@query("SEG-30", CZ + """SELECT session, cluster, points, round(x, 5) AS x, round(y, 5) AS y, CASE WHEN mt > 0 THEN 'left' ELSE 'right' END AS direction, round(sev, 5) AS severity,
+CASE WHEN sev > 8 THEN 'hairpin' WHEN sev > 5 THEN 'sharp' WHEN sev > 3 THEN 'medium' ELSE 'gentle' END AS kind, round(ms, 5) AS min_speed FROM zz""")
+def seg_30(spark, sf):
+    return zones(spark, sf).select("session", "cluster", "points", *[r(c, 5).alias(c) for c in ("x", "y", "severity", "min_speed")], "direction", "kind")
+
+
+@query("SEG-31", CZ + """, me AS MATERIALIZED (SELECT a.session, a.cluster AS a, b.cluster AS b FROM zz a JOIN zz b ON a.session = b.session AND sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 30),
+rm(root, node) AS (SELECT cluster, cluster FROM zz UNION SELECT rm.root, me.b FROM rm JOIN me ON me.a = rm.node), gm AS (SELECT node, min(root) AS grp FROM rm GROUP BY node)
+SELECT session, cluster, round(sev, 5) AS severity FROM (SELECT zz.*, row_number() OVER (PARTITION BY grp ORDER BY sev DESC, cluster) AS rn FROM zz JOIN gm ON gm.node = zz.cluster) WHERE rn = 1""")
+def seg_31(spark, sf):
+    from lapforge.session import written
+
+    return sg.merge_corners(written(zones(spark, sf)), ["session"], "cluster", 30.0).select("session", "cluster", r("severity", 5).alias("severity"))
+
+
+OFFS = [float(v) for v in range(-30000, 30001, 10000)]
+
+
+@query("SEG-36", T(f""", f AS (SELECT session, event_id, e, t, o.off, t + o.off AS ta FROM trace, (SELECT unnest({OFFS}::DOUBLE[]) AS off) o WHERE kind <> 'error'), s AS (SELECT session, t AS st, n AS sn FROM trace WHERE kind = 'error'),
+j AS (SELECT f.*, p.st AS pt, p.sn AS pn, q.st AS qt, q.sn AS qn FROM f ASOF LEFT JOIN s p ON f.session = p.session AND f.ta >= p.st ASOF LEFT JOIN s q ON f.session = q.session AND f.ta < q.st),
+v AS (SELECT session, off, e, CASE WHEN pt = ta THEN pn WHEN pt IS NOT NULL AND qt IS NOT NULL THEN pn + (qn-pn)*((ta-pt)/(qt-pt)) END AS n FROM j), c AS (SELECT session, off, round(corr(e, n), 9) AS score FROM v WHERE n IS NOT NULL GROUP BY ALL)
+SELECT session, CAST(arg_max(off, (score, -abs(off), -off)) AS DOUBLE) AS "offset", round(max(score), 6) AS score FROM c WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY session"""))
+def seg_36(spark, sf):
+    d = trace(spark, sf).df
+    b = sg.best_offset(d.where("kind <> 'error'").select("session", "t", "event_id", "e"), d.where("kind = 'error'").select("session", "t", "event_id", "n"),
+                       ["session"], "t", "event_id", "e", "n", OFFS)
+    return b.select("session", "offset", r("score").alias("score"))

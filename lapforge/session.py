@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,3 +40,16 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.lapforge.blockRows", str(DEFAULT_BLOCK_ROWS)))
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes (-1 when broadcasting is off)."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
+    number, unit = re.fullmatch(r"(-?[0-9]+)\s*([kmgt]?)i?b?", text).groups()
+    return int(number) * 1024 ** " kmgt".index(unit or " ")
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimiser's own size estimate of ``df`` is within the broadcast threshold."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes())) <= broadcast_limit(df.sparkSession)
