@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,63 +212,35 @@ class Ordered:
         self,
         inputs: Sequence[str],
         init: Sequence[float | None],
-        step: Callable[[list, tuple], tuple] | None,
+        step: Callable[[list, tuple], tuple],
         outputs: str,
-        scan: Callable[[pd.DataFrame, list], tuple] | None = None,
     ) -> "Ordered":
         """Run a small state machine over each key and add its output columns.
 
         ``step(state, row)`` returns ``(state, output)`` where state is a list of numbers or
-        None. Blocks run in parallel. A block's entry state is the exit state of the block
-        before it; blocks whose guessed entry was wrong are run again until none changes, so
-        the result equals one pass over the whole key and no task ever holds a whole key.
-        ``scan(rows, state)`` is the vectorised form of the same pass over one block.
+        None. Blocks run in parallel, row by row over Arrow batches; other columns pass through
+        untouched. A block's entry state is the exit state of the block before it; blocks whose
+        guessed entry was wrong are run again until none changes, so the result equals one pass
+        over the whole key and no task ever holds a whole key.
         """
         init = [None if v is None else float(v) for v in init]
-        names = [c.split()[0] for c in outputs.split(",")]
-        key_types = ", ".join(
-            f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema if f.name in self.keys
-        )
         kin = [f.name for f in self.df.schema if f.name in self.keys]
-        src = self.df.select(*kin, G, *inputs).withColumn(B, self._block())
+        on = [*kin, B]
+        src = self.df.withColumn(B, self._block())
+        key_types = ", ".join(f"`{k}` {self.df.schema[k].dataType.simpleString()}" for k in kin)
         empty = F.array(*[F.lit(v).cast("double") for v in init])
 
-        def replay(pdf: pd.DataFrame, keep: bool):
-            pdf = pdf.sort_values(G, kind="stable")
-            state = [None if v is None or v != v else v for v in pdf["_entry"].iloc[0]]
-            if scan is not None:
-                state, got = scan(pdf, state)
-                return pdf, state, got
-            got = []
-            for row in pdf[list(inputs)].itertuples(index=False, name=None):
-                state, out = step(state, row)
-                if keep:
-                    got.append(out)
-            return pdf, state, got
-
-        def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, _, got = replay(pdf, True)
-            res = pd.DataFrame(got, columns=names, dtype=object)
-            res.insert(0, G, pdf[G].to_numpy())
-            return res
-
-        def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, state, _ = replay(pdf, False)
-            head = {k: [pdf[k].iloc[0]] for k in [*kin, B]}
-            state = [None if v is None else float(v) for v in state]
-            return pd.DataFrame({**head, "_entry": pd.Series([pdf["_entry"].iloc[0]]),
-                                 "_exit": pd.Series([state])})
+        def spread(d: DataFrame) -> DataFrame:
+            n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            return d.repartition(n, *on).sortWithinPartitions(*on, G)
 
-        on = [*kin, B]
-        spread = src.groupBy(*kin).agg(F.min(B).alias("lo"), F.max(B).alias("hi"))
-        if spread.where("hi > lo").limit(1).count():
-            known = src.select(*on).distinct().withColumn("_entry", empty)
+        ends = src.groupBy(*kin).agg(F.min(B).alias("lo"), F.max(B).alias("hi"))
+        if ends.where("hi > lo").limit(1).count():
+            slim = src.select(*on, G, *[c for c in inputs if c not in kin])
             exit_schema = f"{key_types}, {B} long, _entry array<double>, _exit array<double>"
-            todo, done = known, None
+            todo, done = src.select(*on).distinct().withColumn("_entry", empty), None
             while True:
-                ran = (
-                    src.join(todo, on).groupBy(*on).applyInPandas(leave, exit_schema)
-                )
+                ran = spread(slim.join(todo, on)).mapInArrow(_exits(on, inputs, init, step), exit_schema)
                 if done is not None:
                     ran = ran.unionByName(done.join(todo.select(*on), on, "left_anti"))
                 done = written(ran, "fold")
@@ -281,12 +253,75 @@ class Ordered:
                 )
                 if not todo.limit(1).count():
                     break
-            entries = done.select(*on, "_entry")
-            src = src.join(entries, on)
+            src = src.join(done.select(*on, "_entry"), on)
         else:
-            src = src.withColumn("_entry", empty)
-        result = src.groupBy(*on).applyInPandas(emit, f"{G} long, {outputs}")
-        return Ordered(self.df.join(result, G), self.keys, self.rows)
+            src = src.withColumn("_entry", F.lit(None).cast("array<double>"))
+        base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
+        names = [c.split()[0] for c in outputs.split(",")]
+        types = [_ARROW[c.split()[1]] for c in outputs.split(",")]
+        rows = spread(src).mapInArrow(_emit(on, inputs, init, step, names, types), f"{base}, {outputs}")
+        return Ordered(rows.drop(B, "_entry"), self.keys, self.rows)
+
+
+_ARROW = {"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _walk(on, inputs, init, step, state_box):
+    """Outputs of one Arrow batch; ``state_box`` carries (block, entry, state) between batches."""
+
+    def run(batch):
+        ids = list(zip(*[batch.column(c).to_pylist() for c in on]))
+        rows = zip(*[batch.column(c).to_pylist() for c in inputs])
+        entries = batch.column("_entry")
+        at, entry, state = state_box
+        got, closed = [], []
+        for n, (block, row) in enumerate(zip(ids, rows)):
+            if block != at:
+                if at is not None:
+                    closed.append((at, entry, state))
+                at = block
+                given = entries[n].as_py()
+                entry = init if given is None else given
+                state = list(entry)
+            state, out = step(state, row)
+            got.append(out)
+        state_box[:] = [at, entry, state]
+        return got, closed
+
+    return run
+
+
+def _emit(on, inputs, init, step, names, types):
+    def apply(batches):
+        run = _walk(on, inputs, init, step, [None, None, None])
+        for batch in batches:
+            got, _ = run(batch)
+            made = [pa.array([r[i] for r in got], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+
+    return apply
+
+
+def _exits(on, inputs, init, step):
+    def apply(batches):
+        box, kinds = [None, None, None], None
+        run = _walk(on, inputs, init, step, box)
+
+        def table(closed):
+            floats = lambda s: [None if v is None else float(v) for v in s]
+            keys = [pa.array([c[0][i] for c in closed], t) for i, t in enumerate(kinds)]
+            states = [pa.array([floats(c[j]) for c in closed], pa.list_(pa.float64())) for j in (1, 2)]
+            return pa.RecordBatch.from_arrays([*keys, *states], names=[*on, "_entry", "_exit"])
+
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(c).type for c in on]
+            _, closed = run(batch)
+            if closed:
+                yield table(closed)
+        if box[0] is not None:
+            yield table([tuple(box)])
+
+    return apply
 
 
 def quantiles(
@@ -306,13 +341,9 @@ def quantiles(
         ).alias("x"),
     ).select(*keys, "x.c", "x.v")
     freq = long.groupBy(*keys, "c", "v").agg(F.count(F.lit(1)).alias("m"))
-    ranked = (
-        ordered(freq.where("v is not null"), [*keys, "c"], ["v"])
-        .running(upto=("sum", "m"))
-        .cut()
-        .totals(total=F.sum("m"))
-        .df
-    )
+    freq = written(freq.where("v is not null"), "freq")
+    totals = freq.groupBy(*keys, "c").agg(F.sum("m").alias("total"))
+    ranked = ordered(freq, [*keys, "c"], ["v"]).attach(totals).running(upto=("sum", "m")).df
     picks = []
     for name, q in qs.items():
         at = F.lit(float(q)) * (F.col("total") - 1)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.operators.clean import salted_lookup
 from lapforge.operators.documents import gather, parts
 from lapforge.operators.ordered import G, ordered
+from lapforge.session import written
 
 K1, B = 1.2, 0.75
 QUERY_BATCH = 256
@@ -27,13 +30,12 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, field: str, query: str,
     and term statistics are scalars or one row per term.
     """
     t = docs.select(F.col(doc).alias("doc"), tokens(F.col(field)).alias("ts"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    n, avgdl = t.agg(F.count(F.lit(1)), F.avg(F.size("ts"))).first()  # two numbers
     q = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term"))
     q = q.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     vocab = q.select("term").distinct()
     tf = t.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = salted_lookup(tf, vocab, ["term"], F.col("doc"), "inner")
+    tf = written(salted_lookup(tf, vocab, ["term"], F.col("doc"), "inner"), "postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(df, "term").withColumn("w", idf * F.col("qtf")).select("query", "term", "w")
@@ -58,28 +60,51 @@ def top_k(scores: DataFrame, k: int, by: str = "query") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def knn(vectors: DataFrame, queries: DataFrame, doc: str, vec: str, query: str, qvec: str, k: int, batch: int = QUERY_BATCH) -> DataFrame:
-    """Exact k nearest by cosine. Queries travel as a scalar array of at most ``batch`` vectors;
-    more queries run as further batches over the vectors."""
-    dbl = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    qs = ordered(queries.select(F.col(query).alias("query"), dbl(qvec).alias("qv")), [], ["query"])
-    qs = qs.df.withColumn("qn", F.sqrt(_dot(F.col("qv"), F.col("qv"))))
-    batches = (qs.count() + batch - 1) // batch
-    base = vectors.select(F.col(doc).alias("doc"), dbl(vec).alias("v")).withColumn("vn", F.sqrt(_dot(F.col("v"), F.col("v"))))
+    """Exact k nearest by cosine.
+
+    At most ``batch`` query vectors travel with the tasks; more queries run as further passes.
+    Each Arrow batch of vectors is one matrix product and keeps its k best rows per query.
+    """
+    qs = ordered(queries.select(F.col(query).cast("long").alias("query"), F.col(qvec).alias("qv")), [], ["query"]).df
+    passes = (qs.count() + batch - 1) // batch
+    base = vectors.select(F.col(doc).cast("long").alias("doc"), F.col(vec).alias("v")).where("v is not null")
     out = None
-    for i in range(batches):
-        some = qs.where(F.expr(f"{G} div {batch} = {i}")).agg(F.collect_list(F.struct("query", "qv", "qn")).alias("qs")).scalar()
-        d = base.withColumn("q", F.explode(some))
-        cos = _dot(F.col("v"), F.col("q.qv")) / F.nullif(F.col("vn") * F.col("q.qn"), F.lit(0.0))
-        s = top_k(d.select(F.col("q.query").alias("query"), "doc", F.round(cos, 9).alias("score")).where("score is not null"), k)
-        out = s if out is None else out.unionByName(s)
+    for i in range(passes):
+        some = qs.where(F.expr(f"{G} div {batch} = {i}")).select("query", "qv").collect()  # at most ``batch`` rows
+        ids = np.array([r["query"] for r in some], dtype=np.int64)
+        unit = _unit(np.array([r["qv"] for r in some], dtype=np.float64))
+        hits = top_k(base.mapInArrow(_nearest(ids, unit, k), "query long, doc long, score double"), k)
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+
+
+def _nearest(ids: np.ndarray, unit: np.ndarray, k: int):
+    def apply(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs = b.column(0).to_numpy(zero_copy_only=False)
+            vecs = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            score = np.round(_unit(vecs) @ unit.T, 9)
+            rows, cols = [], []
+            for j in range(len(ids)):
+                good = np.flatnonzero(~np.isnan(score[:, j]))
+                best = good[np.lexsort((docs[good], -score[good, j]))[:k]]
+                rows.append(best)
+                cols.append(np.full(len(best), j))
+            at, q = np.concatenate(rows), np.concatenate(cols)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q]), pa.array(docs[at].astype(np.int64)), pa.array(score[at, q])], names=["query", "doc", "score"])
+
+    return apply
+
+
 def min_max(scores: DataFrame) -> DataFrame:
     """Scores scaled to 0..1 inside each query; a single value becomes 1."""
     span = scores.groupBy("query").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))

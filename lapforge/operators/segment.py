@@ -430,8 +430,8 @@ def merge_corners(corners: DataFrame, keys: Sequence[str], pid: str, near: float
     """Corners closer than ``near`` to each other become one, the most severe."""
     from lapforge.operators.cluster import density_clusters
 
-    c = density_clusters(corners, keys, pid, "x", "y", near, 1)
-    best = F.max_by(F.struct(pid, "x", "y", "severity"), F.struct("severity", -F.col(pid)))
+    c = density_clusters(corners.withColumnRenamed(pid, "_id"), keys, "_id", "x", "y", near, 1)
+    best = F.max_by(F.struct(F.col("_id").alias(pid), "x", "y", "severity"), F.struct("severity", -F.col("_id")))
     return c.groupBy(*keys, F.col("cluster").alias("_c")).agg(best.alias("b")).select(*keys, "b.*")
 
 

@@ -92,20 +92,13 @@ def local_line(o: Ordered, y: str, t: str, k: int, name: str) -> Ordered:
 
 
 def ema(o: Ordered, col: str, alpha: float, name: str) -> Ordered:
-    """Exponential mean, first value as seed. Blocks run vectorised and pass their last mean on."""
+    """Exponential mean with the first value as seed; blocks pass their last mean on."""
 
-    def scan(pdf, state):
-        x = pdf[col]
-        if state[0] is not None:
-            import pandas as pd
+    def step(state, row):
+        y = row[0] if state[0] is None else alpha * row[0] + (1 - alpha) * state[0]
+        return [y], (y,)
 
-            x = pd.concat([pd.Series([state[0]]), x])
-        y = x.ewm(alpha=alpha, adjust=False).mean().to_numpy()
-        if state[0] is not None:
-            y = y[1:]
-        return [float(y[-1])], [(v,) for v in y]
-
-    return o.fold([col], [None], None, f"{name} double", scan=scan)
+    return o.fold([col], [None], step, f"{name} double")
 
 
 def circular_mean(lines: DataFrame, keys: Sequence[str], idx: str, size: str, col: str, k: int, name: str) -> DataFrame:

@@ -92,7 +92,8 @@ def verbose(spark, sf):
     pts = F.greatest(F.lit(0), 8 - F.col("place"))
     d = d.withColumns({"pts": pts, "outcome": dc.outcome_text(F.col("name"), place, pts, F.col("status"), F.col("status_group"))})
     ms = F.round(F.col("price") * 100).cast("long")
-    return d.withColumns({"q": F.col("qty").cast("long"), "ms": ms})
+    # Read several times by the documents built from it, so it is joined and worded once.
+    return written(d.withColumns({"q": F.col("qty").cast("long"), "ms": ms}), "results")
 
 
 @query("TXT-05", VERB_SQL + """SELECT race, driver, place, car, price, 'In the ' || yr || ' race ' || race || ', ' || name || ' drove for ' || team || ', started ' || CASE WHEN q % 7 = 0 THEN 'from an unclassified position' ELSE 'from P' || (q % 7) END || ', and ' ||

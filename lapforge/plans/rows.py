@@ -177,7 +177,16 @@ def prj_02(spark, sf):
                  r(reached, 7).alias("lat_reached"))
 
 
-@query("PRJ-03")
+# Transverse Mercator series with e2 = f(2 - f), ep2 = e2/(1 - e2), central meridian -93.
+UTM_SQL = """, c AS (SELECT 6378137.0::DOUBLE AS a, (1/298.257223563::DOUBLE)*(2 - 1/298.257223563::DOUBLE) AS e2), u0 AS (SELECT session, event_id, radians(lat) AS la, radians(lon + 93.0) AS dl, a, e2, e2/(1 - e2) AS ep2 FROM trace, c),
+u1 AS (SELECT *, a/sqrt(1 - e2*sin(la)*sin(la)) AS nu, tan(la)*tan(la) AS tt, ep2*cos(la)*cos(la) AS cc, cos(la)*dl AS aa,
+a*((1 - e2/4 - 3*e2*e2/64 - 5*e2*e2*e2/256)*la - (3*e2/8 + 3*e2*e2/32 + 45*e2*e2*e2/1024)*sin(2*la) + (15*e2*e2/256 + 45*e2*e2*e2/1024)*sin(4*la) - (35*e2*e2*e2/3072)*sin(6*la)) AS m FROM u0),
+u2 AS (SELECT session, event_id, 500000.0 + 0.9996*nu*(aa + (1 - tt + cc)*pow(aa,3)/6 + (5 - 18*tt + tt*tt + 72*cc - 58*ep2)*pow(aa,5)/120) AS x,
+0.9996*(m + nu*tan(la)*(aa*aa/2 + (5 - tt + 9*cc + 4*cc*cc)*pow(aa,4)/24 + (61 - 58*tt + tt*tt + 600*cc - 330*ep2)*pow(aa,6)/720)) AS y FROM u1) """
+
+
+@query("PRJ-03", T(UTM_SQL + """SELECT session, event_id, round(x, 3) AS easting, round(y, 3) AS northing, round(x - min(x) OVER (PARTITION BY session), 3) AS grid_x,
+round(y - min(y) OVER (PARTITION BY session), 3) AS grid_y FROM u2"""))
 def prj_03(spark, sf):
     east, north = geo.utm("lat", "lon", -93.0)
     o = trace(spark, sf).cols(easting=east, northing=north)

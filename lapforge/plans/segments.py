@@ -404,19 +404,19 @@ def zones(spark, sf):
     return sg.corner_zones(d, ["session"], "event_id", "e", "n", "turn", "lat", "g", "speed", 2.0, 3, top=0.5)
 
 
-@query("SEG-30", CZ + """SELECT session, cluster, points, round(x, 5) AS x, round(y, 5) AS y, CASE WHEN mt > 0 THEN 'left' ELSE 'right' END AS direction, round(sev, 5) AS severity,
-CASE WHEN sev > 8 THEN 'hairpin' WHEN sev > 5 THEN 'sharp' WHEN sev > 3 THEN 'medium' ELSE 'gentle' END AS kind, round(ms, 5) AS min_speed FROM zz""")
+@query("SEG-30", CZ + """SELECT session, cluster, points, round(x, 5) AS x, round(y, 5) AS y, CASE WHEN mt > 0 THEN 'left' ELSE 'right' END AS direction, round(sev, 7) AS severity,
+CASE WHEN sev > 8 THEN 'hairpin' WHEN sev > 5 THEN 'sharp' WHEN sev > 3 THEN 'medium' ELSE 'gentle' END AS kind, round(ms, 7) AS min_speed FROM zz""")
 def seg_30(spark, sf):
-    return zones(spark, sf).select("session", "cluster", "points", *[r(c, 5).alias(c) for c in ("x", "y", "severity", "min_speed")], "direction", "kind")
+    return zones(spark, sf).select("session", "cluster", "points", *[r(c, 5).alias(c) for c in ("x", "y")], *[r(c, 7).alias(c) for c in ("severity", "min_speed")], "direction", "kind")
 
 
 @query("SEG-31", CZ + """, me AS MATERIALIZED (SELECT a.session, a.cluster AS a, b.cluster AS b FROM zz a JOIN zz b ON a.session = b.session AND sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 30),
 rm(root, node) AS (SELECT cluster, cluster FROM zz UNION SELECT rm.root, me.b FROM rm JOIN me ON me.a = rm.node), gm AS (SELECT node, min(root) AS grp FROM rm GROUP BY node)
-SELECT session, cluster, round(sev, 5) AS severity FROM (SELECT zz.*, row_number() OVER (PARTITION BY grp ORDER BY sev DESC, cluster) AS rn FROM zz JOIN gm ON gm.node = zz.cluster) WHERE rn = 1""")
+SELECT session, cluster, round(sev, 7) AS severity FROM (SELECT zz.*, row_number() OVER (PARTITION BY grp ORDER BY sev DESC, cluster) AS rn FROM zz JOIN gm ON gm.node = zz.cluster) WHERE rn = 1""")
 def seg_31(spark, sf):
     from lapforge.session import written
 
-    return sg.merge_corners(written(zones(spark, sf)), ["session"], "cluster", 30.0).select("session", "cluster", r("severity", 5).alias("severity"))
+    return sg.merge_corners(written(zones(spark, sf)), ["session"], "cluster", 30.0).select("session", "cluster", r("severity", 7).alias("severity"))
 
 
 OFFS = [float(v) for v in range(-30000, 30001, 10000)]

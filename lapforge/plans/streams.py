@@ -407,13 +407,13 @@ def win_17(spark, sf):
 
 
 @query("WIN-18", T(""", s AS (SELECT *, sum(speed) OVER (PARTITION BY session ORDER BY i) AS dist FROM trace)
-SELECT session, event_id, round(CASE WHEN speed > 0 THEN (max(dist) OVER (PARTITION BY i) - dist)/speed ELSE 0 END, 6) AS gap FROM s"""))
+SELECT session, event_id, round(CASE WHEN speed > 0 THEN (max(dist) OVER (PARTITION BY i) - dist)/speed ELSE 0 END, 8) AS gap FROM s"""))
 def win_18(spark, sf):
     d = trace(spark, sf).running(dist=("sum", "speed")).df
     lead = d.groupBy("i").agg(F.max("dist").alias("top"))
     d = clean.salted_lookup(d, lead, ["i"], F.col(G))
     gap = F.when(F.col("speed") > 0, (F.col("top") - F.col("dist")) / F.col("speed")).otherwise(0.0)
-    return d.select("session", "event_id", r(gap).alias("gap"))
+    return d.select("session", "event_id", r(gap, 8).alias("gap"))
 
 
 @query("WIN-19", T(LAPS_SQL + """, b AS (SELECT session, min(t_end - t_start) AS best FROM laps WHERE n_pts = 16 GROUP BY session)
