@@ -178,3 +178,37 @@ def fix_provenance(rows: DataFrame, fixes: DataFrame, keys: Sequence[str], t: st
     source = F.when(F.col("_past") == 1, "Extrapolated").otherwise("Interpolated")
     return o.df.select("_l.*", *[lerp(F.col("_t"), c).alias(f"fix_{c}") for c in cols],
                        conf.alias("confidence"), source.alias("source"))
+
+
+def first_return(df: DataFrame, keys: Sequence[str], pid: str, x: str, y: str, t: str, radius: float, min_gap: float,
+                 horizon: float) -> DataFrame:
+    """For each row the earliest later row nearer than ``radius`` and more than ``min_gap`` later.
+
+    Rows meet only the 3x3 cells around them and one stretch of time: first ``horizon`` seconds
+    after the gap, then twice as long for the rows still open, until their stretch passes the end
+    of the key. A vehicle standing still finds its return at once, so no crowded cell is compared
+    with itself beyond the stretch.
+    """
+    keys = list(keys)
+    d = df.select(*keys, F.col(pid).alias("pid"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(t).alias("t"))
+    d = written(d.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)}), "points")
+    ends = d.groupBy(*keys).agg(F.max("t").alias("_end"))
+    todo = written(salted_lookup(d, ends, keys, F.col("pid")).withColumn("lo", F.col("t") + min_gap), "open")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    found = None
+    while True:
+        todo = todo.where(F.col("lo") < F.col("_end"))
+        slot = lambda c: F.floor(F.col(c) / horizon)
+        ask = todo.select(*keys, "pid", F.col("x").alias("px"), F.col("y").alias("py"), "lo", "cx", "cy", around.alias("o"))
+        ask = ask.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "hi": F.col("lo") + horizon})
+        ask = ask.withColumn("slot", F.explode(F.array_distinct(F.array(slot("lo"), slot("hi"))))).drop("o")
+        have = d.select(*keys, "cx", "cy", slot("t").alias("slot"), F.col("pid").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("t").alias("ot"))
+        j = salted_lookup(ask, have, [*keys, "cx", "cy", "slot"], F.col("pid"), "inner", selective=True)
+        j = j.where((F.col("ot") > F.col("lo")) & (F.col("ot") <= F.col("hi")))
+        j = j.where(F.sqrt(F.pow(F.col("px") - F.col("ox"), 2) + F.pow(F.col("py") - F.col("oy"), 2)) < radius)
+        hit = written(j.groupBy("pid").agg(F.min(F.struct("ot", "other")).alias("b")).select("pid", "b.other", "b.ot"), "returns")
+        found = hit if found is None else found.unionByName(hit)
+        todo = written(todo.join(hit.select("pid"), "pid", "left_anti").withColumn("lo", F.col("lo") + horizon), "open")
+        if not todo.where(F.col("lo") < F.col("_end")).limit(1).count():
+            return found.withColumnsRenamed({"pid": pid, "other": "return_id", "ot": "return_t"})
+        horizon *= 2

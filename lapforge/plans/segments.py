@@ -431,3 +431,11 @@ def seg_36(spark, sf):
     b = sg.best_offset(d.where("kind <> 'error'").select("session", "t", "event_id", "e"), d.where("kind = 'error'").select("session", "t", "event_id", "n"),
                        ["session"], "t", "event_id", "e", "n", OFFS)
     return b.select("session", "offset", r("score").alias("score"))
+
+
+@query("SEG-27b", T(""", st AS (SELECT session, lap2, i, e, n, lead(e) OVER w AS ne, lead(n) OVER w AS nn FROM (SELECT *, i // 32 AS lap2 FROM trace) WINDOW w AS (PARTITION BY session, i // 32 ORDER BY i)),
+x AS (SELECT a.session, a.lap2, (a.ne-a.e)*(b.nn-b.n) - (a.nn-a.n)*(b.ne-b.e) AS det, b.e-a.e AS qx, b.n-a.n AS qy, a.ne-a.e AS rx, a.nn-a.n AS ry, b.ne-b.e AS sx, b.nn-b.n AS sy FROM st a JOIN st b ON a.session = b.session AND a.lap2 = b.lap2 AND b.i > a.i + 1 WHERE a.ne IS NOT NULL AND b.ne IS NOT NULL)
+SELECT DISTINCT session, lap2 FROM x WHERE abs(det) > 1e-12 AND (qx*sy-qy*sx)/det BETWEEN 0 AND 1 AND (qx*ry-qy*rx)/det BETWEEN 0 AND 1"""))
+def seg_27b(spark, sf):
+    o = trace(spark, sf).cols(lap2=F.expr("i div 32"))
+    return sg.self_crossing(o, "lap2", 10.0, reach=8)

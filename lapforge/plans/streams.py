@@ -587,3 +587,11 @@ SELECT session, event_id, CAST(j AS INTEGER) AS part, round(CASE WHEN j = 0 THEN
 def res_07(spark, sf):
     return resample.upsample(trace(spark, sf), "t", ["lat"], 3).select(
         "session", "event_id", "part", r("t", 2).alias("t"), r("lat", 8).alias("lat"), "interpolated")
+
+
+@query("JON-14", T("""SELECT a.event_id, arg_min(b.event_id, (b.t, b.event_id)) AS return_id, round(min(b.t) - any_value(a.t), 6) AS after FROM trace a JOIN trace b
+ON a.session = b.session AND b.t - a.t > 100000 AND sqrt(pow(a.e-b.e,2)+pow(a.n-b.n,2)) < 2.2 GROUP BY a.event_id"""))
+def jon_14(spark, sf):
+    d = trace(spark, sf).df
+    got = aj.first_return(d, ["session"], "event_id", "e", "n", "t", 2.2, 100000.0, 300000.0)
+    return got.join(d.select("event_id", "t"), "event_id").select("event_id", "return_id", r(F.col("return_t") - F.col("t")).alias("after"))
