@@ -56,17 +56,28 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -
 
 
 class Ordered:
-    """A DataFrame with the dense position column ``_g`` inside keys; rows stay lazy."""
+    """A DataFrame with the dense position column ``_g`` inside keys; rows stay lazy.
+
+    Between steps the rows may keep their block column, so that a running step after a framed
+    one works in the partitions it finds instead of shuffling again.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], rows: int | None = None):
-        self.df = df
+        self._d = df
         self.keys = list(keys)
         self.rows = rows or block_rows(df.sparkSession)
 
+    @property
+    def df(self) -> DataFrame:
+        return self._d.drop(B)
+
+    def _blocked(self) -> DataFrame:
+        return self._d if B in self._d.columns else self._d.withColumn(B, self._block())
+
     # -- plain row work --------------------------------------------------------------
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> "Ordered":
         """Apply a row-wise step (projection or filter) that keeps keys and ``_g``."""
-        return Ordered(fn(self.df), self.keys, self.rows)
+        return Ordered(fn(self._d), self.keys, self.rows)
 
     def cols(self, **exprs: Column) -> "Ordered":
         return self.map(lambda d: d.withColumns(exprs))
@@ -86,10 +97,10 @@ class Ordered:
 
     def rekey(self, keys: Sequence[str]) -> "Ordered":
         """Group the same order by other keys (a key that follows the order, such as lap)."""
-        return Ordered(self.df, keys, self.rows)
+        return Ordered(self._d, keys, self.rows)
 
     def out(self, *cols: str | Column) -> DataFrame:
-        return self.df.select(*cols) if cols else self.df.drop(G)
+        return self._d.select(*cols) if cols else self.df.drop(G)
 
     def _block(self, rows: int | None = None) -> Column:
         return F.expr(f"{G} div {rows or self.rows}")
@@ -110,11 +121,12 @@ class Ordered:
         if len(homes) > 1:
             d = self.df.withColumn(B, F.explode(F.array_compact(F.array(*homes))))
         else:
-            d = self.df.withColumn(B, own)
+            d = self._blocked() if size == self.rows else self.df.withColumn(B, own)
         w = Window.partitionBy(*self.keys, B).orderBy(G)
         for stage in stages:
             d = d.withColumns({name: fn(w) for name, fn in stage.items()})
-        return Ordered(d.where(F.col(B) == own).drop(B), self.keys, self.rows)
+        d = d.where(F.col(B) == own)
+        return Ordered(d if size == self.rows else d.drop(B), self.keys, self.rows)
 
     def lag(self, before: int = 1, **exprs: Column | str) -> "Ordered":
         return self.over(
@@ -134,10 +146,11 @@ class Ordered:
         """Running aggregates from the start of the key up to each row.
 
         ``specs`` maps a new column to (kind, expression); kinds are sum, count, max, min,
-        last (latest non-null so far) and next (earliest non-null from here on).
+        last (latest non-null so far), next (earliest non-null from here on) and total (the
+        sum over the whole key, from the same carries).
         """
         exprs = {n: (k, F.col(e) if isinstance(e, str) else e) for n, (k, e) in specs.items()}
-        d = self.df.withColumn(B, self._block())
+        d = self._blocked()
         part = Window.partitionBy(*self.keys, B).orderBy(G)
         edge = -1 if exclusive else 0
         past = part.rowsBetween(Window.unboundedPreceding, edge)
@@ -145,6 +158,7 @@ class Ordered:
         ws = Window.partitionBy(*self.keys).orderBy(B)
         before = ws.rowsBetween(Window.unboundedPreceding, -1)
         after = ws.rowsBetween(1, Window.unboundedFollowing)
+        whole = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         local, partial, carry, merged = {}, [], [], {}
         for name, (kind, e) in exprs.items():
             p, c = F.col(f"_p_{name}"), F.col(f"_c_{name}")
@@ -159,6 +173,10 @@ class Ordered:
                     merged[name] = F.coalesce(here + c, here, c)
                 else:
                     merged[name] = (F.greatest if kind == "max" else F.least)(here, c)
+            elif kind == "total":
+                partial.append(F.sum(e).alias(f"_p_{name}"))
+                carry.append(F.sum(p).over(whole).alias(f"_c_{name}"))
+                merged[name] = c
             elif kind == "last":
                 local[name] = F.last(e, True).over(past)
                 partial.append(F.max_by(e, F.when(e.isNotNull(), F.col(G))).alias(f"_p_{name}"))
@@ -173,18 +191,17 @@ class Ordered:
                 raise ValueError(f"unknown running kind {kind}")
         on = [*self.keys, B]
         carries = d.groupBy(*on).agg(*partial).select(*on, *carry)
-        joined = d.withColumns(local).join(carries, on, "left").withColumns(merged)
-        return Ordered(
-            joined.drop(B, *[f"_c_{n}" for n in exprs]), self.keys, self.rows
-        )
+        d = d.withColumns(local) if local else d
+        joined = d.join(carries, on, "left").withColumns(merged)
+        return Ordered(joined.drop(*[f"_c_{n}" for n in exprs]), self.keys, self.rows)
 
     # -- whole keys ------------------------------------------------------------------
     def attach(self, per_key: DataFrame) -> "Ordered":
         """Join one row per key onto all rows of the key, spread over the key's blocks."""
         on = [*self.keys, B]
-        d = self.df.withColumn(B, self._block())
+        d = self._blocked()
         spread = d.select(*on).distinct().join(per_key, self.keys)
-        return Ordered(d.join(spread, on, "left").drop(B), self.keys, self.rows)
+        return Ordered(d.join(spread, on, "left"), self.keys, self.rows)
 
     def totals(self, **aggs: Column) -> "Ordered":
         """Per-key aggregates on every row of the key."""
@@ -226,7 +243,7 @@ class Ordered:
         init = [None if v is None else float(v) for v in init]
         kin = [f.name for f in self.df.schema if f.name in self.keys]
         on = [*kin, B]
-        src = self.df.withColumn(B, self._block())
+        src = self._blocked()
         key_types = ", ".join(f"`{k}` {self.df.schema[k].dataType.simpleString()}" for k in kin)
         empty = F.array(*[F.lit(v).cast("double") for v in init])
 

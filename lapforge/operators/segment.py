@@ -480,3 +480,21 @@ def self_crossing(o: Ordered, lap: str, cell: float, reach: int = 64, x: str = "
         if not open_.limit(1).count():
             return found
         seen, reach = reach, reach * 2
+
+
+def gate_grid(centre: tuple[float, float], heading: tuple[float, float], along: Sequence[float], across: Sequence[float],
+              halves: Sequence[float]) -> dict[str, tuple[float, float, float, float]]:
+    """Candidate gates around a guess: shifted along and across the travel direction, several widths.
+
+    The grid is configuration, so every row tests a fixed number of gates in one pass.
+    """
+    (cx, cy), (hx, hy) = centre, heading
+    size = (hx * hx + hy * hy) ** 0.5
+    ux, uy = hx / size, hy / size
+    out = {}
+    for i, a in enumerate(along):
+        for j, b in enumerate(across):
+            for k, h in enumerate(halves):
+                x, y = cx + a * ux - b * uy, cy + a * uy + b * ux
+                out[f"g{i}_{j}_{k}"] = (x + h * uy, y - h * ux, x - h * uy, y + h * ux)
+    return out

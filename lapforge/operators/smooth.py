@@ -122,11 +122,10 @@ def distance_along(o: Ordered, x: str, y: str, name: str = "dist", fraction: str
     """Cumulative path length in each key and its share of the key's total."""
     o = o.lag(_px=x, _py=y)
     step = F.sqrt(F.pow(F.col(x) - F.col("_px"), 2) + F.pow(F.col(y) - F.col("_py"), 2))
-    o = o.cols(_d=F.coalesce(step, F.lit(0.0))).running(**{name: ("sum", "_d")})
+    o = o.cols(_d=F.coalesce(step, F.lit(0.0))).running(**{name: ("sum", "_d"), "_len": ("total", "_d")})
     if fraction:
-        o = o.attach(o.df.groupBy(*o.keys).agg(F.sum("_d").alias("_len")))
-        o = o.cols(**{fraction: F.col(name) / F.nullif(F.col("_len"), F.lit(0.0))}).map(lambda d: d.drop("_len"))
-    return o.map(lambda d: d.drop("_px", "_py", "_d"))
+        o = o.cols(**{fraction: F.col(name) / F.nullif(F.col("_len"), F.lit(0.0))})
+    return o.map(lambda d: d.drop("_px", "_py", "_d", "_len"))
 
 
 def integral(o: Ordered, col: str, t: str, name: str) -> Ordered:

@@ -439,3 +439,19 @@ SELECT DISTINCT session, lap2 FROM x WHERE abs(det) > 1e-12 AND (qx*sy-qy*sx)/de
 def seg_27b(spark, sf):
     o = trace(spark, sf).cols(lap2=F.expr("i div 32"))
     return sg.self_crossing(o, "lap2", 10.0, reach=8)
+
+
+GRID_ALONG, GRID_ACROSS, GRID_HALVES = [-25.0, -12.5, 0.0, 12.5, 25.0], [-1.0, 0.0, 1.0], [0.4, 1.2, 12.0]
+_GRID_ROWS = ", ".join(f"('g{i}_{j}_{k}', {37.5 + a}, {b}, {h})" for i, a in enumerate(GRID_ALONG) for j, b in enumerate(GRID_ACROSS) for k, h in enumerate(GRID_HALVES))
+
+
+@query("SEG-09", T(f""", st AS (SELECT *, lead(e){W} AS ne, lead(n){W} AS nn, lead(t){W} AS nt FROM trace), g AS (SELECT * FROM (VALUES {_GRID_ROWS}) v(gate, gx, gy, half)),
+cr AS (SELECT session, gate, i, CASE WHEN ne < e THEN 1 ELSE -1 END AS side, t + (gx - e)/(ne - e)*(nt - t) AS tc FROM st, g WHERE ne <> e AND (gx - e)/(ne - e) BETWEEN 0 AND 1 AND n + (gx - e)/(ne - e)*(nn - n) BETWEEN gy - half AND gy + half),
+d AS (SELECT *, tc - lag(tc) OVER (PARTITION BY session, gate, side ORDER BY tc, i) AS gap FROM cr),
+s AS (SELECT session, gate, side, count(*) AS crossings, count(CASE WHEN gap > 200000 AND gap < 700000 THEN 1 END) AS clean, stddev_pop(CASE WHEN gap > 200000 AND gap < 700000 THEN gap END) AS std FROM d GROUP BY ALL HAVING count(*) >= 2)
+SELECT session, max(clean) AS clean, round(min(CASE WHEN clean = top THEN std END), 3) AS std FROM (SELECT *, max(clean) OVER (PARTITION BY session) AS top FROM s) GROUP BY session"""))
+def seg_09(spark, sf):
+    """Grid search for the gate: most clean laps, then the least spread."""
+    gates = sg.gate_grid((37.5, 0.0), (1.0, 0.0), GRID_ALONG, GRID_ACROSS, GRID_HALVES)
+    d = sg.best_gate(trace(spark, sf), gates, "t", (200000, 700000), 2)
+    return d.select("session", "clean", r("std", 3).alias("std"))
