@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import mixing, neardup, pieces
+from lapforge.llm import lines, mixing, neardup, pieces, quality
 from lapforge.llm.common import small_batches
 from lapforge.llm.queries import PIECES
 from lapforge.session import written
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judged(small_batches(docs), labels).where("predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_first(docs)
 
@@ -24,7 +34,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), F.col("e.ids").alias("ids"))
 
 
-STAGES = [("near_dedup", near_dedup), ("mixing", mix), ("encode", encode)]
+STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import fingerprints, mixing, neardup, pieces
+from lapforge.llm import fingerprints, lines, mixing, neardup, pieces, quality, tokens, topk, toxicity, urls
 from lapforge.llm.common import small_batches
+from lapforge.session import written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,34 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = small_batches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.judged(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(topk.integer_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = small_batches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return toxicity.graded(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = small_batches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.section_tokens(docs, RANKS, public_tokenizers.PATTERN)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,5 +65,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op7_simhash_near_dedup, op9_mixing, op10_sentencepiece)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_fingerprints, op2_quality, op3_line_dedup, op4_top_k, op5_toxicity, op6_url_filters, op7_simhash_near_dedup, op8_section_tokens, op9_mixing, op10_sentencepiece)}
+
+#: Integer scores of every query vector against all others, ranked; the other queries cannot be said in SQL.
+SQL: dict[str, str] = {
+    "op4_top_k": """
+        with v as (select vec_id, min(list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint))) as v from embeddings
+            where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 group by vec_id),
+        s as (select q.vec_id as query_id, c.vec_id as vec_id,
+                cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+        r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+        select * from r where rank <= 10""",
+}
