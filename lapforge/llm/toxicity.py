@@ -2,7 +2,7 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector for all ordered thresholds;
 the output is the expected grade. Labels say toxic or not, so toxic training documents are graded
-1 to 3 by how densely they use the words that mark toxic documents.
+1 to 3 by how much they use the words that mark toxic documents.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ class Settings:
     sample: int = 2_500
     chars: int = 16_000_000
     prefixes: tuple[int, ...] = (4, 5, 6)
-    markers: int = 400
+    markers: int = 200
+    lift: float = 4.0
+    surprise: float = 9.2
     grades: int = 3
-    steps: int = 400
-    rate: float = 0.05
-    shrink: float = 1e-3
+    steps: int = 1500
+    rate: float = 0.1
+    shrink: float = 3e-5
 
 
 @dataclass(frozen=True)
@@ -88,18 +90,26 @@ def learn(rows: list[tuple[dict[str, int], int]], s: Settings, share: float) ->
     if not toxic or not clean:
         return Model({}, np.zeros(0), np.array([20.0 + k for k in range(s.grades)]))
     df_t, df_c = Counter(f for c in toxic for f in c), Counter(f for c in clean for f in c)
-    lift = {f: ((n + 0.5) / (len(toxic) + 1)) / ((df_c[f] + 0.5) / (len(clean) + 1)) for f, n in df_t.items() if n >= 3}
-    chosen = sorted((f for f in lift if lift[f] >= 4), key=lambda f: (-df_t[f] * np.log(lift[f]), f))[: s.markers]
+    part = len(toxic) / len(rows)
+
+    def surprise(f: str) -> float:
+        """Log-likelihood ratio of the feature's split against that of all rows."""
+        t, c = df_t[f], df_c[f]
+        return t * np.log(t / ((t + c) * part)) + (c * np.log(c / ((t + c) * (1 - part))) if c else 0.0)
+
+    lift = {f: ((n + 0.5) / (len(toxic) + 1)) / ((df_c[f] + 0.5) / (len(clean) + 1)) for f, n in df_t.items()}
+    gain = {f: surprise(f) for f in lift if lift[f] >= s.lift}
+    chosen = sorted((f for f in gain if gain[f] >= s.surprise), key=lambda f: (-gain[f], f))[: s.markers]
     at = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(rows), len(at)))
     for i, (counts, _) in enumerate(rows):
         for f, n in counts.items():
             if f in at:
                 x[i, at[f]] = np.log1p(n)
-    dense = np.array([sum(n for f, n in c.items() if f in at and not f.endswith("*")) / max(1, sum(n for f, n in c.items() if not f.endswith("*"))) for c, _ in rows])
+    marks = np.array([sum(np.log1p(n) for f, n in c.items() if f in at and not f.endswith("*")) for c, _ in rows])
     flag = np.array([y for _, y in rows])
-    cuts = np.quantile(dense[flag == 1], [k / s.grades for k in range(1, s.grades)])
-    y = np.where(flag == 1, 1 + np.searchsorted(cuts, dense, side="left"), 0)
+    cuts = np.quantile(marks[flag == 1], [k / s.grades for k in range(1, s.grades)])
+    y = np.where(flag == 1, 1 + np.searchsorted(cuts, marks, side="left"), 0)
     # Rows count by how common their label is, as the sample holds more of the rare one.
     weight = np.where(flag == 1, share / max(flag.mean(), 1e-9), (1 - share) / max(1 - flag.mean(), 1e-9))
     w, theta = fit_ordinal(x, y, s.grades, s, weight)

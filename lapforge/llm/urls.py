@@ -134,13 +134,16 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, buck
     slots = F.transform(F.concat(F.coalesce("words", F.array().cast("array<string>")), _chunks(F.col("path"))), slot)
     rows = written(rows.select("page_id", "host", "path", F.coalesce("bad", F.lit(False)).alias("bad"), slots.alias("slots")), "slots")
     tally = rows.select("bad", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(1)).alias("a"))
-    block, allow = np.ones(buckets), np.ones(buckets)
+    block, allow = np.zeros(buckets), np.zeros(buckets)
     for r in tally.toLocalIterator():  # at most ``buckets`` rows
         block[r["slot"]] += r["b"]
         allow[r["slot"]] += r["a"]
+    # Add one to every bucket in use; empty ones are never asked for.
+    used = block + allow > 0
+    block, allow = np.where(used, block + 1, 1), np.where(used, allow + 1, 1)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bad"), 1)).alias("b")).first()
     prior = math.log((size["b"] + 1) / (size["n"] - size["b"] + 1))
-    model = spark.sparkContext.broadcast((np.log(block / block.sum()) - np.log(allow / allow.sum())).astype("float32"))
+    model = spark.sparkContext.broadcast((np.log(block / block[used].sum()) - np.log(allow / allow[used].sum())).astype("float32"))
 
     @F.pandas_udf("double")
     def odds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
