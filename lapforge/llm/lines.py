@@ -67,16 +67,6 @@ def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return sig.select("h1", "h2", F.array(*keys).alias("keys"))
 
 
-def shingles(line: Column, shingle: int) -> Column:
-    b = F.encode(line, "UTF-32")
-    last = F.greatest(F.length(line) - shingle, F.lit(0))
-    return F.struct(b.alias("b"), last.alias("last"))
-
-
-def _set(x: str, shingle: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.col(f"{x}.last")), lambda i: F.xxhash64(F.substring(F.col(f"{x}.b"), i * 4 + 1, F.lit(4 * shingle)))))
-
-
 def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Links (``a``, ``b``: structs of h1, h2) between lines whose shingle sets reach ``similar``.
 
@@ -91,15 +81,20 @@ def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHI
     met = members.join(full, "key")
     ends = F.explode(F.array(F.struct(F.col("lo1").alias("a1"), F.col("lo2").alias("a2")), F.struct(F.col("hi1").alias("a1"), F.col("hi2").alias("a2"))))
     pairs = met.select("h1", "h2", ends.alias("_e")).select("h1", "h2", "_e.a1", "_e.a2").where("h1 <> a1 or h2 <> a2").distinct()
+    def _shingled(line: str) -> list[Column]:
+        return [F.encode(line, "UTF-32").alias("b"), F.greatest(F.length(line) - shingle, F.lit(0)).alias("last")]
+
     text = lines.select("h1", "h2", "l")
     pairs = pairs.join(text, ["h1", "h2"]).withColumnRenamed("l", "_la")
     pairs = pairs.join(text.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("l").alias("_lb")), ["a1", "a2"])
-    sets = pairs.select("h1", "h2", "a1", "a2", held(F.struct(shingles(F.col("_la"), shingle).alias("x"), shingles(F.col("_lb"), shingle).alias("y"))).alias("_s"))
-    sets = sets.select("h1", "h2", "a1", "a2", F.col("_s.x").alias("x"), F.col("_s.y").alias("y"))
-    sets = sets.select("h1", "h2", "a1", "a2", held(F.struct(_set("x", shingle).alias("x"), _set("y", shingle).alias("y"))).alias("_s"))
-    both = F.size(F.array_intersect("_s.x", "_s.y"))
-    sets = sets.select("h1", "h2", "a1", "a2", both.alias("n"), (F.size("_s.x") + F.size("_s.y")).alias("m"))
-    good = sets.where(F.col("n") >= similar * (F.col("m") - F.col("n")))
+    # All shingles of both lines, each pair's in the partition that the join left it in.
+    ids = ["a1", "a2", "h1", "h2"]
+    sides = pairs.select(*ids, F.explode_outer(F.array(F.struct(F.lit(1).alias("side"), *_shingled("_la")), F.struct(F.lit(2).alias("side"), *_shingled("_lb")))).alias("_x"))
+    sides = sides.select(*ids, "_x.side", "_x.b", "_x.last").select(*ids, "side", "b", F.explode_outer(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    hashed = sides.select(*ids, "side", F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("s"))
+    met = hashed.groupBy(*ids, "s").agg(F.bit_or("side").alias("side"))
+    sizes = met.groupBy(*ids).agg(F.count(F.when(F.col("side") == 3, 1)).alias("n"), F.count(F.lit(1)).alias("m"))
+    good = sizes.where(F.col("n") >= similar * F.col("m"))
     node = lambda p, q: F.struct(F.col(p).alias("h1"), F.col(q).alias("h2"))
     return good.select(node("a1", "a2").alias("a"), node("h1", "h2").alias("b"))
 
