@@ -83,6 +83,7 @@ def segment(chunks: DataFrame, counts: DataFrame) -> DataFrame:
 
     Substrings of up to ``LONGEST`` characters meet their unigram counts in a join, so the word
     list may be of any size; each chunk then has at most ``LONGEST`` spans for each character.
+    A whole chunk's count leaves one out, its own host, so a name of one host is no word yet.
     """
     total = max(1, int(counts.agg(F.sum("n").alias("t")).first()["t"] or 1))
     spans = chunks.select("chunk", F.explode(F.sequence(F.lit(1), F.length("chunk"))).alias("i"))
@@ -96,7 +97,8 @@ def segment(chunks: DataFrame, counts: DataFrame) -> DataFrame:
         for texts, spans in batches:
             out = []
             for text, s in zip(texts, spans):
-                known = [(x["i"], x["size"], x["n"]) for x in s] if s is not None else []
+                known = [(x["i"], x["size"], x["n"] - (x["size"] == len(text))) for x in s] if s is not None else []
+                known = [x for x in known if x[2] > 0]
                 out.append([text[a:b] for a, b in viterbi(len(text), known, total)])
             yield pd.Series(out, dtype=object)
 
@@ -106,7 +108,7 @@ def segment(chunks: DataFrame, counts: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, buckets: int = BUCKETS) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule`` and ``verdict`` of every row, and the method's ``block_odds``.
 
-    Unigram counts come from all urls of the table, with the seed words added. A page belongs to
+    Unigram counts come from all hosts and paths of the table, with the seed words added. A page belongs to
     the block class when a strong seed is among its host's words, else to the allow class; naive
     Bayes learns word counts of host and path in hashed buckets, so the model has a fixed size. A
     rule decides where one fits; else log odds above 0 block. Repeated rows are judged alike; null
@@ -115,9 +117,9 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, buck
     spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     base = written(pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id()), "urls")
-    hosts = base.groupBy("host").count()
-    hosts = written(hosts.select("host", "count", _chunks(F.col("host")).alias("chunks")), "hosts")
-    parts = hosts.select(F.explode("chunks").alias("word"), F.col("count").alias("n"))
+    hosts = base.select("host").distinct()
+    hosts = written(hosts.select("host", _chunks(F.col("host")).alias("chunks")), "hosts")
+    parts = hosts.select(F.explode("chunks").alias("word"), F.lit(1).cast("long").alias("n"))
     parts = parts.unionByName(base.select(F.explode(_chunks(F.col("path"))).alias("word"), F.lit(1).cast("long").alias("n")))
     seeds = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in SEEDS])).alias("word"), F.lit(SEED_COUNT).cast("long").alias("n"))
     counts = written(parts.unionByName(seeds).where("word <> '#'").groupBy("word").agg(F.sum("n").alias("n")), "counts")
