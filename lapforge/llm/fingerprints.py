@@ -82,19 +82,20 @@ def edited_fingerprints(documents: DataFrame, radius: int = 3, blocks: int = 5)
     fingerprint within ``radius`` bits, found by the block tables; null for the rest.
     """
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumns({"k": F.xxhash64("text"), "n": F.length("text").cast("long")})
-    place = written(ordered(docs.select("doc_id", "k", "n").distinct(), [], ["doc_id", "k"]).df, "order")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
+    place = written(ordered(docs.select("doc_id", "k", F.length("text").cast("long").alias("n")).distinct(), [], ["doc_id", "k"]).df, "order")
     count = place.count()
     after = place.select(F.expr(f"(_g + 1) % {max(count, 1)}").alias("_g"), F.col("doc_id").alias("p_doc_id"), F.col("k").alias("p_k"),
                          F.floor(F.col("n") / 4).cast("int").alias("need"))
     chain = written(place.select("_g", "doc_id", "k").join(after, "_g").drop("_g"), "chain")
 
+    # Both uses of ``home`` read the same columns, so the texts are shuffled once for the two.
     home = docs.join(chain.withColumnsRenamed({"doc_id": "c_doc_id", "k": "c_k"}), docs["doc_id"].eqNullSafe(F.col("c_doc_id")) & (docs["k"] == F.col("c_k")))
     home = home.drop("c_doc_id", "c_k")
     tails = home.select(F.col("p_doc_id").alias("t_doc_id"), F.col("p_k").alias("t_k"), F.left("text", "need").alias("tail"))
     tails = tails.groupBy("t_doc_id", "t_k").agg(F.first("tail").alias("tail"))
     cut = F.floor(F.col("n") / 4).cast("int")
-    both = home.drop("p_doc_id", "p_k", "need").join(tails, F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("k") == F.col("t_k")))
+    both = home.drop("p_doc_id", "p_k", "need").withColumn("n", F.length("text").cast("long")).join(tails, F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & (F.col("k") == F.col("t_k")))
     both = both.select("doc_id", "k", "n", "text", F.concat(F.left("text", F.col("n").cast("int") - cut), "tail").alias("edited"))
     both = both.withColumns({"_row": F.monotonically_increasing_id(), "edited_sha256": F.sha2("edited", 256)})
     texts = both.select("_row", "doc_id", "k", "n", "edited_sha256", F.posexplode_outer(F.array("text", "edited")).alias("_v", "_text"))
