@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from lapforge.functions.text import ordinal
 from lapforge.operators.ordered import Ordered, ordered
 
-PART_ROWS = 256
+def parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int | None = None) -> Ordered:
+    """Rows of each document numbered in order (``pos``), all in part 0.
 
-
-def parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = PART_ROWS) -> Ordered:
-    """Rows of each document numbered in order and cut into parts of at most ``size`` rows.
-
-    A document of usual size is one part; a huge one becomes several rows, never one giant array.
+    With a ``size``, ``part`` numbers chunks of so many rows; facts of the whole document must then
+    be computed from ``pos``, not from a chunk.
     """
-    return ordered(df, keys, order).position("pos").cols(part=F.floor(F.col("pos") / size))
+    part = F.lit(0).cast("long") if size is None else F.floor(F.col("pos") / size)
+    return ordered(df, keys, order).position("pos").cols(part=part)
 
 
 def gather(o: Ordered, name: str, value: Column) -> DataFrame:
@@ -96,7 +95,7 @@ def clock_line(seconds: Column, text: Column) -> Column:
     return F.format_string("[%02d:%02d] %s", F.floor(s / 60), s % 60, text)
 
 
-def stitched(segments: DataFrame, keys: Sequence[str], start: str, order: str, text: str, size: int = PART_ROWS) -> DataFrame:
+def stitched(segments: DataFrame, keys: Sequence[str], start: str, order: str, text: str, size: int | None = None) -> DataFrame:
     """Segments in order as full text and as clock lines, per document part."""
     o = parts(segments, keys, [start, order], size)
     d = gather(o, "_seg", F.struct(F.col(text).alias("t"), clock_line(F.col(start), F.col(text)).alias("c")))

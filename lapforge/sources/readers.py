@@ -40,11 +40,15 @@ def inventory(rows: DataFrame, required: Sequence[str] = REQUIRED, gps: str = "L
 
 
 def sensor_rates(sensors: Column, rates: Column) -> Column:
-    """Map of sensor name to sample period; a period that is not a number becomes NULL."""
+    """Map of sensor name to sample period; a period that is not a number becomes NULL.
+
+    Of a sensor listed twice the last period counts.
+    """
     names = F.filter(F.transform(F.split(sensors, r"\|"), lambda s: F.trim(s)), lambda s: s != "")
     periods = F.transform(F.split(rates, r"\|"), lambda s: F.trim(s))
     pair = F.transform(names, lambda n, i: F.struct(n.alias("k"), F.get(periods, i).try_cast("int").alias("v")))
-    return F.map_from_entries(pair)
+    later = lambda i: F.slice(names, i + 2, F.size(names))
+    return F.map_from_entries(F.filter(pair, lambda p, i: ~F.array_contains(later(i), p["k"])))
 
 
 def time_span(rows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:

@@ -200,3 +200,23 @@ def test_salted_lookup_matches_plain_join(spark, tiny_blocks):
         got = clean.salted_lookup(left, side, ["k"], F.col("id"), selective=selective).orderBy("id").toPandas()
         assert list(got.id) == list(range(60))
         assert all((v == k * 2) if k < 40 else v != v for k, v in zip(got.k, got.v))
+
+
+def test_a_long_document_is_one_row(spark):
+    """600 rows of one document: no fact depends on how long the document is."""
+    from lapforge.operators import documents as dc
+
+    rows = [(1, i, float(i), f"w{i}") for i in range(600)] + [(2, 0, 0.0, "one")]
+    d = spark.createDataFrame(rows, "doc long, turn int, start double, text string").repartition(7)
+    got = {r["doc"]: r for r in dc.stitched(d, ["doc"], "start", "turn", "text").collect()}
+    assert got[1]["full_text"] == " ".join(f"w{i}" for i in range(600)) and got[1]["part"] == 0
+    assert got[1]["clock_text"].count("\n") == 599 and got[2]["full_text"] == "one"
+
+
+def test_sensor_listed_twice(spark):
+    from pyspark.sql import functions as F
+
+    from lapforge.sources.readers import sensor_rates
+
+    d = spark.createDataFrame([("a|b|a", "1|x|3")], "s string, r string")
+    assert d.select(sensor_rates(F.col("s"), F.col("r")).alias("m")).first()["m"] == {"a": 3, "b": None}
