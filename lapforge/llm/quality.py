@@ -20,7 +20,7 @@ from lapforge.llm.common import WORD
 
 HELD_OUT = 2
 THRESHOLD = 0.7
-WORDS_KEPT = 200_000
+WORDS_KEPT = 500_000
 _words = re.compile(WORD).findall
 
 
