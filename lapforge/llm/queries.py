@@ -71,11 +71,11 @@ QUERIES = {f.__name__: f for f in (
 #: Integer scores of every query vector against all others, ranked; the other queries cannot be said in SQL.
 SQL: dict[str, str] = {
     "op4_top_k": """
-        with v as (select vec_id, min(list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint))) as v from embeddings
+        with v as (select vec_id, min(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as v from embeddings
             where vec_id is not null and embedding is not null
-                and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 group by vec_id),
+                and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 group by vec_id),
         s as (select q.vec_id as query_id, c.vec_id as vec_id,
-                cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+                cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
             from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
         select * from r where rank <= 10""",
