@@ -80,7 +80,10 @@ def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHI
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("h1").alias("lo1"), F.min_by("h2", "h1").alias("lo2"), F.max("h1").alias("hi1"), F.max_by("h2", "h1").alias("hi2")).where("m > 1")
     met = members.join(full, "key")
     ends = F.explode(F.array(F.struct(F.col("lo1").alias("a1"), F.col("lo2").alias("a2")), F.struct(F.col("hi1").alias("a1"), F.col("hi2").alias("a2"))))
-    pairs = met.select("h1", "h2", ends.alias("_e")).select("h1", "h2", "_e.a1", "_e.a2").where("h1 <> a1 or h2 <> a2").distinct()
+    pairs = met.select("h1", "h2", ends.alias("_e")).where("h1 <> _e.a1 or h2 <> _e.a2")
+    own, other = F.struct("h1", "h2"), F.struct(F.col("_e.a1").alias("h1"), F.col("_e.a2").alias("h2"))
+    pairs = pairs.select(F.least(own, other).alias("_p"), F.greatest(own, other).alias("_q"))
+    pairs = pairs.select(F.col("_p.h1").alias("h1"), F.col("_p.h2").alias("h2"), F.col("_q.h1").alias("a1"), F.col("_q.h2").alias("a2")).distinct()
     def _shingled(line: str) -> list[Column]:
         return [F.encode(line, "UTF-32").alias("b"), F.greatest(F.length(line) - shingle, F.lit(0)).alias("last")]
 
