@@ -449,21 +449,23 @@ def best_offset(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str,
 
 
 def self_crossing(o: Ordered, lap: str, cell: float, reach: int = 64, x: str = "e", y: str = "n") -> DataFrame:
-    """Laps whose path crosses itself (neighbouring steps only touch and do not count).
+    """Laps whose path crosses, touches or retraces itself.
 
-    Steps meet in the cells they pass and at most ``reach`` rows apart; the reach doubles for laps
+    Standing samples are dropped first. The joint of neighbouring steps, and of the first and last
+    step of a closed lap, does not count, but a step straight back on the one before it does.
+    Steps meet in the cells they pass and at most ``reach`` steps apart; the reach doubles for laps
     without a crossing so far, until it covers the lap. A crossing lap leaves at once.
     """
-    o = o.rekey([*o.keys, lap]).lead(_nx=x, _ny=y).where("_nx is not null and (_nx <> {0} or _ny <> {1})".format(x, y))
+    o = o.rekey([*o.keys, lap]).lead(_nx=x, _ny=y).where("_nx is not null and (_nx <> {0} or _ny <> {1})".format(x, y)).renumber()
     keys = o.keys
     lo, hi = lambda a, b: F.floor(F.least(a, b) / cell), lambda a, b: F.floor(F.greatest(a, b) / cell)
     s = o.df.select(*keys, F.col(G).alias("i"), F.col(x).alias("x0"), F.col(y).alias("y0"), F.col("_nx").alias("x1"), F.col("_ny").alias("y1"))
     s = s.withColumn("cx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("cy", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
     s = written(s, "steps")
     sizes = s.groupBy(*keys).agg((F.max("i") - F.min("i")).alias("_span"))
-    open_, seen, found = written(sizes, "laps"), 1, None
+    open_, seen, found = written(sizes, "laps"), 0, None
     while True:
-        a = salted_lookup(s, open_, keys, F.col("i"), "inner").drop("_span")
+        a = salted_lookup(s, open_, keys, F.col("i"), "inner")
         slot = lambda c: F.floor(c / reach)
         left = a.withColumn("slot", F.explode(F.array_distinct(F.array(slot(F.col("i") + seen + 1), slot(F.col("i") + reach)))))
         other = a.select(*keys, "cx", "cy", slot(F.col("i")).alias("slot"), *[F.col(c).alias(f"{c}_b") for c in ("i", "x0", "y0", "x1", "y1")])
@@ -472,8 +474,14 @@ def self_crossing(o: Ordered, lap: str, cell: float, reach: int = 64, x: str = "
         rx, ry, sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x1_b") - F.col("x0_b"), F.col("y1_b") - F.col("y0_b")
         det = rx * sy - ry * sx
         qx, qy = F.col("x0_b") - F.col("x0"), F.col("y0_b") - F.col("y0")
-        ok = F.abs(det) > 1e-12
-        cut = F.when(ok, (qx * sy - qy * sx) / det).between(0, 1) & F.when(ok, (qx * ry - qy * rx) / det).between(0, 1)
+        flat, size = F.abs(det) <= 1e-12, rx * rx + ry * ry
+        meet = F.when(~flat, (qx * sy - qy * sx) / det).between(0, 1) & F.when(~flat, (qx * ry - qy * rx) / det).between(0, 1)
+        start, along = (qx * rx + qy * ry) / size, rx * sx + ry * sy
+        end = start + along / size
+        overlap = (F.abs(qx * ry - qy * rx) <= 1e-12) & (F.greatest(start, end) >= 0) & (F.least(start, end) <= 1)
+        closing = (F.col("i_b") - F.col("i") == F.col("_span")) & (F.col("x1_b") == F.col("x0")) & (F.col("y1_b") == F.col("y0"))
+        joined = (F.col("i_b") == F.col("i") + 1) | closing
+        cut = F.when(joined, flat & (along < 0)).when(flat, overlap).otherwise(meet)
         hit = written(j.where(cut).select(*keys).distinct(), "crossing")
         found = hit if found is None else found.unionByName(hit)
         open_ = written(open_.where(F.col("_span") > reach).join(hit, keys, "left_anti"), "laps")

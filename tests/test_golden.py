@@ -71,6 +71,23 @@ def test_gate_on_a_square(spark):
     assert cut((25, 1, 25, 5)) == []
 
 
+def test_self_crossing(spark):
+    paths = {
+        "standing": ([(0, 0), (10, 0), (10, 0), (10, 10), (30, 10)], False),
+        "back": ([(0, 0), (10, 0), (4, 0), (-5, 0)], True),
+        "retraced": ([(0, 0), (10, 0), (10, 5), (20, 5), (20, 0), (5, 0)], True),
+        "eight": ([(0, 0), (10, 10), (10, 0), (0, 10)], True),
+        "closed": ([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], False),
+        "touch": ([(0, 0), (10, 0), (10, 10), (5, 0), (5, -5)], True),
+        "straight": ([(0, 0), (5, 0), (10, 0), (20, 0)], False),
+        "far": ([(0, 0), *[(x, 0) for x in range(1, 30)], (29, 5), (3.5, 5), (3.5, -5)], True),
+    }
+    rows = [(1, lap, i, float(x), float(y)) for lap, (pts, _) in paths.items() for i, (x, y) in enumerate(pts)]
+    o = ordered(spark.createDataFrame(rows, "session long, lap string, i long, e double, n double"), ["session"], ["lap", "i"])
+    found = {r.lap for r in segment.self_crossing(o, "lap", 10.0, reach=4).collect()}
+    assert found == {lap for lap, (_, crosses) in paths.items() if crosses}
+
+
 def test_wrap(spark):
     d = spark.range(1).select(geo.wrap180(F.lit(1.0) - 359.0).alias("a"), geo.wrap180(F.lit(359.0) - 1.0).alias("b"))
     assert tuple(d.first()) == (2.0, -2.0)
