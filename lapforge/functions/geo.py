@@ -128,7 +128,3 @@ def gate_hit(e: ColLike, n: ColLike, e2: ColLike, n2: ColLike, gate: tuple[float
     along = F.when(ok, (qx * ry - qy * rx) / det)
     side = F.when(ry * sx - rx * sy >= 0, 1).otherwise(-1)
     return F.coalesce(frac.between(0, 1) & along.between(0, 1), F.lit(False)), frac, side
-
-
-def deg(x: float) -> float:
-    return math.degrees(x)
