@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.llm.common import held
@@ -22,6 +22,7 @@ BANDS = 6
 ROWS = 3
 SIMILAR = 0.8
 STEP = 8
+CELL = 1024
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -67,23 +68,8 @@ def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return sig.select("h1", "h2", F.array(*keys).alias("keys"))
 
 
-def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Links (``a``, ``b``: structs of h1, h2) between lines whose shingle sets reach ``similar``.
-
-    Lines that share a band's key are candidates. All pairs of a bucket would grow with its square,
-    so each member is compared with the bucket's least and greatest line, in every band; links
-    between the other members follow when the components are found. Every link is verified on
-    the whole lines. A pair of similarity 0.8 shares a band with probability 0.986 (0.9: 0.9996).
-    """
-    keyed = written(band_keys(lines, shingle, bands, rows), "bands")
-    members = keyed.select("h1", "h2", F.explode("keys").alias("key"))
-    full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("h1").alias("lo1"), F.min_by("h2", "h1").alias("lo2"), F.max("h1").alias("hi1"), F.max_by("h2", "h1").alias("hi2")).where("m > 1")
-    met = members.join(full, "key")
-    ends = F.explode(F.array(F.struct(F.col("lo1").alias("a1"), F.col("lo2").alias("a2")), F.struct(F.col("hi1").alias("a1"), F.col("hi2").alias("a2"))))
-    pairs = met.select("h1", "h2", ends.alias("_e")).where("h1 <> _e.a1 or h2 <> _e.a2")
-    own, other = F.struct("h1", "h2"), F.struct(F.col("_e.a1").alias("h1"), F.col("_e.a2").alias("h2"))
-    pairs = pairs.select(F.least(own, other).alias("_p"), F.greatest(own, other).alias("_q"))
-    pairs = pairs.select(F.col("_p.h1").alias("h1"), F.col("_p.h2").alias("h2"), F.col("_q.h1").alias("a1"), F.col("_q.h2").alias("a2")).distinct()
+def _verified(pairs: DataFrame, lines: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (h1, h2, a1, a2) whose shingle sets reach ``similar``, as links ``a``, ``b``."""
     def _shingled(line: str) -> list[Column]:
         return [F.encode(line, "UTF-32").alias("b"), F.greatest(F.length(line) - shingle, F.lit(0)).alias("last")]
 
@@ -98,16 +84,112 @@ def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHI
     met = hashed.groupBy(*ids, "s").agg(F.bit_or("side").alias("side"))
     sizes = met.groupBy(*ids).agg(F.count(F.when(F.col("side") == 3, 1)).alias("n"), F.count(F.lit(1)).alias("m"))
     good = sizes.where(F.col("n") >= similar * F.col("m"))
-    node = lambda p, q: F.struct(F.col(p).alias("h1"), F.col(q).alias("h2"))
-    return good.select(node("a1", "a2").alias("a"), node("h1", "h2").alias("b"))
+    return good.select(_node("a1", "a2").alias("a"), _node("h1", "h2").alias("b"))
+
+
+def _node(p: str, q: str) -> Column:
+    return F.struct(F.col(p).alias("h1"), F.col(q).alias("h2"))
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    """``h1``, ``h2`` and the component's ``label`` of every line that has a link."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    return components(nodes, links).select("node.h1", "node.h2", "label")
+
+
+def _labelled(rows: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``label``; a line without a link is a component of its own. ``by`` differs among a line's rows."""
+    rows = salted_lookup(rows, _linked(links), ["h1", "h2"], F.col(by), "left", selective=True)
+    return rows.withColumn("label", F.coalesce("label", F.struct("h1", "h2")))
+
+
+def _postings(crowd: DataFrame, lines: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """Each line of ``crowd`` (h1, h2, keys) at the rarest of its shingles: ``s``, its place ``at`` and their number ``size``.
+
+    Two lines with ``similar`` share one of the first size - similar * size + 1 shingles of each, in
+    any order common to all; rare ones come first, so lines of one template seldom meet.
+    """
+    text = crowd.join(lines.select("h1", "h2", "l"), ["h1", "h2"])
+    d = text.select("h1", "h2", held(F.struct(F.encode("l", "UTF-32").alias("b"), F.greatest(F.length("l") - shingle, F.lit(0)).alias("last"))).alias("_x"))
+    d = d.select("h1", "h2", "_x.b", F.explode_outer(F.sequence(F.lit(0), F.col("_x.last"))).alias("i"))
+    has = written(d.select("h1", "h2", F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("s")).distinct(), "shingles")
+    d = salted_lookup(has, has.groupBy("s").agg(F.count(F.lit(1)).alias("df")), ["s"], F.col("h1"), "inner", selective=True)
+    own = Window.partitionBy("h1", "h2")
+    d = d.select("h1", "h2", "s", "df", F.row_number().over(own.orderBy("df", "s")).alias("at"), F.count(F.lit(1)).over(own).alias("size"))
+    d = d.where((F.col("df") > 1) & (F.col("at") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1)).drop("df")
+    return written(d.join(crowd.select("h1", "h2", "keys"), ["h1", "h2"]), "postings")
+
+
+def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> DataFrame:
+    """Pairs (h1, h2, a1, a2) of lines that share a band and a posting's shingle and have two labels.
+
+    Lines of a posting's commonest label need no pairs among themselves, so only its other lines
+    meet all lines: in cells of parts dealt by hash, each of ``cell`` lines or so a side. With
+    ``star`` they meet the least of themselves only, which links a family in linear time.
+    """
+    counts = posts.groupBy("s", "label").agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few")).where("few > 0")
+    rows = written(salted_lookup(posts, written(stats, "stats"), ["s"], F.col("h1"), "inner", selective=True), "posts")
+    side = F.struct("h1", "h2", "label", "keys", "at", "size")
+    few = rows.where("label <> big")
+    if star:
+        hub = few.groupBy("s").agg(F.min(side).alias("q"))
+        met = salted_lookup(few.select("s", "big", side.alias("p")), hub, ["s"], F.col("p.h1"), "inner", selective=True)
+    else:
+        pa, pb = F.ceil(F.col("few") / cell).cast("int"), F.ceil(F.col("all") / cell).cast("int")
+        deal = lambda n: F.pmod(F.xxhash64("h1", "h2"), n).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = few.select("s", "big", deal(pa).alias("i"), upto(pb).alias("j"), side.alias("p"))
+        right = rows.select("s", upto(pa).alias("i"), deal(pb).alias("j"), side.alias("q"))
+        met = left.join(right, ["s", "i", "j"])
+    p, q = F.col("p"), F.col("q")
+    own, other = F.struct("p.h1", "p.h2"), F.struct("q.h1", "q.h2")
+    # The first shingle in common bounds the number in common, which 1 + similar of the sum of sizes asks for.
+    most = F.least(p["size"] - p["at"], q["size"] - q["at"]) + 1
+    met = met.where((p["label"] != q["label"]) & ((q["label"] == F.col("big")) | (own != other))
+                    & (most * (1 + similar) >= (p["size"] + q["size"]) * similar - 1e-9) & F.arrays_overlap("p.keys", "q.keys"))
+    met = met.select(F.least(own, other).alias("_p"), F.greatest(own, other).alias("_q"))
+    return met.select(F.col("_p.h1").alias("h1"), F.col("_p.h2").alias("h2"), F.col("_q.h1").alias("a1"), F.col("_q.h2").alias("a2")).distinct()
+
+
+def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, cell: int = CELL) -> DataFrame:
+    """Links (``a``, ``b``: structs of h1, h2) between lines whose shingle sets reach ``similar``.
+
+    Lines that share a band's key are candidates, and the components of the links are those of all
+    such pairs. Each member of a bucket first meets its least and greatest line, in every band; up
+    to three members that is every pair. Members of larger buckets that are then still in more than
+    one component meet where they share one of their rarest shingles, as any two with ``similar``
+    do; pairs already in one component are left out. Every link is verified on the whole lines. A
+    pair of similarity 0.8 shares a band with probability 0.986 (0.9: 0.9996).
+    """
+    keyed = written(band_keys(lines, shingle, bands, rows), "bands")
+    members = keyed.select("h1", "h2", F.explode("keys").alias("key"))
+    full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("h1").alias("lo1"), F.min_by("h2", "h1").alias("lo2"), F.max("h1").alias("hi1"), F.max_by("h2", "h1").alias("hi2")).where("m > 1")
+    met = members.join(full, "key")
+    ends = F.explode(F.array(F.struct(F.col("lo1").alias("a1"), F.col("lo2").alias("a2")), F.struct(F.col("hi1").alias("a1"), F.col("hi2").alias("a2"))))
+    pairs = met.select("h1", "h2", ends.alias("_e")).where("h1 <> _e.a1 or h2 <> _e.a2")
+    own, other = F.struct("h1", "h2"), F.struct(F.col("_e.a1").alias("h1"), F.col("_e.a2").alias("h2"))
+    pairs = pairs.select(F.least(own, other).alias("_p"), F.greatest(own, other).alias("_q"))
+    pairs = pairs.select(F.col("_p.h1").alias("h1"), F.col("_p.h2").alias("h2"), F.col("_q.h1").alias("a1"), F.col("_q.h2").alias("a2")).distinct()
+    links = written(_verified(pairs, lines, similar, shingle), "links")
+    crowded = written(met.where("m > 3").select("h1", "h2", "key"), "crowded")
+    if not crowded.limit(1).count():
+        return links
+    crowded = written(_labelled(crowded, links, "key"), "crowded")
+    mixed = crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    crowd = salted_lookup(crowded, written(mixed, "mixed"), ["key"], F.col("h1"), "inner", selective=True)
+    crowd = written(crowd.groupBy("h1", "h2").agg(F.collect_list("key").alias("keys")), "crowd")
+    posts = _postings(crowd, lines, similar, shingle)
+    for star in (True, False):
+        found = written(_verified(_posting_pairs(_labelled(posts, links, "s"), similar, cell, star), lines, similar, shingle), "links")
+        links = written(links.union(found), "links")
+    return links
 
 
 def removed_lines(documents: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``k`` and ``removed``: (line, keeper_doc, keeper_line) of every line that goes."""
     lines = distinct_lines(documents)
-    links = written(similar_lines(lines, **options), "links")
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    groups = components(nodes, links).select("node.h1", "node.h2", "label")
+    groups = _linked(similar_lines(lines, **options))
     slim = lines.select("h1", "h2", "first", "n").join(groups, ["h1", "h2"], "left").where("n > 1 or label is not null")
     slim = slim.withColumn("label", F.coalesce("label", F.struct("h1", "h2")))
     keeper = slim.groupBy("label").agg(F.min("first").alias("keeper"))

@@ -216,6 +216,23 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.withColumn("removed", df["doc_id"])).columns == [*df.columns, "removed"]
 
 
+@pytest.mark.parametrize("cell", [5, lines.CELL])
+def test_line_dedup_in_a_crowd(spark, cell):
+    """Lines of one template share bands below the similarity; the near copies among them still go."""
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = some(310)
+    made = [head + kin + some(36) for kin in (some(32) for _ in range(60)) for _ in range(2)]
+    rng.shuffle(made)
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(made)], DOC)
+    table = lines.distinct_lines(df)
+    keys = {r["l"]: set(r["keys"]) for r in lines.band_keys(table).join(table, ["h1", "h2"]).collect()}
+    root = groups(made, lambda a, b: keys[a] & keys[b] and jaccard(a, b) >= lines.SIMILAR)
+    assert len(set(root)) < 64
+    got = {r["doc_id"]: r["removed"][0]["keeper_doc"] for r in lines.line_report(df, cell=cell).collect() if r["removed"]}
+    assert got == {i: k for i, k in enumerate(root) if i != k}
+
+
 # -- 4 ---------------------------------------------------------------------------------------
 def test_top_k(spark):
     rng = np.random.default_rng(3)
