@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.llm.common import hex64, majority, vote_sums, word_rows
@@ -117,13 +117,23 @@ def near_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_
     return shards.mapInPandas(_linker(radius), "a long, b long")
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` for every row; see ``near_duplicates``."""
-    rows = documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    terms = word_rows(rows, "text", ["_row", "doc_id"], shingle)
-    terms = terms.select("_row", "doc_id", F.xxhash64("term").alias("_h"), F.col("term").isNotNull().cast("long").alias("_n"))
-    votes = terms.groupBy("_row", "doc_id").agg(F.sum("_n").alias("_t"), *vote_sums(F.col("_h"), F.col("_n")))
-    return votes.select("doc_id", majority(F.col("_t")).alias("fp"))
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``fp`` for every row; see ``near_duplicates``."""
+    rows = documents.select(*keep, "text").withColumn("_row", F.monotonically_increasing_id())
+    terms = word_rows(rows, "text", ["_row", *keep], shingle)
+    terms = terms.select("_row", *keep, F.xxhash64("term").alias("_h"), F.col("term").isNotNull().cast("long").alias("_n"))
+    votes = terms.groupBy("_row", *keep).agg(F.sum("_n").alias("_t"), *vote_sums(F.col("_h"), F.col("_n")))
+    return votes.select(*keep, majority(F.col("_t")).alias("fp"))
+
+
+def _classes(prints: DataFrame, first: Column, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each ``fp`` with its component's ``label``, and each label with the least ``first`` of its rows."""
+    classes = written(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    links = written(near_links(classes.select("fp"), radius, shard_rows), "links")
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    groups = components(ends, links)
+    named = classes.join(groups, classes["fp"] == groups["node"], "left").withColumn("label", F.coalesce("label", "fp"))
+    return named.select("fp", "label"), named.groupBy("label").agg(F.min("first").alias("first"))
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -137,23 +147,26 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     of the component are null. Repeated rows are kept. An empty table gives an empty result.
     """
     prints = written(fingerprints(documents, shingle), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    links = written(near_links(classes.select("fp"), radius, shard_rows), "links")
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    groups = components(ends, links)
-    named = classes.join(groups, classes["fp"] == groups["node"], "left").withColumn("label", F.coalesce("label", "fp"))
-    roots = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = salted_lookup(named.select("fp", "label"), roots, ["label"], F.col("fp"), "inner", selective=True).select("fp", "component_id")
+    named, roots = _classes(prints, F.col("doc_id"), radius, shard_rows)
+    roots = roots.withColumnRenamed("first", "component_id")
+    of = salted_lookup(named, roots, ["label"], F.col("fp"), "inner", selective=True).select("fp", "component_id")
     out = salted_lookup(prints, of, ["fp"], F.xxhash64("doc_id"), "inner", selective=True)
     return out.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with its smallest id, in the columns it came with.
+def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One document of each component, in the columns it came with.
 
-    Rows with the id in common are one document of that name, of which the smallest text stays.
-    When a component has only null ids, one of its rows stays.
+    It is the one with the smallest id (null last), then the smallest hash of the text. Ids need
+    not be unique or known: a row is known by id and text, so texts without a link stay. Rows equal
+    in both are one document, of which the one with the smallest hash of all columns stays.
     """
-    first = near_duplicates(documents, **options).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = documents.join(first, documents["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    cols = documents.columns
+    key = F.xxhash64("text").alias("_k")
+    prints = written(fingerprints(documents.select("doc_id", "text", key), shingle, ["doc_id", "_k"]), "prints")
+    _, roots = _classes(prints, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k"), radius, shard_rows)
+    first = roots.select(F.col("first.doc_id").alias("_id"), F.col("first._k").alias("_k2"))
+    rows = documents.select(F.struct(*cols).alias("_d"), "doc_id", key)
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left_semi")
+    hashed = [F.col("_d")[c] for c in cols if "map<" not in documents.schema[c].dataType.simpleString()]
+    return kept.groupBy("doc_id", "_k").agg(F.min_by("_d", F.xxhash64(*hashed)).alias("_d")).select("_d.*")

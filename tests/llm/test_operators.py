@@ -293,6 +293,19 @@ def test_near_duplicates(docs, texts, shard_rows):
     assert sorted(r["doc_id"] for r in neardup.keep_first(docs).collect()) == sorted({c * 3 for c in comp})
 
 
+def test_keep_first_without_unique_ids(spark):
+    """Texts without a link all stay, whether their ids are null, repeated or both."""
+    rng = random.Random(31)
+    t = [prose(rng, 60) for _ in range(9)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (7, t[3]), (7, t[4]), (7, t[4]), (5, t[5]), (5, t[6]), (9, t[6]), (None, t[6]), (4, t[7]), (None, t[8]), (8, t[8])]
+    df = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], DOC)
+    want = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (5, t[5]), (5, t[6]), (4, t[7]), (8, t[8])]
+    for d in (df.repartition(1), df.repartition(6)):
+        got = [(r["doc_id"], r["text"]) for r in neardup.keep_first(d).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert neardup.keep_first(df).columns == df.columns and neardup.keep_first(df.limit(0)).count() == 0
+
+
 def test_near_links_in_a_crowd(spark):
     rng = random.Random(4)
     base = rng.getrandbits(62)
