@@ -7,6 +7,7 @@ layer is linear, a trained model shrinks to one pair of class scores for each fe
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.llm.common import WORD
+from lapforge.session import written
 
 HELD_OUT = 2
 THRESHOLD = 0.7
@@ -26,7 +28,7 @@ _words = re.compile(WORD).findall
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled documents to fit on, at most; ``sample_chars``: of their texts in all."""
+    """``sample``: labelled documents to fit on, at most, whatever their length."""
 
     buckets: int = 1 << 16
     dims: int = 16
@@ -34,7 +36,6 @@ class Settings:
     epochs: int = 8
     rate: float = 0.5
     sample: int = 4_000
-    sample_chars: int = 16_000_000
     seed: int = 7
 
 
@@ -114,23 +115,36 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, s: Settin
 
 
 def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality") -> np.ndarray:
-    """Scores per bucket learned from a bounded sample; the texts are turned into counts on the executors."""
+    """Scores per bucket learned from a bounded sample; the texts are turned into counts on the executors.
+
+    A document has at most ``s.buckets`` counts however long it is. They come one by one and lie in
+    a temporary file while the driver trains on them, so no document is left out for its length.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for batch in batches:
-            found = [features(t, s, known) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "size": batch["text"].str.len(), "ids": [f[0] for f in found], "counts": [f[1].astype("int32") for f in found]})
-
-    counted = training_rows(documents, labels, label, s).mapInPandas(count, "doc_id long, label int, size long, ids array<int>, counts array<int>")
-    rows, chars = [], 0
-    got = counted.toPandas().sort_values(["doc_id", "size"])
-    for r in got.sample(frac=1, random_state=s.seed).itertuples():
-        chars += r.size
-        if chars > s.sample_chars and rows:
-            break
-        rows.append((np.asarray(r.ids), np.asarray(r.counts), int(r.label)))
-    return train(rows, s)
+            for doc_id, y, t, k in zip(batch["doc_id"], batch["label"], batch["text"], batch["k"]):
+                ids, counts = features(t, s, known)
+                yield pd.DataFrame({"doc_id": [doc_id], "label": [y], "size": [len(t)], "k": [k], "ids": [ids], "counts": [counts.astype("int32")]})
+
+    chosen = training_rows(documents, labels, label, s).withColumn("k", F.xxhash64("text"))
+    counted = written(chosen.mapInPandas(count, "doc_id long, label int, size long, k long, ids array<int>, counts array<int>"), "counted")
+    with tempfile.TemporaryFile() as kept:
+        got, end = [], 0
+        for r in counted.toLocalIterator():
+            both = np.array([r["ids"], r["counts"]], dtype="int32")
+            kept.write(both.tobytes())
+            got.append((r["doc_id"], r["size"], r["k"], r["label"], end, end + both.size))
+            end += both.size
+        kept.flush()
+        all_ = np.memmap(kept, dtype="int32", mode="r", shape=(end,)) if end else np.zeros(0, "int32")
+        got = pd.DataFrame(got, columns=["doc_id", "size", "k", "label", "at", "end"]).sort_values(["doc_id", "size", "k"])
+        rows = []
+        for r in got.sample(frac=1, random_state=s.seed).itertuples():
+            ids, counts = all_[r.at : r.end].reshape(2, -1)
+            rows.append((ids, counts, int(r.label)))
+        return train(rows, s)
 
 
 def score(documents: DataFrame, model: np.ndarray, s: Settings = Settings()) -> Column:

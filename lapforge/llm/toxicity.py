@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.llm.quality import is_held_out
+from lapforge.session import written
 
 WORDS_KEPT = 300_000
 _letters = re.compile(r"[^\W\d_]+").findall
@@ -25,10 +26,9 @@ _letters = re.compile(r"[^\W\d_]+").findall
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: training documents of each label at most; ``chars``: of their texts in all."""
+    """``sample``: training documents of each label at most, whatever their length."""
 
     sample: int = 2_500
-    chars: int = 16_000_000
     prefixes: tuple[int, ...] = (4, 5, 6)
     markers: int = 200
     lift: float = 4.0
@@ -81,33 +81,35 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, s: Settings, weight:
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def learn(rows: list[tuple[dict[str, int], int]], s: Settings, share: float) -> Model:
-    """Markers, weights and thresholds from (feature counts, toxic) rows; ``share``: toxic labels in all.
+def marker_words(counted: DataFrame, toxic: int, clean: int, s: Settings) -> list[str]:
+    """Features that mark toxic rows: those of the highest log-likelihood ratio, with the lift and surprise asked for.
 
-    Without toxic or without clean rows there are no markers and nothing is called toxic.
+    ``counted`` has ``label`` and distinct ``names`` of each row; only the chosen ones reach the driver.
     """
-    toxic, clean = [c for c, y in rows if y], [c for c, y in rows if not y]
-    if not toxic or not clean:
-        return Model({}, np.zeros(0), np.array([20.0 + k for k in range(s.grades)]))
-    df_t, df_c = Counter(f for c in toxic for f in c), Counter(f for c in clean for f in c)
-    part = len(toxic) / len(rows)
+    part = toxic / (toxic + clean)
+    df = counted.select("label", F.explode("names").alias("f")).groupBy("f").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where("t > 0")
+    t, c = F.col("t"), F.col("c")
+    lift = ((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1))
+    # The feature's split against that of all rows.
+    gain = t * F.log(t / ((t + c) * part)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - part)))).otherwise(0.0)
+    df = df.where(lift >= s.lift).select("f", gain.alias("gain")).where(F.col("gain") >= s.surprise)
+    return [r["f"] for r in df.orderBy(F.desc("gain"), "f").limit(s.markers).collect()]
+
 
-    def surprise(f: str) -> float:
-        """Log-likelihood ratio of the feature's split against that of all rows."""
-        t, c = df_t[f], df_c[f]
-        return t * np.log(t / ((t + c) * part)) + (c * np.log(c / ((t + c) * (1 - part))) if c else 0.0)
+def learn(rows: list[tuple[dict[str, int], int]], chosen: list[str], s: Settings, share: float) -> Model:
+    """Weights and thresholds from (counts of chosen features, toxic) rows; ``share``: toxic labels in all.
 
-    lift = {f: ((n + 0.5) / (len(toxic) + 1)) / ((df_c[f] + 0.5) / (len(clean) + 1)) for f, n in df_t.items()}
-    gain = {f: surprise(f) for f in lift if lift[f] >= s.lift}
-    chosen = sorted((f for f in gain if gain[f] >= s.surprise), key=lambda f: (-gain[f], f))[: s.markers]
+    Without toxic or without clean rows there are no markers and nothing is called toxic.
+    """
+    flag = np.array([y for _, y in rows])
+    if not len(rows) or flag.min() == flag.max():
+        return Model({}, np.zeros(0), np.array([20.0 + k for k in range(s.grades)]))
     at = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(rows), len(at)))
     for i, (counts, _) in enumerate(rows):
         for f, n in counts.items():
-            if f in at:
-                x[i, at[f]] = np.log1p(n)
-    marks = np.array([sum(np.log1p(n) for f, n in c.items() if f in at and not f.endswith("*")) for c, _ in rows])
-    flag = np.array([y for _, y in rows])
+            x[i, at[f]] = np.log1p(n)
+    marks = np.array([sum(np.log1p(n) for f, n in c.items() if not f.endswith("*")) for c, _ in rows])
     cuts = np.quantile(marks[flag == 1], [k / s.grades for k in range(1, s.grades)])
     y = np.where(flag == 1, 1 + np.searchsorted(cuts, marks, side="left"), 0)
     # Rows count by how common their label is, as the sample holds more of the rare one.
@@ -117,7 +119,11 @@ def learn(rows: list[tuple[dict[str, int], int]], s: Settings, share: float) ->
 
 
 def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "toxic") -> Model:
-    """A model from at most ``s.sample`` training documents of either label, the first by hash."""
+    """A model from at most ``s.sample`` training documents of either label, the first by hash.
+
+    Features are counted and chosen on the executors, so a chosen document counts as a whole
+    however long it is; the driver gets the counts of at most ``s.markers`` features of each.
+    """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~is_held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     share = marked.agg(F.avg("label").alias("share")).first()["share"] or 0.0
@@ -126,17 +132,16 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), label
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [Counter(f for w in _letters(t) for f in word_features(w, s)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "size": batch["text"].str.len(), "names": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
-
-    counted = chosen.mapInPandas(count, "doc_id long, label int, size long, names array<string>, counts array<int>")
-    rows, chars = [], 0
-    for r in counted.toLocalIterator():
-        chars += r["size"]
-        rows.append((dict(zip(r["names"], r["counts"])), int(r["label"])))
-        if chars > s.chars:
-            break
-    return learn(rows, s, share)
+            for doc_id, y, t in zip(batch["doc_id"], batch["label"], batch["text"]):
+                c = Counter(f for w in _letters(t) for f in word_features(w, s))
+                yield pd.DataFrame({"doc_id": [doc_id], "label": [y], "names": [list(c)], "counts": [list(c.values())]})
+
+    counted = written(chosen.mapInPandas(count, "doc_id long, label int, names array<string>, counts array<int>"), "counted")
+    n = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    markers = marker_words(counted, n[1], n[0], s) if len(n) == 2 else []
+    hits = F.filter(F.arrays_zip("names", "counts"), lambda x: x["names"].isin(markers))
+    rows = counted.select("doc_id", "label", hits.alias("hits")).orderBy("doc_id", "hits").toLocalIterator()
+    return learn([({h["names"]: h["counts"] for h in r["hits"]}, int(r["label"])) for r in rows], markers, s, share)
 
 
 def severity(documents: DataFrame, model: Model, s: Settings = Settings()) -> Column:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -167,6 +168,23 @@ def test_toxicity_held_out(labelled):
     assert all(r["toxic"] == 0 for r in toxicity.graded(docs, labels.limit(0)).collect())
 
 
+def test_a_long_document_leaves_the_others_in_the_sample(spark, labelled):
+    """One labelled text of over 16 M characters comes first; the others are still learned from."""
+    docs, labels = labelled
+    first = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    long = spark.createDataFrame([(first, 1, 0)], "doc_id long, quality int, toxic int")
+    text = spark.range(1).selectExpr(f"cast({first} as bigint) as doc_id", "repeat('plain words ', 1400000) as text", "'en' as lang", "'s' as source", "16800000L as n_chars")
+    docs, labels = text.unionByName(docs), long.unionByName(labels).coalesce(1)
+    seen = [r for r in toxicity.graded(docs, labels).drop("text").collect() if r["held_out"] and r["doc_id"] < 240]
+    assert all(r["toxic"] == int(r["doc_id"] % 5 == 0) for r in seen)
+    for seed in range(300):  # the long text is trained on first
+        order = pd.DataFrame(range(1 + sum(1 for i in range(240) if zlib.crc32(str(i).encode()) % 4 != 2))).sample(frac=1, random_state=seed)
+        if order.index[0] == len(order) - 1:
+            break
+    seen = [r for r in quality.judged(docs, labels, quality.Settings(seed=seed)).drop("text").collect() if r["held_out"] and r["doc_id"] < 240]
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 != 0) for r in seen) >= 0.95 * len(seen)
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 2))
