@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +135,43 @@ def nearest_points(points: DataFrame, targets: DataFrame, pid: str, tid: str, x:
     return out
 
 
+def forward_nearest(rows: DataFrame, reference: DataFrame, keys: Sequence[str], walk: str, rid: str, order: str, ref: str, x: str, y: str,
+                    back: int, ahead: int) -> DataFrame:
+    """Match each row of a walk (a lap) to a reference point near the last match.
+
+    Walks start at the key's first reference point; a row takes the closest of the points from
+    ``back`` before the last match to below ``ahead`` after it, the first of equals. A group is
+    one walk with the key's reference lap. Returns keys, ``walk``, ``rid``, ``ref`` and ``distance``;
+    keys without reference points give no rows.
+    """
+    keys = list(keys)
+    slim = rows.select(*keys, walk, F.col(order).alias("_o"), F.col(rid).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(False).alias("_ref"))
+    points = reference.select(*keys, F.col(ref).alias("_o"), F.col(ref).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    walks = rows.select(*keys, walk).distinct()
+    copies = points.join(walks, keys).withColumn("_ref", F.lit(True))
+    kinds = [f"`{c}` {rows.schema[n].dataType.simpleString()}" for c, n in (*((k, k) for k in keys), (walk, walk), (rid, rid))]
+
+    def follow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_o")
+        is_ref = table.column("_ref").to_numpy(zero_copy_only=False).astype(bool)
+        px, py = (np.asarray(table.column(c).to_numpy(), "float64") for c in ("_x", "_y"))
+        rx, ry, gx, gy = px[is_ref], py[is_ref], px[~is_ref], py[~is_ref]
+        if not len(rx):
+            gx = gx[:0]
+        at, hit, dist = 0, np.zeros(len(gx), "int64"), np.zeros(len(gx))
+        for i in range(len(gx)):
+            lo = max(0, at - back)
+            d2 = (rx[lo : at + ahead] - gx[i]) ** 2 + (ry[lo : at + ahead] - gy[i]) ** 2
+            at = lo + int(np.argmin(d2))
+            hit[i], dist[i] = at, d2[at - lo]
+        mine = table.filter(pa.array(~is_ref)).slice(0, len(gx))
+        found = table.filter(pa.array(is_ref)).column("_id").take(pa.array(hit))
+        return pa.table({**{c: mine.column(c) for c in (*keys, walk)}, rid: mine.column("_id"), ref: found, "distance": pa.array(np.sqrt(dist))})
+
+    both = slim.unionByName(copies)
+    return both.groupBy(*keys, walk).applyInArrow(follow, ", ".join([*kinds, f"`{ref}` {both.schema['_id'].dataType.simpleString()}", "distance double"]))
+
+
 def landmark_snap(df: DataFrame, keys: Sequence[str], marks: dict[str, tuple[float, float]], x: str, y: str,
                   order: str, keep: Sequence[str]) -> DataFrame:
     """Closest sample to each fixed landmark, per key, first in order on ties."""

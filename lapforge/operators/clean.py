@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.functions.geo import haversine, hypot
+from lapforge.operators.chains import run_rule, spaced
 from lapforge.operators.ordered import G, Ordered
 from lapforge.session import fits_broadcast, written
 
@@ -138,15 +139,7 @@ def distinct_points(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def decimate(o: Ordered, hz: float, t: str = "t") -> Ordered:
     """Keep a row once at least 1/hz has passed since the last kept row."""
-    gap = 1.0 / hz
-
-    def step(state, row):
-        last = state[0]
-        if last is None or row[0] - last >= gap:
-            return [row[0]], (True,)
-        return state, (False,)
-
-    return o.fold([t], [None], step, "_keep boolean").where("_keep").map(lambda d: d.drop("_keep"))
+    return run_rule(o, spaced(t, 1.0 / hz, strict=False)).where("_keep").map(lambda d: d.drop("_keep"))
 
 
 def every_nth(o: Ordered, n: int) -> Ordered:

@@ -8,22 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.functions.text import ordinal
-from lapforge.operators.ordered import Ordered, ordered
+from lapforge.operators.ordered import ordered
 
-def parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int | None = None) -> Ordered:
-    """Rows of each document numbered in order (``pos``), all in part 0.
+#: Rows of a document that go into one text row.
+PART_ROWS = 4096
 
-    With a ``size``, ``part`` numbers chunks of so many rows; facts of the whole document must then
-    be computed from ``pos``, not from a chunk.
-    """
-    part = F.lit(0).cast("long") if size is None else F.floor(F.col("pos") / size)
-    return ordered(df, keys, order).position("pos").cols(part=part)
 
+def assemble(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, facts: dict[str, Column] | None = None, head: int = 0,
+             width: Column | None = None, size: int = PART_ROWS) -> DataFrame:
+    """Documents as ordered arrays: keys, ``part``, ``first``, ``items``, ``head`` and the ``facts``.
 
-def gather(o: Ordered, name: str, value: Column) -> DataFrame:
-    """Ordered array of ``value`` per document part."""
-    pairs = F.array_sort(F.collect_list(F.struct("pos", value.alias("v"))))
-    return o.df.groupBy(*o.keys, "part").agg(F.transform(pairs, lambda p: p["v"]).alias(name))
+    ``items`` are ``size`` items at most; a longer document has several parts, and ``first`` is the
+    position of a part's first item. With ``width`` (bytes an item takes) ``offset`` is where the
+    part starts. ``head`` (the document's first items) and ``facts`` (aggregates over all its rows)
+    stand on every part and do not depend on ``size``. While no document is longer than that, one
+    aggregate builds them all; longer ones are numbered in blocks and spread over tasks.
+    """
+    keys, facts = list(keys), facts or {}
+    rows = df.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order)} | {"_item": item, "_w": F.lit(0).cast("long") if width is None else width.cast("long")})
+    ranks = [f"_o{i}" for i in range(len(order))]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    whole = [e.alias(n) for n, e in facts.items()]
+    if not sizes.where(F.col("_n") > size).limit(1).count():
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(*ranks, F.col("_item")))), lambda x: x["_item"])
+        d = rows.groupBy(*keys).agg(listed.alias("items"), *whole)
+        at = {"part": F.lit(0).cast("long"), "first": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}
+        d = d.withColumns(at | {"head": F.slice("items", 1, max(head, 1))})
+    else:
+        o = ordered(rows, keys, ranks).position("_pos").running(exclusive=True, _at=("sum", "_w"))
+        o = o.cols(part=F.floor(F.col("_pos") / size)).cut()
+        listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_item"))), lambda x: x["_item"]).alias(c)
+        d = o.df.groupBy(*keys, "part").agg(listed("items"), F.min("_pos").alias("first"), F.coalesce(F.min("_at"), F.lit(0)).alias("offset"))
+        top = o.df.where(F.col("_pos") < max(head, 1)).groupBy(*keys).agg(listed("head"))
+        if whole:
+            top = top.join(o.df.groupBy(*keys).agg(*whole), keys)
+        d = d.join(top, keys)
+    return d.select(*keys, "part", "first", "items", *(["head"] if head else []), *(["offset"] if width is not None else []), *facts)
 
 
 def outcome_text(name: Column, place: Column, points: Column, status: Column, group: Column) -> Column:
@@ -95,9 +115,10 @@ def clock_line(seconds: Column, text: Column) -> Column:
     return F.format_string("[%02d:%02d] %s", F.floor(s / 60), s % 60, text)
 
 
-def stitched(segments: DataFrame, keys: Sequence[str], start: str, order: str, text: str, size: int | None = None) -> DataFrame:
-    """Segments in order as full text and as clock lines, per document part."""
-    o = parts(segments, keys, [start, order], size)
-    d = gather(o, "_seg", F.struct(F.col(text).alias("t"), clock_line(F.col(start), F.col(text)).alias("c")))
-    return d.select(*keys, "part", F.array_join(F.transform("_seg", lambda s: s["t"]), " ").alias("full_text"),
-                    F.array_join(F.transform("_seg", lambda s: s["c"]), "\n").alias("clock_text"))
+def stitched(segments: DataFrame, keys: Sequence[str], start: str, order: str, text: str, size: int = PART_ROWS) -> DataFrame:
+    """Segments in order as full text and as clock lines, per document part; ``offset`` is the
+    part's first byte in the full text. Parts join with the same blank or line feed as segments."""
+    item = F.struct(F.col(text).alias("t"), clock_line(F.col(start), F.col(text)).alias("c"))
+    d = assemble(segments, keys, [start, order], item, width=F.octet_length(text) + 1, size=size)
+    return d.select(*keys, "part", "offset", F.array_join(F.transform("items", lambda s: s["t"]), " ").alias("full_text"),
+                    F.array_join(F.transform("items", lambda s: s["c"]), "\n").alias("clock_text"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapforge.operators.asof import asof, interpolate
+from lapforge.operators.asof import interpolate
 from lapforge.operators.clean import salted_lookup
-from lapforge.operators.ordered import G, ordered, quantiles
+from lapforge.operators.lags import correlate, floats, in_cells, schema_of, with_keys
+from lapforge.operators.ordered import B, G, ordered
 from lapforge.session import written
 
 
@@ -21,16 +24,41 @@ def boundaries(sheets: DataFrame, keys: Sequence[str], lap: str, lap_time: str)
 
 
 def anchor_scores(crossings: DataFrame, bounds: DataFrame, rec: Sequence[str], sheet: str, t: str, tie: str) -> DataFrame:
-    """Median boundary error for every crossing tried as the start of lap 1.
+    """Median boundary error ``err_med`` for every crossing tried as the ``start`` of lap 1.
 
-    Each expected boundary looks up its nearest crossing by an as-of join, so work grows with
-    crossings times laps on the sheet, never with pairs of crossings.
+    Crossings are dealt into time cells as long as the longest sheet, so a cell sees every crossing
+    that its starts can reach, and one sheet is one array a cell. Errors of all starts of a cell
+    are looked up at once; no pair of crossings or boundaries becomes a row.
     """
-    starts = crossings.select(*rec, F.col(t).alias("start"), F.col(tie).alias("_s"))
-    want = salted_lookup(starts, bounds, rec, F.col("_s"), "inner").withColumns(
-        {t: F.col("start") + F.col("cum"), tie: F.col("_s") * 1000 + F.col("b")})
-    d = asof(want, crossings, rec, t, tie, [], "nearest").withColumn("err", F.abs(F.col("r_t") - F.col(t)))
-    return quantiles(d, [*rec, sheet, "start"], ["err"], {"med": 0.5})
+    rec = list(rec)
+    longest = bounds.agg(F.max("cum").alias("n")).first()["n"] or 1.0
+    x = crossings.withColumn("_v", F.lit(0.0))
+    rows = written(in_cells(x, x, rec, t, tie, "_v", float(longest)), "crossings")
+    laps = bounds.groupBy(*rec, sheet).agg(F.sort_array(F.collect_list("cum")).alias("_cum"))
+    cells = rows.where("not _right").select(*rec, "_cell").distinct()
+    both = rows.unionByName(salted_lookup(cells, laps, rec, F.col("_cell"), "inner"), allowMissingColumns=True)
+
+    def score(table: pa.Table) -> pa.Table:
+        right = table.column("_right").to_pylist()
+        time = floats(table, "_t")
+        other = np.sort(time[[v is True for v in right]])
+        start = np.sort(time[[v is False for v in right]])
+        sheets, starts, med = [], [], []
+        for name, cum in zip(table.column(sheet).to_pylist(), table.column("_cum").to_pylist()):
+            if cum is None or not len(start):
+                continue
+            at = start[:, None] + np.asarray(cum)
+            after = np.searchsorted(other, at)
+            left, last = np.maximum(after - 1, 0), np.minimum(after, len(other) - 1)
+            err = np.sort(np.minimum(np.abs(other[left] - at), np.abs(other[last] - at)), axis=1)
+            lo, hi = err[:, (len(cum) - 1) // 2], err[:, len(cum) // 2]
+            sheets.extend([name] * len(start))
+            starts.extend(start)
+            med.extend(lo + (hi - lo) * 0.5)
+        return with_keys(table, rec, **{sheet: pa.array(sheets, table.schema.field(sheet).type), "start": np.array(starts, "float64"), "err_med": np.array(med, "float64")})
+
+    kind = bounds.schema[sheet].dataType.simpleString()
+    return both.groupBy(*rec, "_cell").applyInArrow(score, schema_of(crossings, rec, f"`{sheet}` {kind}, start double, err_med double"))
 
 
 def anchor(scores: DataFrame, rec: Sequence[str], sheet: str) -> DataFrame:
@@ -62,12 +90,15 @@ def window_scores(windows: DataFrame, sheets: DataFrame, anchors: DataFrame, rec
     return d.withColumn("score", F.col("med_err") + over)
 
 
-def greedy_assign(scores: DataFrame, a: str, b: str, score: str) -> DataFrame:
+def greedy_assign(scores: DataFrame, a: str, b: str, score: str, error: str | None = None, limit: float | None = None) -> DataFrame:
     """One-to-one assignment by ascending score, ties by the keys.
 
-    Every round takes all pairs that are best for both sides at once, which is what a greedy
-    pass over the sorted pairs would take; rounds repeat on what is left until it is empty.
+    Pairs whose ``error`` is above ``limit`` take no part. Every round takes all pairs that are
+    best for both sides at once, which is what a greedy pass over the sorted pairs would take;
+    rounds repeat on what is left until it is empty.
     """
+    if error is not None:
+        scores = scores.where(F.col(error) <= limit)
     rest, taken = written(scores.select(a, b, score), "assign"), None
     while True:
         key = F.struct(score, a, b)
@@ -80,13 +111,62 @@ def greedy_assign(scores: DataFrame, a: str, b: str, score: str) -> DataFrame:
             return taken
 
 
+def with_unmatched(assigned: DataFrame, sheets: DataFrame, b: str) -> DataFrame:
+    """The assignment and a row for every sheet that got none; its other columns are null."""
+    left = sheets.select(b).distinct().join(assigned.select(b), b, "left_anti")
+    return assigned.unionByName(left, allowMissingColumns=True)
+
+
+def best_run(laps: np.ndarray, sheet: np.ndarray) -> tuple[float, int]:
+    """Lowest RMSE of ``sheet`` against its length of neighbouring laps, and the first place with it.
+
+    Squares are prefix sums and products one transform; places that may be the best are then
+    measured lap by lap.
+    """
+    n = len(sheet)
+    centre = sheet.mean()
+    v, o = laps - centre, sheet - centre
+    square = np.append(0.0, np.cumsum(v * v))
+    rough = square[n:] - square[:-n] - 2 * correlate(o, v, 0, len(v) - n) + (o * o).sum()
+    near = np.flatnonzero(rough <= rough.min() + 1e-9 * (1.0 + square[-1]))
+    exact = [np.sqrt(np.mean((laps[k : k + n] - sheet) ** 2)) for k in near]
+    k = int(np.argmin(exact))
+    return float(exact[k]), int(near[k])
+
+
 def align_laps(detected: DataFrame, official: DataFrame, keys: Sequence[str], idx: str, value: str, band: tuple[float, float]) -> DataFrame:
-    """Offset of the official laps in the detected ones with the lowest RMSE over all official laps."""
-    need = official.groupBy(*keys).agg(F.count(F.lit(1)).alias("_need"))
-    off = official.select(*keys, F.col(idx).alias("_oi"), F.col(value).alias("_ov")).join(need, list(keys))
-    d = detected.where(F.col(value).between(*band))
-    j = salted_lookup(d, off, keys, F.col(idx), "inner").withColumn("offset", F.col(idx) - F.col("_oi")).where("offset >= 0")
-    s = j.groupBy(*keys, "offset").agg(
-        F.sqrt(F.avg(F.pow(F.col(value) - F.col("_ov"), 2))).alias("rmse"), F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
-    best = F.min(F.struct("rmse", "offset"))
-    return s.where("_n = _need").groupBy(*keys).agg(best.alias("b")).select(*keys, "b.offset", "b.rmse")
+    """Offset of the official laps in the detected ones with the lowest RMSE over all official laps.
+
+    Only laps inside ``band`` count. A key with fewer of them than official laps is compared from
+    its first on, over those it has. Blocks of detected laps get the first laps of the next block,
+    as many as the longest sheet has, and the key's sheet as one array.
+    """
+    keys = list(keys)
+    sheet = official.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(idx, F.col(value).cast("double").alias("v")))).alias("_s")).select(*keys, F.col("_s.v").alias("_sheet"))
+    longest = sheet.agg(F.max(F.size("_sheet")).alias("n")).first()["n"] or 1
+    o = ordered(detected.where(F.col(value).between(*band)), keys, [idx]).position("_i").totals(_n=F.count(F.lit(1)))
+    size = max(o.rows, longest)
+    own = F.expr(f"{G} div {size}")
+    homes = F.array_compact(F.array(own, F.when(F.expr(f"{G} % {size} < {longest}"), own - 1)))
+    rows = o.df.select(*keys, G, "_i", "_n", F.col(value).cast("double").alias("_v"), F.explode(homes).alias(B))
+    blocks = o.df.select(*keys, own.alias(B)).distinct()
+    rows = rows.unionByName(salted_lookup(blocks, sheet, keys, F.col(B), "inner"), allowMissingColumns=True)
+
+    def slide(table: pa.Table) -> pa.Table:
+        sheets = [v for v in table.column("_sheet").to_pylist() if v is not None]
+        place = floats(table, "_i")
+        laps = ~np.isnan(place)
+        rmse, offset = [], []
+        if sheets and laps.any():
+            order = np.argsort(place[laps])
+            at, v = place[laps][order].astype("int64"), floats(table, "_v")[laps][order]
+            want, n = np.asarray(sheets[0]), int(np.nanmax(floats(table, "_n")))
+            if n < len(want):
+                want = want[:n]
+            if len(v) >= len(want):
+                best, k = best_run(v, want)
+                rmse, offset = [best], [int(at[k])]
+        return with_keys(table, keys, rmse=np.array(rmse, "float64"), offset=np.array(offset, "int64"))
+
+    s = rows.groupBy(*keys, B).applyInArrow(slide, schema_of(detected, keys, "rmse double, offset long"))
+    return s.groupBy(*keys).agg(F.min(F.struct("rmse", "offset")).alias("b")).select(*keys, "b.offset", "b.rmse")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapforge.session import block_rows, written
+from lapforge.session import block_rows, fits_broadcast, written
 
 G = "_g"
 B = "_b"
@@ -346,37 +346,63 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one wide row: ``<col>_<name>``.
 
-    Values are counted first (repeats collapse map-side) and then ranked by running counts
-    over ordered blocks, so no buffer holds all values of a key. NULLs are ignored; a key
-    with only NULLs keeps its row.
+    A key with at most a block of rows sorts its values in one aggregate. For larger keys a
+    mergeable sketch brackets every wanted rank, one more scan counts what lies below each bracket
+    and the distinct values inside, and only those are ranked: no buffer holds all values of a
+    key. NULLs are ignored; a key with only NULLs keeps its row.
     """
-    keys = list(keys)
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
-        ).alias("x"),
-    ).select(*keys, "x.c", "x.v")
-    freq = long.groupBy(*keys, "c", "v").agg(F.count(F.lit(1)).alias("m"))
-    freq = written(freq.where("v is not null"), "freq")
-    totals = freq.groupBy(*keys, "c").agg(F.sum("m").alias("total"))
-    ranked = ordered(freq, [*keys, "c"], ["v"]).attach(totals).running(upto=("sum", "m")).df
+    keys, limit = list(keys), block_rows(df.sparkSession)
+    slim = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(cols)])
+    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if not sizes.where(F.col("_n") > limit).limit(1).count():
+        return _sorted_quantiles(slim, keys, cols, qs)
+    if not keys:
+        return _ranked_quantiles(slim, keys, cols, qs)
+    hot = written(sizes.where(F.col("_n") > limit).select(*keys), "hot")  # at most rows / limit keys
+    small = slim.join(F.broadcast(hot) if fits_broadcast(hot) else hot, keys, "left_anti")
+    return _sorted_quantiles(small, keys, cols, qs).unionByName(_ranked_quantiles(slim.join(hot, keys, "left_semi"), keys, cols, qs))
+
+
+def _sorted_quantiles(slim: DataFrame, keys: list[str], cols: Sequence[str], qs: dict[str, float]) -> DataFrame:
+    lists = slim.groupBy(*keys).agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in dict.fromkeys(cols)])
     picks = []
-    for name, q in qs.items():
-        at = F.lit(float(q)) * (F.col("total") - 1)
-        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("upto") - F.col("m") <= pos) & (pos < F.col("upto"))
-            picks.append(F.max(F.when(hit, F.col("v"))).alias(f"{name}_{side}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"{name}_f"))
-    got = ranked.groupBy(*keys, "c").agg(*picks)
-    value = {
-        name: F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * F.col(f"{name}_f")
-        for name in qs
-    }
-    wide = [
-        F.max(F.when(F.col("c") == c, e)).alias(f"{c}_{name}") for c in cols for name, e in value.items()
-    ]
-    found = got.groupBy(*keys).agg(*wide) if keys else got.agg(*wide)
+    for c in cols:
+        for name, q in qs.items():
+            at = F.lit(float(q)) * (F.size(c) - 1)
+            lo, hi = F.get(c, F.floor(at).cast("int")), F.get(c, F.ceil(at).cast("int"))
+            picks.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"{c}_{name}"))
+    return lists.select(*keys, *picks)
+
+
+_SKETCH = 10_000
+
+
+def _ranked_quantiles(slim: DataFrame, keys: list[str], cols: Sequence[str], qs: dict[str, float]) -> DataFrame:
+    """The quantiles of keys of more than a block of rows. The sketch is off by at most one in
+    ``_SKETCH`` ranks; brackets reach twice as far on both sides, and three rows at least."""
+    reach = max(2.0 / _SKETCH, 3.0 / block_rows(slim.sparkSession))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])
+    long = slim.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*").where("v is not null")
+    ends = [min(1.0, max(0.0, q + d * reach)) for q in qs.values() for d in (-1, 1)]
+    sketch = long.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("total"), F.min("v").alias("least"), F.max("v").alias("most"),
+                                          F.percentile_approx("v", ends, _SKETCH).alias("e"))
+    marks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.get("e", F.lit(2 * i)).alias("from"),
+                                         F.get("e", F.lit(2 * i + 1)).alias("to")) for i, (name, q) in enumerate(qs.items())]))
+    wide = F.struct(F.col("m.name").alias("name"), F.col("m.q").alias("q"), F.when(F.col("m.q") <= reach, F.col("least")).otherwise(F.col("m.from")).alias("from"),
+                    F.when(F.col("m.q") >= 1 - reach, F.col("most")).otherwise(F.col("m.to")).alias("to"))
+    marks = written(sketch.select(*keys, "c", "total", "least", "most", marks.alias("m")).select(*keys, "c", "total", wide.alias("m")).select(*keys, "c", "total", "m.*"), "marks")
+    # Marks are a few rows for each of the few hot keys.
+    near = long.join(F.broadcast(marks) if fits_broadcast(marks) else marks, [*keys, "c"]).where(F.col("v") <= F.col("to"))
+    value = F.when(F.col("v") >= F.col("from"), F.col("v"))
+    freq = written(near.groupBy(*keys, "c", "name", value.alias("v")).agg(F.count(F.lit(1)).alias("m")), "freq")
+    below = freq.where("v is null").select(*keys, "c", "name", F.col("m").alias("below"))
+    stats = marks.join(below, [*keys, "c", "name"], "left").select(*keys, "c", "name", "total", "q", F.coalesce("below", F.lit(0)).alias("below"))
+    ranked = ordered(freq.where("v is not null"), [*keys, "c", "name"], ["v"]).attach(stats).running(upto=("sum", "m")).df
+    at, upto = F.col("q") * (F.col("total") - 1), F.col("below") + F.col("upto")
+    hit = lambda pos: F.max(F.when((upto - F.col("m") <= pos) & (pos < upto), F.col("v")))
+    got = ranked.groupBy(*keys, "c", "name").agg(hit(F.floor(at)).alias("lo"), hit(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("f"))
+    got = got.withColumn("v", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f"))
+    wide = [F.max(F.when((F.col("c") == c) & (F.col("name") == name), F.col("v"))).alias(f"{c}_{name}") for c in cols for name in qs]
     if not keys:
-        return found
-    return long.select(*keys).distinct().join(found, keys, "left")
+        return got.agg(*wide)
+    return slim.select(*keys).distinct().join(got.groupBy(*keys).agg(*wide), keys, "left")

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.operators.clean import salted_lookup
-from lapforge.operators.documents import gather, parts
+from lapforge.operators.documents import assemble
 from lapforge.operators.ordered import G, ordered
 from lapforge.session import written
 
@@ -23,35 +24,129 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, field: str, query: str, text: str) -> DataFrame:
-    """BM25 score of every document sharing a term with a query: (query, doc, score).
+def _postings(docs: DataFrame, doc: str, fields: Sequence[str], terms: list[str]) -> DataFrame:
+    """``doc`` and for field i its length ``dl<i>`` and the ids ``t<i>`` and counts ``f<i>`` of its
+    ``terms``, a sorted list. Texts are split on the JVM; counting is done for a batch at once."""
+    known = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), *[tokens(F.col(f)).alias(f"ts{i}") for i, f in enumerate(fields)])
 
-    Term counts are combined per document before any join; a frequent term is salted; document
-    and term statistics are scalars or one row per term.
+    def count(batches):
+        for b in batches:
+            cols = {"doc": b.column("doc")}
+            for i in range(len(fields)):
+                lists = b.column(f"ts{i}")
+                at = pc.index_in(lists.flatten(), value_set=known.value)
+                row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                fine = at.is_valid().to_numpy(zero_copy_only=False)
+                pair, n = np.unique(row[fine] * max(len(terms), 1) + at.drop_null().to_numpy(), return_counts=True)
+                starts = np.searchsorted(pair // max(len(terms), 1), np.arange(b.num_rows + 1)).astype("int32")
+                cols[f"dl{i}"] = pc.list_value_length(lists)
+                cols[f"t{i}"] = pa.ListArray.from_arrays(pa.array(starts), pa.array((pair % max(len(terms), 1)).astype("int32")))
+                cols[f"f{i}"] = pa.ListArray.from_arrays(pa.array(starts), pa.array(n.astype("int32")))
+            yield pa.RecordBatch.from_pydict(cols)
+
+    schema = ", ".join(["doc long", *[f"dl{i} int, t{i} array<int>, f{i} array<int>" for i in range(len(fields))]])
+    return rows.mapInArrow(count, schema)
+
+
+class _Best:
+    """The k best documents of one query so far, ties to the lower document."""
+
+    def __init__(self, k: int):
+        self.k, self.docs, self.scores = k, np.zeros(0, "int64"), np.zeros(0)
+
+    @property
+    def least(self) -> float:
+        """What a document must reach to enter."""
+        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+
+    def add(self, docs: np.ndarray, scores: np.ndarray) -> None:
+        fine = scores >= self.least
+        docs, scores = np.append(self.docs, docs[fine]), np.append(self.scores, scores[fine])
+        order = np.lexsort((docs, -scores))[: self.k]
+        self.docs, self.scores = docs[order], scores[order]
+
+
+def _score_blocks(queries: list[tuple], boosts: Sequence[float], avgdl: Sequence[float], k: int):
+    """Best documents of every query over the batches of a task.
+
+    A batch is a block: its postings are grouped by term, with the term's highest impact. A query
+    whose highest impacts do not add up to its k-th score so far passes the block over; the bound
+    carries the same rounding as the scores.
     """
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(field)).alias("ts"))
-    n, avgdl = t.agg(F.count(F.lit(1)), F.avg(F.size("ts"))).first()  # two numbers
-    q = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term"))
-    q = q.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocab = q.select("term").distinct()
-    tf = t.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = written(salted_lookup(tf, vocab, ["term"], F.col("doc"), "inner"), "postings")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(df, "term").withColumn("w", idf * F.col("qtf")).select("query", "term", "w")
-    j = salted_lookup(tf, weights, ["term"], F.col("doc"), "inner")
-    part = F.col("w") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    # Equal texts must tie whatever order their terms are summed in.
-    return j.groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
-
-
-def lexical(docs: DataFrame, queries: DataFrame, doc: str, fields: dict[str, float], query: str, text: str) -> DataFrame:
-    """Best boosted field score per (query, doc)."""
-    scores = None
-    for field, boost in fields.items():
-        s = bm25(docs, queries, doc, field, query, text).withColumn("score", F.col("score") * float(boost))
-        scores = s if scores is None else scores.unionByName(s)
-    return scores.groupBy("query", "doc").agg(F.max("score").alias("score"))
+    def apply(batches):
+        best = [_Best(k) for _ in queries]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs, blocks = b.column("doc").to_numpy(), []
+            for i, mean in enumerate(avgdl):
+                lists = b.column(f"t{i}")
+                term, tf = lists.flatten().to_numpy(), b.column(f"f{i}").flatten().to_numpy()
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy())
+                dl = pc.fill_null(b.column(f"dl{i}"), 0).to_numpy()
+                impact = tf / (tf + K1 * (1 - B + B * dl[row] / mean))
+                order = np.argsort(term, kind="stable")
+                term, row, impact = term[order], row[order], impact[order]
+                first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, int)
+                top = np.maximum.reduceat(impact, first) if len(first) else impact
+                blocks.append((term[first], np.append(first, len(term)), row, impact, top))
+            for (_, per_field), own in zip(queries, best):
+                score = np.zeros(len(docs))
+                for (terms, weights), (have, starts, row, impact, top), boost in zip(per_field, blocks, boosts):
+                    at = np.searchsorted(have, terms)
+                    fine = at < len(have)
+                    fine[fine] = have[at[fine]] == terms[fine]
+                    at, w = at[fine], weights[fine]
+                    if not len(at) or boost * np.round((w * top[at]).sum() + 1e-9, 9) < own.least:
+                        continue
+                    part = np.zeros(len(docs))
+                    for a, weight in zip(at, w):
+                        hit = slice(starts[a], starts[a + 1])
+                        part[row[hit]] += weight * impact[hit]
+                    score = np.maximum(score, boost * np.round(part, 9))
+                hits = np.flatnonzero(score > 0)
+                own.add(docs[hits], score[hits])
+        ids = [q for (q, _), own in zip(queries, best) for _ in own.docs]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([o.docs for o in best]), pa.int64()),
+                                          pa.array(np.concatenate([o.scores for o in best]), pa.float64())], names=["query", "doc", "score"])
+
+    return apply
+
+
+def lexical_top(docs: DataFrame, queries: DataFrame, doc: str, fields: dict[str, float], query: str, text: str, k: int, batch: int = QUERY_BATCH) -> DataFrame:
+    """Exact best k documents of every query by BM25: ``query``, ``doc``, ``score``, ``rank``.
+
+    A document's score is that of its best boosted field; documents that share no term with a
+    query are no hits. ``batch`` queries at a time travel with the tasks, and more run as further
+    passes. A pass tokenises every text once and writes the counts of the asked terms; scoring
+    reads these, and a task returns k rows a query at most, however many documents match.
+    """
+    qs = queries.select(F.col(query).cast("long").alias("query"), tokens(F.col(text)).alias("ts")).where("query is not null")
+    qs = ordered(qs, [], ["query"]).df
+    names, boosts, out = list(fields), [float(v) for v in fields.values()], None
+    for i in range((qs.count() + batch - 1) // batch):
+        some = [(r["query"], r["ts"] or []) for r in qs.where(F.expr(f"{G} div {batch} = {i}")).select("query", "ts").collect()]  # ``batch`` rows
+        terms = sorted({t for _, ts in some for t in ts})
+        number = {t: j for j, t in enumerate(terms)}
+        posts = written(_postings(docs, doc, names, terms), "postings")
+        stats = posts.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"dl{j}").alias(f"a{j}") for j in range(len(names))]).first()
+        idf = []
+        for j in range(len(names)):  # one row for each asked term
+            df = np.zeros(len(terms))
+            for r in posts.select(F.explode(f"t{j}").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():
+                df[r["t"]] = r["df"]
+            idf.append(np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5)))
+        asked = []
+        for q, ts in some:
+            ids, n = np.unique(np.array([number[t] for t in ts], "int64"), return_counts=True)
+            asked.append((q, [(ids, f[ids] * n) for f in idf]))
+        mean = [stats[f"a{j}"] or 1.0 for j in range(len(names))]
+        hits = top_k(posts.mapInArrow(_score_blocks(asked, boosts, mean, k), "query long, doc long, score double"), k)
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "query long, doc long, score double, rank int")
+    return out
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query") -> DataFrame:
@@ -133,6 +228,6 @@ def entity_filter(col: str, phrases: Sequence[str]) -> Column:
 def context(hits: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Hit texts of each query under numbered headings, best first."""
     d = hits.join(docs.select(F.col(doc).alias("doc"), F.col(text).alias("_t")), "doc")
-    o = parts(d, ["query"], ["rank"])
-    block = F.concat(F.lit("Document "), (F.col("pos") + 1).cast("string"), F.lit(":\n"), F.col("_t"))
-    return gather(o, "_b", block).select("query", "part", F.array_join("_b", "\n\n").alias("context"))
+    d = assemble(d, ["query"], ["rank"], F.col("_t"))
+    block = F.transform("items", lambda t, i: F.concat(F.lit("Document "), (F.col("first") + i + 1).cast("string"), F.lit(":\n"), t))
+    return d.select("query", "part", F.array_join(block, "\n\n").alias("context"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.functions.geo import gate_hit, inside
+from lapforge.operators.chains import Automaton, Resume, Turned, earliest, run_rule, spaced
 from lapforge.operators.clean import salted_lookup
 from lapforge.operators.ordered import G, Ordered, ordered, quantiles
 from lapforge.operators.smooth import rolling
-from lapforge.operators.stats import correlation
 from lapforge.session import written
 
 
@@ -91,13 +92,7 @@ def half_plane_crossings(o: Ordered, centre: tuple[float, float], normal: tuple[
 
 def debounce(o: Ordered, clock: str, gap: float, inclusive: bool = False) -> Ordered:
     """Keep a row only if it lies more than ``gap`` after the last kept row."""
-
-    def step(state, row):
-        d = None if state[0] is None else row[0] - state[0]
-        keep = d is None or d > gap or (inclusive and d == gap)
-        return ([row[0]] if keep else state), (keep,)
-
-    return o.fold([clock], [None], step, "_keep boolean").where("_keep").map(lambda d: d.drop("_keep"))
+    return run_rule(o, spaced(clock, gap, strict=not inclusive)).where("_keep").map(lambda d: d.drop("_keep"))
 
 
 def best_gate(o: Ordered, gates: dict[str, Sequence[float]], t: str, band: tuple[float, float], min_crossings: int = 4) -> DataFrame:
@@ -129,33 +124,23 @@ def lap_counter(o: Ordered, crossed: Column, name: str = "lap_no") -> Ordered:
 
 def yaw_laps(o: Ordered, angle: str, turn: float) -> Ordered:
     """A lap ends once the continuous heading has turned ``turn`` degrees since the lap start."""
-
-    def step(state, row):
-        if state[0] is None:
-            return [row[0]], (False,)
-        done = abs(row[0] - state[0]) >= turn
-        return ([row[0]] if done else state), (done,)
-
-    return o.fold([angle], [None], step, "lap_end boolean")
+    return run_rule(o, Turned(angle, turn))
 
 
 def radius_laps(o: Ordered, dist: Column, t: str, r_in: float, r_out: float, min_s: float) -> DataFrame:
     """Laps armed beyond ``r_out`` from a point and closed inside ``r_in``."""
-    o = o.cols(_d=dist).totals(_t0=F.min(t))
-    o = o.where((F.col("_d") > r_out) | (F.col("_d") < r_in))
+    far, near = F.col("_d") > r_out, F.col("_d") < r_in
+    o = o.cols(_d=dist).totals(_t0=F.min(t), _f0=F.min(F.when(far, F.col(t)))).where(far | near)
+    o = o.running(_far=("next", F.when(far, F.col(t))))
+    o = o.cols(_near=F.coalesce(near & (F.col(t) >= F.col("_f0")) & (F.col(t) - F.col("_t0") > min_s), F.lit(False)))
 
-    def step(state, row):
-        armed, start = state
-        d, now, first = row
-        start = first if start is None else start
-        if d > r_out:
-            armed = 1.0
-        if armed and d < r_in and now - start > min_s:
-            return [0.0, now], (start, True)
-        return [armed, start], (start, False)
+    def armed(cols):
+        """A lap may close once it was far again, and long enough after the last close."""
+        return np.maximum(np.nan_to_num(cols["_far"], nan=np.inf), earliest(cols[t], min_s, True))
 
-    o = o.fold(["_d", t, "_t0"], [0.0, None], step, "lap_start double, _closed boolean").where("_closed")
-    return o.df.select(*o.keys, "lap_start", F.col(t).alias("lap_end"), (F.col(t) - F.col("lap_start")).alias("lap_time"))
+    o = run_rule(o, Resume(t, armed, ["_far"], "_near")).where("_keep").renumber().lag(_last=t)
+    start = F.coalesce("_last", "_t0")
+    return o.df.select(*o.keys, start.alias("lap_start"), F.col(t).alias("lap_end"), (F.col(t) - start).alias("lap_time"))
 
 
 def minima_laps(o: Ordered, dist: Column, t: str, near: Column | float, spacing: float) -> Ordered:
@@ -189,16 +174,13 @@ def trim_to_laps(o: Ordered, crossed: str, t: str) -> Ordered:
 def ordered_gates(o: Ordered, gate_no: str, gates: int) -> Ordered:
     """Accept a crossing only of the expected next gate; gate 1 restarts, others are skipped."""
 
-    def step(state, row):
-        now, want = state
-        g = row[0]
-        if g == want:
-            return [g, 1.0 if g == gates else g + 1.0], (True,)
-        if g == 1 and now > 0:
-            return [1.0, 2.0], (True,)
-        return state, (False,)
-
-    return o.fold([gate_no], [0.0, 1.0], step, "accepted boolean")
+    table = np.tile(np.arange(gates + 1)[:, None], (1, gates + 1))
+    marks = np.zeros((gates + 1, gates + 1), bool)
+    for now in range(gates + 1):
+        for g in {now % gates + 1, 1 if now else now + 1}:
+            table[now, g], marks[now, g] = g, True
+    o = o.cols(_gate=F.when(F.col(gate_no).between(1, gates), F.col(gate_no)).otherwise(0).cast("int"))
+    return run_rule(o, Automaton("_gate", table, marks, "accepted")).map(lambda d: d.drop("_gate"))
 
 
 def sector_crossings(crossings: DataFrame, laps: DataFrame, keys: Sequence[str], lap: str, start: str, end: str) -> DataFrame:
@@ -245,18 +227,14 @@ def impacts(o: Ordered, acc: str, speed: str, thr: float, release: float, skip:
     """Peaks above ``thr`` held until below ``release * thr``, spaced by ``skip`` rows; hardest flagged."""
     from pyspark.sql import Window
 
-    o = o.position("_i").where(F.col(acc) > thr * release)
-
-    def step(state, row):
-        event, last, free = state
-        i, a = row
-        if last is not None and i == last + 1:
-            return [event, i, i + 1.0 + skip], (int(event),)
-        if i >= free and a > thr:
-            return [event + 1, i, i + 1.0 + skip], (int(event + 1),)
-        return [event, None, free], (None,)
-
-    o = o.fold(["_i", acc], [0.0, None, 0.0], step, "event long").where("event is not null")
+    o = o.position("_i").where(F.col(acc) > thr * release).renumber()
+    o = o.over({"_new": lambda w: F.coalesce(F.lag("_i").over(w) < F.col("_i") - 1, F.lit(True)),
+                "_last": lambda w: F.coalesce(F.lead("_i").over(w) > F.col("_i") + 1, F.lit(True))}, before=1, after=1)
+    o = o.running(_end=("next", F.when(F.col("_last"), F.col("_i")))).cols(_hot=F.col(acc) > thr)
+    o = run_rule(o, Resume("_i", lambda cols: cols["_end"] + 1 + skip, ["_end"], "_hot")).cut()
+    # Rows belong to the start in their own run of neighbours, if it has one before them.
+    o = o.running(event=("count", F.when(F.col("_keep"), 1)), _st=("last", F.when(F.col("_keep"), F.col("_i"))), _a=("last", F.when(F.col("_new"), F.col("_i"))))
+    o = o.where("_st >= _a")
     peak = F.max_by(F.struct("_i", acc, speed), F.struct(acc, -F.col("_i")))
     d = o.df.groupBy(*o.keys, "event").agg(peak.alias("p")).select(*o.keys, "p.*").where(F.col(speed) >= min_speed)
     w = Window.partitionBy(*o.keys).orderBy(F.desc(acc), "_i")
@@ -320,56 +298,6 @@ def barrier_laps(o: Ordered, barriers: Sequence[Sequence[float]], lap: str) -> D
 
 
 # -- periods, lags and shifts --------------------------------------------------------
-def self_distance(o: Ordered, x: str, y: str, lags: Sequence[int]) -> DataFrame:
-    """Mean distance between rows ``lag`` apart, for each lag (bounded frames, no self-join)."""
-    o = o.over({f"_d{k}": (lambda k: lambda w: F.sqrt(F.pow(F.lead(x, k).over(w) - F.col(x), 2) + F.pow(F.lead(y, k).over(w) - F.col(y), 2)))(k)
-                for k in lags}, before=0, after=max(lags))
-    wide = o.df.groupBy(*o.keys).agg(*[F.avg(f"_d{k}").alias(f"_d{k}") for k in lags])
-    return _long(wide, o.keys, lags, "distance")
-
-
-def _long(wide: DataFrame, keys: Sequence[str], lags: Sequence[int], value: str) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_d{k}").alias(value)) for k in lags])
-    return wide.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*").where(F.col(value).isNotNull())
-
-
-def lap_period(o: Ordered, x: str, y: str, lags: Sequence[int], within: float = 0.10) -> DataFrame:
-    """First local minimum of the self-distance within 10 % of the lowest."""
-    s = ordered(self_distance(o, x, y, lags), o.keys, ["lag"])
-    s = s.over({"_p": lambda w: F.lag("distance").over(w), "_n": lambda w: F.lead("distance").over(w)}, before=1, after=1)
-    s = s.totals(_low=F.min("distance"))
-    d = F.col("distance")
-    dip = (F.col("_p").isNull() | (d <= F.col("_p"))) & (F.col("_n").isNull() | (d <= F.col("_n"))) & (d <= F.col("_low") * (1 + within))
-    return s.df.where(dip).groupBy(*o.keys).agg(F.min_by(F.struct("lag", "distance"), "lag").alias("b")).select(*o.keys, "b.*")
-
-
-def autocorrelation(o: Ordered, col: str, lags: Sequence[int]) -> DataFrame:
-    """Sum of products of centred values at each lag over the zero-lag sum."""
-    o = o.totals(_m=F.avg(col)).cols(_c=F.col(col) - F.col("_m"))
-    o = o.over({f"_d{k}": (lambda k: lambda w: F.col("_c") * F.lead("_c", k).over(w))(k) for k in lags}, before=0, after=max(lags))
-    zero = F.sum(F.col("_c") * F.col("_c"))
-    wide = o.df.groupBy(*o.keys).agg(*[(F.sum(f"_d{k}") / F.nullif(zero, F.lit(0.0))).alias(f"_d{k}") for k in lags])
-    return _long(wide, o.keys, lags, "score")
-
-
-def best_lag(scores: DataFrame, keys: Sequence[str], value: str = "score") -> DataFrame:
-    return scores.groupBy(*keys).agg(F.max_by(F.struct("lag", value), F.struct(F.col(value), -F.col("lag"))).alias("b")).select(*keys, "b.*")
-
-
-def windowed_lags(o: Ordered, a: str, b: str, t: str, width: float, step: float, lags: Sequence[int]) -> DataFrame:
-    """Per sliding window, the lag (rows) at which ``b`` correlates best with ``a``."""
-    lo, hi = min(lags), max(lags)
-    o = o.over({f"_b{k}".replace("-", "m"): (lambda k: lambda w: F.lead(b, k).over(w) if k >= 0 else F.lag(b, -k).over(w))(k) for k in lags},
-               before=max(0, -lo), after=max(0, hi))
-    first = F.floor((F.col(t) - width) / step) + 1
-    d = o.df.withColumn("win", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(F.floor(F.col(t) / step), F.lit(0)))))
-    wide = d.groupBy(*o.keys, "win").agg(F.count(F.lit(1)).alias("rows"), *[correlation(a, f"_b{k}".replace("-", "m")).alias(f"_d{k}") for k in lags])
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_d{k}").alias("score")) for k in lags])
-    long = wide.select(*o.keys, "win", "rows", F.explode(rows).alias("x")).select(*o.keys, "win", "rows", "x.*").where("score is not null")
-    best = F.max_by(F.struct("lag", "score", "rows"), F.struct("score", -F.abs("lag"), -F.col("lag")))
-    return long.groupBy(*o.keys, "win").agg(best.alias("b")).select(*o.keys, "win", "b.*")
-
-
 def circular_shift(points: DataFrame, reference: DataFrame, keys: Sequence[str], idx: str, x: str, y: str, size: int, by: Column) -> DataFrame:
     """Index shift that brings closed polylines closest to a reference polyline of ``size`` points."""
     ref = reference.select(*[k for k in reference.columns if k in keys], F.col(idx).alias("_ri"), F.col(x).alias("_rx"), F.col(y).alias("_ry"))
@@ -435,19 +363,6 @@ def merge_corners(corners: DataFrame, keys: Sequence[str], pid: str, near: float
     return c.groupBy(*keys, F.col("cluster").alias("_c")).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def best_offset(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tie: str, a: str, b: str, offsets: Sequence[float]) -> DataFrame:
-    """Clock offset at which the other sensor, read by interpolation, correlates best."""
-    from lapforge.operators.asof import interpolate
-
-    shifts = F.explode(F.array(*[F.lit(float(o)) for o in offsets])).alias("offset")
-    grid = left.select(*keys, F.col(t).alias("_t"), tie, a, shifts).withColumn("_at", F.col("_t") + F.col("offset"))
-    grid = grid.withColumn("_tie", F.col(tie))
-    d = interpolate(grid, right.select(*keys, F.col(t).alias("_k"), F.col(tie).alias("_tie"), b), keys, "_at", "_tie", [b], "null", right_t="_k")
-    s = d.where(F.col(b).isNotNull()).groupBy(*keys, "offset").agg(F.round(correlation(a, b), 9).alias("score")).where("score is not null")
-    best = F.max_by(F.struct("offset", "score"), F.struct("score", -F.abs("offset"), -F.col("offset")))
-    return s.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
-
-
 def self_crossing(o: Ordered, lap: str, cell: float, reach: int = 64, x: str = "e", y: str = "n") -> DataFrame:
     """Laps whose path crosses, touches or retraces itself.
 

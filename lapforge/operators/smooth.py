@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.functions.geo import wrap180
+from lapforge.operators.chains import Decay, run_rule
 from lapforge.operators.ordered import Ordered, ordered
 
 
@@ -93,12 +94,7 @@ def local_line(o: Ordered, y: str, t: str, k: int, name: str) -> Ordered:
 
 def ema(o: Ordered, col: str, alpha: float, name: str) -> Ordered:
     """Exponential mean with the first value as seed; blocks pass their last mean on."""
-
-    def step(state, row):
-        y = row[0] if state[0] is None else alpha * row[0] + (1 - alpha) * state[0]
-        return [y], (y,)
-
-    return o.fold([col], [None], step, f"{name} double")
+    return run_rule(o, Decay(col, alpha, name))
 
 
 def circular_mean(lines: DataFrame, keys: Sequence[str], idx: str, size: str, col: str, k: int, name: str) -> DataFrame:

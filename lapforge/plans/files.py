@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lapforge.plans.history import VERB_SQL, verbose
 from lapforge.plans.registry import query
 from lapforge.plans.views import T, events, r, table, trace
-from lapforge.session import new_path
+from lapforge.session import new_path, written
 from lapforge.sources import readers as rd
 from lapforge.sources import writers as wr
 
@@ -168,7 +168,7 @@ def snk_04(spark, sf):
 l AS (SELECT race, CASE WHEN grp IN ('finished', 'lapped') THEN 0 ELSE 1 END AS s, place AS p, car, driver, price, '- ' || outcome AS line FROM vt UNION ALL SELECT race, 2, rk, NULL, NULL, NULL, '- Standing ' || rk || ': ' || name FROM sd)
 SELECT race, 0::BIGINT AS part, string_agg(line, chr(10) ORDER BY s, p, car, driver, price) AS markdown FROM l GROUP BY race""")
 def snk_05(spark, sf):
-    d = verbose(spark, sf)
+    d = written(verbose(spark, sf), "results")
     w = Window.partitionBy("race").orderBy("best", "driver")
     top = d.groupBy("race", "driver", "name").agg(F.min("place").alias("best")).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     md = wr.race_markdown(d, "race", "place", ["car", "driver", "price"], F.col("finished_flag"), F.col("outcome"), top)
@@ -177,10 +177,9 @@ def snk_05(spark, sf):
     return spark.read.schema(md.schema).json(path)
 
 
-@query("TXT-02", """SELECT conv_id::VARCHAR AS title, trim(string_agg(text, chr(10) ORDER BY turn), chr(10) || ' ') AS text FROM conversations GROUP BY conv_id""")
+@query("TXT-02", """SELECT conv_id::VARCHAR AS title, turn // 4096 AS part, trim(string_agg(text, chr(10) ORDER BY turn), chr(10) || ' ') AS text FROM conversations GROUP BY conv_id, turn // 4096""")
 def txt_02(spark, sf):
-    """One text file per conversation, read whole; the title comes from the folder name."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    """A text file per conversation part, read whole; title and part come from the folder names."""
     path = new_path(spark, "texts")
-    c.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "text").write.partitionBy("conv_id").text(path)
-    return wr.titled_texts(spark, path, r"conv_id=([^/]+)")
+    wr.text_files(table(spark, sf, "conversations"), path, "conv_id", "turn", "text")
+    return wr.titled_texts(spark, path, r"doc=([^/]+)", r"part=([0-9]+)")

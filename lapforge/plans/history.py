@@ -60,8 +60,8 @@ def txt_03(spark, sf):
     return table(spark, sf, "pages").select("page_id", term.alias("term"), definition.alias("definition")).where("term is not null")
 
 
-@query("TXT-04", """WITH s AS (SELECT conv_id, turn, turn*37.5 AS start, text FROM conversations)
-SELECT conv_id, 0::BIGINT AS part, string_agg(text, ' ' ORDER BY start, turn) AS full_text, string_agg(format('[{:02d}:{:02d}] ', CAST(floor(start) AS BIGINT)//60, CAST(floor(start) AS BIGINT) % 60) || text, chr(10) ORDER BY start, turn) AS clock_text FROM s GROUP BY conv_id""")
+@query("TXT-04", """WITH s AS (SELECT conv_id, turn, turn*37.5 AS start, text, row_number() OVER w - 1 AS pos, sum(strlen(text) + 1) OVER w - strlen(text) - 1 AS at FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, pos // 4096 AS part, CAST(min(at) AS BIGINT) AS "offset", string_agg(text, ' ' ORDER BY start, turn) AS full_text, string_agg(format('[{:02d}:{:02d}] ', CAST(floor(start) AS BIGINT)//60, CAST(floor(start) AS BIGINT) % 60) || text, chr(10) ORDER BY start, turn) AS clock_text FROM s GROUP BY conv_id, pos // 4096""")
 def txt_04(spark, sf):
     s = table(spark, sf, "conversations").withColumn("start", F.col("turn") * 37.5)
     return dc.stitched(s, ["conv_id"], "start", "turn", "text")
@@ -92,8 +92,7 @@ def verbose(spark, sf):
     pts = F.greatest(F.lit(0), 8 - F.col("place"))
     d = d.withColumns({"pts": pts, "outcome": dc.outcome_text(F.col("name"), place, pts, F.col("status"), F.col("status_group"))})
     ms = F.round(F.col("price") * 100).cast("long")
-    # Read several times by the documents built from it, so it is joined and worded once.
-    return written(d.withColumns({"q": F.col("qty").cast("long"), "ms": ms}), "results")
+    return d.withColumns({"q": F.col("qty").cast("long"), "ms": ms})
 
 
 @query("TXT-05", VERB_SQL + """SELECT race, driver, place, car, price, 'In the ' || yr || ' race ' || race || ', ' || name || ' drove for ' || team || ', started ' || CASE WHEN q % 7 = 0 THEN 'from an unclassified position' ELSE 'from P' || (q % 7) END || ', and ' ||
@@ -116,26 +115,23 @@ SELECT race, 0::BIGINT AS part, string_agg(name, ', ' ORDER BY pos) FILTER (WHER
 count(CASE WHEN grp = 'mechanical' THEN 1 END) AS mechanical, count(CASE WHEN grp NOT IN ('finished', 'lapped') THEN 1 END) AS retirements FROM n GROUP BY race""")
 def txt_06(spark, sf):
     d = verbose(spark, sf)
-    o = dc.parts(d.select("race", "place", "car", "driver", "price", "name", "outcome"), ["race"], ["place", "car", "driver", "price"])
-    arr = dc.gather(o, "_r", F.struct("pos", "name", "outcome"))
-    causes = d.groupBy("race").agg(
-        F.count(F.when(F.col("status_group") == "crash", 1)).alias("crashes"), F.count(F.when(F.col("status_group") == "mechanical", 1)).alias("mechanical"),
-        F.count(F.when(F.col("dnf_flag"), 1)).alias("retirements"))
-    podium = F.array_join(F.transform(F.filter("_r", lambda x: x["pos"] < 3), lambda x: x["name"]), ", ")
-    return arr.join(causes, "race").select("race", "part", podium.alias("podium"), F.array_join(F.transform("_r", lambda x: x["outcome"]), " ").alias("classification"), "crashes", "mechanical", "retirements")
+    facts = {"crashes": F.count(F.when(F.col("status_group") == "crash", 1)), "mechanical": F.count(F.when(F.col("status_group") == "mechanical", 1)),
+             "retirements": F.count(F.when(F.col("dnf_flag"), 1))}
+    a = dc.assemble(d, ["race"], ["place", "car", "driver", "price"], F.struct("name", "outcome"), facts, head=3)
+    podium = F.array_join(F.transform("head", lambda x: x["name"]), ", ")
+    return a.select("race", "part", podium.alias("podium"), F.array_join(F.transform("items", lambda x: x["outcome"]), " ").alias("classification"), *facts)
 
 
 @query("TXT-07", VERB_SQL + f""", n AS (SELECT *, row_number() OVER (PARTITION BY race {ORD}) AS pos FROM vt)
 SELECT race, 0::BIGINT AS part, yr AS season, max(CASE WHEN pos = 1 THEN name END) AS winner, string_agg(name, ', ' ORDER BY pos) FILTER (WHERE pos <= 3) AS podium, count(*) AS entries, string_agg(pos || '|' || name || '|' || team || '|' || status || '|' || pts, ';' ORDER BY pos) AS results FROM n GROUP BY race, yr""")
 def txt_07(spark, sf):
     """Race bundle: winner, podium array and the ordered results (structs joined as text here)."""
-    d = verbose(spark, sf).select("race", "yr", "place", "car", "driver", "price", "name", "team", "status", "pts")
-    o = dc.parts(d, ["race", "yr"], ["place", "car", "driver", "price"])
-    b = dc.gather(o, "results", F.struct((F.col("pos") + 1).alias("rank"), "name", "team", "status", "pts"))
-    top = F.slice("results", 1, 3)
-    line = F.transform("results", lambda x: F.concat_ws("|", x["rank"].cast("string"), x["name"], x["team"], x["status"], x["pts"].cast("string")))
-    return b.select("race", "part", F.col("yr").cast("long").alias("season"), F.get("results", 0)["name"].alias("winner"), F.array_join(F.transform(top, lambda x: x["name"]), ", ").alias("podium"),
-                    F.size("results").cast("long").alias("entries"), F.array_join(line, ";").alias("results"))
+    d = verbose(spark, sf)
+    item = F.struct("name", "team", "status", "pts")
+    b = dc.assemble(d, ["race", "yr"], ["place", "car", "driver", "price"], item, {"entries": F.count(F.lit(1))}, head=3)
+    line = F.transform("items", lambda x, i: F.concat_ws("|", (F.col("first") + i + 1).cast("string"), x["name"], x["team"], x["status"], x["pts"].cast("string")))
+    return b.select("race", "part", F.col("yr").cast("long").alias("season"), F.get("head", F.lit(0))["name"].alias("winner"),
+                    F.array_join(F.transform("head", lambda x: x["name"]), ", ").alias("podium"), "entries", F.array_join(line, ";").alias("results"))
 
 
 STAND = """, pr AS (SELECT driver, any_value(name) AS name, yr, mo, CAST(sum(pts) AS BIGINT) AS pts, count(CASE WHEN place = 1 THEN 1 END) AS wins FROM (SELECT vt.*, month(o_orderdate) AS mo FROM vt JOIN orders ON o_orderkey = race) GROUP BY driver, yr, mo),
@@ -181,8 +177,7 @@ lex AS (SELECT query, doc, max(score) AS score FROM (SELECT * FROM bt UNION ALL
 
 def lex_hits(spark, sf, k=10):
     docs = table(spark, sf, "documents").withColumn("entities", F.split_part("text", F.lit("."), F.lit(1)))
-    s = rt.lexical(docs, table(spark, sf, "benchmark"), "doc_id", {"text": 1.0, "entities": 5.0}, "item_id", "text")
-    return written(rt.top_k(s, k), "hits")
+    return written(rt.lexical_top(docs, table(spark, sf, "benchmark"), "doc_id", {"text": 1.0, "entities": 5.0}, "item_id", "text", k), "hits")
 
 
 @query("RET-01", LEX_SQL + "SELECT query, doc, round(score, 6) AS score, CAST(rk AS INTEGER) AS \"rank\" FROM lexk")

@@ -11,10 +11,11 @@ from lapforge.plans.aggregates import COMPLETE, sectors
 from lapforge.plans.registry import query
 from lapforge.plans.streams import DIST_SQL, FGRID, LAPS_SQL, LERP, lap_fractions, laps
 from lapforge.plans.views import T, r, table, trace
+from lapforge.session import written
 
-# Crossings are the rows with p = 2; the sheet holds laps 1..3 of a session with small errors.
+# Crossings are the rows with p = 2; the sheet holds all laps of a session after the first, with small errors.
 SHEET = """, x AS (SELECT session, t, event_id, lap, k FROM trace WHERE i % 16 = 2), xl AS (SELECT *, lead(t) OVER (PARTITION BY session ORDER BY t) - t AS lt, lead(k) OVER (PARTITION BY session ORDER BY t) AS nk FROM x),
-sheet AS (SELECT session, lap, lt + (nk % 5)*10.5 AS lap_time FROM xl WHERE lap BETWEEN 1 AND 3 AND lt IS NOT NULL),
+sheet AS (SELECT session, lap, lt + (nk % 5)*10.5 AS lap_time FROM xl WHERE lap >= 1 AND lt IS NOT NULL),
 bounds AS (SELECT session, 0 AS b, 0.0::DOUBLE AS cum FROM (SELECT DISTINCT session FROM sheet) UNION ALL SELECT session, lap, sum(lap_time) OVER (PARTITION BY session ORDER BY lap) FROM sheet),
 want AS (SELECT x.session, x.t AS start, b, x.t + cum AS bt FROM x JOIN bounds USING (session)),
 err AS (SELECT w.session, w.start, b, min(abs(x.t - w.bt)) AS err FROM want w JOIN x ON x.session = w.session GROUP BY ALL),
@@ -28,7 +29,7 @@ def crossings(spark, sf):
 
 def sheets(spark, sf):
     o = ordered(crossings(spark, sf), ["session"], ["t", "event_id"]).lead(_nt="t", nk="k")
-    d = o.df.where("lap between 1 and 3 and _nt is not null")
+    d = o.df.where("lap >= 1 and _nt is not null")
     return d.select("session", F.lit("sheet").alias("sheet"), "lap", (F.col("_nt") - F.col("t") + (F.col("nk") % 5) * 10.5).alias("lap_time"))
 
 
@@ -60,25 +61,28 @@ def mat_03(spark, sf):
     return match.window_scores(win, s, a, ["session"], "sheet", "lap_time").select("session", r("score", 5).alias("score"))
 
 
-@query("MAT-04", """WITH RECURSIVE sc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score, a, b) AS rn, * FROM (SELECT l_suppkey AS a, CAST(o_custkey % 40 AS BIGINT) AS b, min(l_extendedprice) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)),
+@query("MAT-04", """WITH RECURSIVE pr AS MATERIALIZED (SELECT l_suppkey AS a, CAST(o_custkey % 40 AS BIGINT) AS b, min(l_extendedprice) AS score, min(l_quantity) AS med FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+sc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score, a, b) AS rn, * FROM pr WHERE med <= 12),
 f AS (SELECT rn, a, b, score, [a] AS ua, [b] AS ub, true AS ok FROM sc WHERE rn = 1 UNION ALL
 SELECT s.rn, s.a, s.b, s.score, CASE WHEN list_contains(ua, s.a) OR list_contains(ub, s.b) THEN ua ELSE list_append(ua, s.a) END, CASE WHEN list_contains(ua, s.a) OR list_contains(ub, s.b) THEN ub ELSE list_append(ub, s.b) END,
-NOT (list_contains(ua, s.a) OR list_contains(ub, s.b)) FROM f JOIN sc s ON s.rn = f.rn + 1) SELECT a, b, score FROM f WHERE ok""")
+NOT (list_contains(ua, s.a) OR list_contains(ub, s.b)) FROM f JOIN sc s ON s.rn = f.rn + 1) SELECT a, b, score FROM f WHERE ok
+UNION ALL SELECT NULL, b, NULL FROM (SELECT DISTINCT b FROM pr) WHERE b NOT IN (SELECT b FROM f WHERE ok)""")
 def mat_04(spark, sf):
+    """Windows and sheets paired greedily below an error limit; sheets without a window follow."""
     d = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    s = d.groupBy(F.col("l_suppkey").alias("a"), (F.col("o_custkey") % 40).alias("b")).agg(F.min("l_extendedprice").alias("score"))
-    return match.greedy_assign(s, "a", "b", "score")
+    s = d.groupBy(F.col("l_suppkey").alias("a"), (F.col("o_custkey") % 40).alias("b")).agg(F.min("l_extendedprice").alias("score"), F.min("l_quantity").alias("med"))
+    s = written(s, "pairs")
+    return match.with_unmatched(match.greedy_assign(s, "a", "b", "score", "med", 12), s, "b").select("a", "b", "score")
 
 
-@query("MAT-05", T(SHEET + """, det AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY t) - 1 AS j, lt FROM xl WHERE lt BETWEEN 100000 AND 2000000),
+@query("MAT-05", T(SHEET + """, det AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY t) - 1 AS j, lt, count(*) OVER (PARTITION BY session) AS have FROM xl WHERE lt BETWEEN 100000 AND 2000000),
 off AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY lap) - 1 AS j, lap_time, count(*) OVER (PARTITION BY session) AS need FROM sheet),
-o AS (SELECT d.session, d.j - o.j AS shift, sqrt(avg(pow(d.lt - o.lap_time, 2))) AS rmse FROM det d JOIN off o ON o.session = d.session WHERE d.j >= o.j GROUP BY ALL HAVING count(*) = any_value(need))
+o AS (SELECT d.session, d.j - o.j AS shift, sqrt(avg(pow(d.lt - o.lap_time, 2))) AS rmse FROM det d JOIN off o ON o.session = d.session WHERE d.j >= o.j GROUP BY ALL HAVING count(*) = least(any_value(need), any_value(have)))
 SELECT session, arg_min(shift, (rmse, shift)) AS "offset", round(min(rmse), 5) AS rmse FROM o GROUP BY session"""))
 def mat_05(spark, sf):
     o = ordered(crossings(spark, sf), ["session"], ["t", "event_id"]).lead(_nt="t").cols(v=F.col("_nt") - F.col("t"))
-    det = o.where("v between 100000 and 2000000").renumber().position("j").df.select("session", "j", "v")
     off = ordered(sheets(spark, sf), ["session"], ["lap"]).position("j").df.select("session", "j", F.col("lap_time").alias("v"))
-    d = match.align_laps(det, off, ["session"], "j", "v", (100000, 2000000))
+    d = match.align_laps(o.df.select("session", F.col("t").alias("j"), "v"), off, ["session"], "j", "v", (100000, 2000000))
     return d.select("session", "offset", r("rmse", 5).alias("rmse"))
 
 

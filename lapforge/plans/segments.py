@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from lapforge.functions.geo import hypot
+from lapforge.operators import gates, lags, resample, smooth
 from lapforge.operators import segment as sg
-from lapforge.operators import smooth
-from lapforge.operators.ordered import G, Ordered
+from lapforge.operators.ordered import G, Ordered, ordered
 from lapforge.plans.registry import query
 from lapforge.plans.streams import DIST_SQL, FR, LERP, UNWRAP, W
 from lapforge.plans.views import GATE, T, r, recursive, trace
+from lapforge.session import written
 
 RUNS = """, fl AS (SELECT *, sum(CASE WHEN flag IS DISTINCT FROM pf OR pf IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY i) AS isl
 FROM (SELECT *, lag(flag) OVER (PARTITION BY session ORDER BY i) AS pf FROM flagged)),
@@ -313,31 +314,66 @@ def seg_28(spark, sf):
     return incident_laps(laps, ["session"], 1.05).select("session", "lap", r("lap_time").alias("lap_time"), r("lost").alias("lost"), "peak")
 
 
-LAGS = list(range(10, 23))
-LAG_SQL = "(SELECT unnest(generate_series(10, 22)) AS lag)"
+def uniform_sql(step: int) -> str:
+    """CTE ``gr(session, k, e, n)``: the trace on a uniform clock, end excluded, linear in between."""
+    return f""", tr AS (SELECT session, t, e, n, lead(t){W} AS nt, lead(e){W} AS ne, lead(n){W} AS nn FROM trace),
+g AS (SELECT session, k, CAST(k*{step} AS DOUBLE) AS t FROM (SELECT session, unnest(range(0, CAST(ceil(max(t)/{step}) AS BIGINT))) AS k FROM trace GROUP BY session)),
+gr AS MATERIALIZED (SELECT g.session, k, tr.e + CASE WHEN g.t = tr.t THEN 0 ELSE (ne - tr.e)*((g.t - tr.t)/(nt - tr.t)) END AS e, tr.n + CASE WHEN g.t = tr.t THEN 0 ELSE (nn - tr.n)*((g.t - tr.t)/(nt - tr.t)) END AS n
+FROM g ASOF JOIN tr ON g.session = tr.session AND g.t >= tr.t)"""
 
 
-@query("SEG-32", T(f""", s AS (SELECT a.session, l.lag, avg(sqrt(pow(a.e-b.e,2)+pow(a.n-b.n,2))) AS d FROM trace a, {LAG_SQL} l JOIN trace b ON b.session = a.session AND b.i = a.i + l.lag GROUP BY ALL),
-m AS (SELECT *, lag(d) OVER w AS p, lead(d) OVER w AS q, min(d) OVER (PARTITION BY session) AS low FROM s WINDOW w AS (PARTITION BY session ORDER BY s.lag))
-SELECT session, CAST(min(m.lag) AS INTEGER) AS period FROM m WHERE (p IS NULL OR d <= p) AND (q IS NULL OR d <= q) AND d <= low*1.1 GROUP BY session"""))
+def uniform_trace(spark, sf, step: int) -> Ordered:
+    d = resample.uniform(trace(spark, sf).df.select("session", "t", "event_id", "e", "n"), ["session"], "t", "event_id", ["e", "n"], 1.0 / step)
+    return ordered(d, ["session"], ["tick"]).cut()
+
+
+@query("SEG-32", T(uniform_sql(10000) + """, sz AS (SELECT session, count(*) AS rows FROM gr GROUP BY session),
+s AS (SELECT a.session, b.k - a.k AS lag, avg(sqrt(pow(a.e-b.e,2)+pow(a.n-b.n,2))) AS d FROM gr a JOIN gr b ON b.session = a.session AND b.k BETWEEN a.k + 40 AND a.k + 159 GROUP BY ALL),
+m AS (SELECT s.*, lag(d) OVER w AS p, lead(d) OVER w AS q, min(d) OVER (PARTITION BY session) AS low, count(*) OVER (PARTITION BY session) AS c FROM s JOIN sz USING (session) WHERE s.lag < rows - 5 WINDOW w AS (PARTITION BY session ORDER BY s.lag)),
+b AS (SELECT session, coalesce(min(CASE WHEN d <= p AND d <= q AND d <= low*1.1 THEN m.lag END), arg_min(m.lag, (d, m.lag))) AS period FROM m WHERE c > 2 GROUP BY session)
+SELECT b.session, CAST(period AS INTEGER) AS period, round(d, 6) AS distance FROM b JOIN s ON s.session = b.session AND s.lag = period"""))
 def seg_32(spark, sf):
-    return sg.lap_period(trace(spark, sf), "e", "n", LAGS).select("session", F.col("lag").alias("period"))
+    """Lags of 40 to 159 ticks of 10 000 s (the form of 20 to 80 s at half a second)."""
+    return lags.lap_period(uniform_trace(spark, sf, 10000), "e", "n", 40, 160).select("session", F.col("lag").alias("period"), r("distance").alias("distance"))
 
 
-@query("SEG-33", T(f""", c AS (SELECT session, i, e - avg(e) OVER (PARTITION BY session) AS c FROM trace), z AS (SELECT session, sum(c*c) AS z FROM c GROUP BY session),
-s AS (SELECT a.session, l.lag, sum(a.c*b.c)/any_value(z.z) AS sc FROM c a, {LAG_SQL} l JOIN c b ON b.session = a.session AND b.i = a.i + l.lag JOIN z ON z.session = a.session GROUP BY ALL)
-SELECT session, CAST(arg_max(s.lag, (round(sc, 9), -s.lag)) AS INTEGER) AS period, round(max(sc), 6) AS score FROM s GROUP BY session"""))
+@query("SEG-33", T(uniform_sql(10000) + """, c AS MATERIALIZED (SELECT session, k, e - avg(e) OVER (PARTITION BY session) AS c FROM gr), z AS (SELECT session, sum(c*c) AS z FROM c GROUP BY session),
+s AS (SELECT a.session, b.k - a.k AS lag, round(sum(a.c*b.c)/any_value(z.z), 9) AS sc FROM c a JOIN c b ON b.session = a.session AND b.k BETWEEN a.k + 40 AND a.k + 180 JOIN z ON z.session = a.session GROUP BY ALL)
+SELECT session, CAST(arg_max(s.lag, (sc, -s.lag)) AS INTEGER) AS period, round(max(sc), 6) AS score FROM s GROUP BY session"""))
 def seg_33(spark, sf):
-    s = sg.autocorrelation(trace(spark, sf), "e", LAGS)
-    return sg.best_lag(s, ["session"]).select("session", F.col("lag").alias("period"), r("score").alias("score"))
+    s = lags.autocorrelation(uniform_trace(spark, sf, 10000), "e", 40, 180)
+    return lags.best_lag(s, ["session"]).select("session", F.col("lag").alias("period"), r("score").alias("score"))
+
+
+LOCAL = uniform_sql(1000) + """, li AS (SELECT session, list(e ORDER BY k) AS a, list(n ORDER BY k) AS b, count(*) AS rows FROM gr GROUP BY session),
+wi AS (SELECT session, win, a[win*600 + 1:win*600 + 1200] AS a, greatest(0, win*600 - 600) AS lo, b[greatest(0, win*600 - 600) + 1:win*600 + 1800] AS b
+    FROM (SELECT *, unnest(range(0, greatest(0, CAST(ceil((rows - 1200)/600.0) AS BIGINT)))) AS win FROM li)),
+zm AS (SELECT *, list_avg(a) AS ma, list_stddev_pop(a) AS da, list_avg(b) AS mb, list_stddev_pop(b) AS db FROM wi WHERE len(b) >= len(a) + 2),
+zs AS MATERIALIZED (SELECT session, win, lo, list_transform(a, lambda x: (x - ma)/CASE WHEN da > 0 THEN da ELSE 1 END) AS a, list_transform(b, lambda x: (x - mb)/CASE WHEN db > 0 THEN db ELSE 1 END) AS b FROM zm),
+sc AS (SELECT session, win, lo + k - win*600 AS lag, round(list_dot_product(a, b[k + 1:k + len(a)])/len(a), 9) AS score FROM (SELECT *, unnest(range(0, len(b) - len(a) + 1)) AS k FROM zs)),
+ll AS (SELECT session, win, CAST(arg_max(sc.lag, (score, -sc.lag)) AS INTEGER) AS lag, max(score) AS score FROM sc GROUP BY session, win) """
+
+
+def window_lags(spark, sf):
+    """Windows of 1 200 ticks of 1 000 s every 600, searched 600 ticks to both sides: 1 201 lags."""
+    return lags.local_lags(uniform_trace(spark, sf, 1000), "tick", "e", "n", 1200, 600, 600)
 
 
-@query("SEG-34", T(""", w AS (SELECT session, i, t, e, unnest(generate_series(greatest(0, CAST(floor((t - 1200000)/600000) AS BIGINT) + 1), CAST(floor(t/600000) AS BIGINT))) AS win FROM trace),
-s AS (SELECT w.session, w.win, l.lag, corr(w.e, b.n) AS sc FROM w, (SELECT unnest(generate_series(-4, 4)) AS lag) l JOIN trace b ON b.session = w.session AND b.i = w.i + l.lag GROUP BY ALL)
-SELECT session, win, round(max(sc), 5) AS score FROM s WHERE sc IS NOT NULL AND NOT isnan(sc) GROUP BY session, win"""))
+@query("SEG-34", T(LOCAL + "SELECT session, win, lag, round(score, 6) AS score FROM ll"))
 def seg_34(spark, sf):
-    d = sg.windowed_lags(trace(spark, sf), "e", "n", "t", 1200000.0, 600000.0, range(-4, 5))
-    return d.select("session", "win", r("score", 5).alias("score"))
+    return window_lags(spark, sf).select("session", "win", "lag", r("score").alias("score"))
+
+
+@query("AGG-21b", T(LOCAL + """, p AS (SELECT session, (win*600 + 600)*1000.0::DOUBLE AS x, ll.lag*1000.0::DOUBLE AS y, score AS w FROM ll),
+m AS (SELECT session, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my, count(*) AS n, avg(w) AS aw FROM p WHERE w >= 0.3 GROUP BY session),
+q AS (SELECT session, any_value(mx) AS mx, any_value(my) AS my, any_value(n) AS n, any_value(aw) AS aw, sum(w*(x-mx)*(x-mx)) AS sxx, sum(w*(x-mx)*(y-my)) AS sxy, sum(w*(y-my)*(y-my)) AS syy FROM p JOIN m USING (session) WHERE w >= 0.3 GROUP BY session HAVING any_value(n) >= 3),
+f AS (SELECT session, sxy/sxx AS slope, my - sxy/sxx*mx AS icpt, coalesce(abs(sxy/nullif(sqrt(sxx*syy), 0)), 0) AS r, aw FROM q),
+t AS (SELECT session, median(y) AS mid, count(*) AS windows, count(CASE WHEN w >= 0.3 THEN 1 END) AS used FROM p GROUP BY session)
+SELECT session, round(1 + coalesce(slope, 0), 7) AS a, round(coalesce(icpt, mid), 2) AS b, round(coalesce(r, 0), 6) AS r, windows, used, slope IS NULL OR r < 0.5 OR aw < 0.4 AS low_confidence FROM t LEFT JOIN f USING (session)"""))
+def agg_21b(spark, sf):
+    """The clock model fitted on the window lags of SEG-34."""
+    d = window_lags(spark, sf).select("session", ((F.col("win") * 600 + 600) * 1000.0).alias("at"), (F.col("lag") * 1000.0).alias("lag"), "score")
+    return lags.clock_fit(written(d, "lags"), ["session"], "at", "lag", "score").select("session", r("a", 7).alias("a"), r("b", 2).alias("b"), r("r").alias("r"), "windows", "used", "low_confidence")
 
 
 @query("SEG-35", T(""", f AS (SELECT session, lap FROM trace GROUP BY ALL HAVING count(*) = 16), p AS (SELECT session, lap, (i + lap) % 16 AS p, e, n FROM trace JOIN f USING (session, lap)),
@@ -419,18 +455,20 @@ def seg_31(spark, sf):
     return sg.merge_corners(written(zones(spark, sf)), ["session"], "cluster", 30.0).select("session", "cluster", r("severity", 7).alias("severity"))
 
 
-OFFS = [float(v) for v in range(-30000, 30001, 10000)]
+OFFS = [float(v) for v in range(-500000, 500001, 10000)]
 
 
 @query("SEG-36", T(f""", f AS (SELECT session, event_id, e, t, o.off, t + o.off AS ta FROM trace, (SELECT unnest({OFFS}::DOUBLE[]) AS off) o WHERE kind <> 'error'), s AS (SELECT session, t AS st, n AS sn FROM trace WHERE kind = 'error'),
 j AS (SELECT f.*, p.st AS pt, p.sn AS pn, q.st AS qt, q.sn AS qn FROM f ASOF LEFT JOIN s p ON f.session = p.session AND f.ta >= p.st ASOF LEFT JOIN s q ON f.session = q.session AND f.ta < q.st),
-v AS (SELECT session, off, e, CASE WHEN pt = ta THEN pn WHEN pt IS NOT NULL AND qt IS NOT NULL THEN pn + (qn-pn)*((ta-pt)/(qt-pt)) END AS n FROM j), c AS (SELECT session, off, round(corr(e, n), 9) AS score FROM v WHERE n IS NOT NULL GROUP BY ALL)
-SELECT session, CAST(arg_max(off, (score, -abs(off), -off)) AS DOUBLE) AS "offset", round(max(score), 6) AS score FROM c WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY session"""))
+v AS (SELECT session, off, e, CASE WHEN pt = ta THEN pn WHEN pt IS NOT NULL AND qt IS NOT NULL THEN pn + (qn-pn)*((ta-pt)/(qt-pt)) END AS n FROM j), c AS (SELECT session, off, round(corr(e, n), 9) AS score, count(*) AS n FROM v WHERE n IS NOT NULL GROUP BY ALL),
+b AS (SELECT session, CAST(arg_max(off, (score, -abs(off), -off)) AS DOUBLE) AS "offset" FROM c WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY session)
+SELECT b.session, "offset", round(score, 6) AS score, n FROM b JOIN c ON c.session = b.session AND c.off = "offset" """))
 def seg_36(spark, sf):
+    """101 offsets (the form of half a second to both sides by 10 ms) in one pass over both streams."""
     d = trace(spark, sf).df
-    b = sg.best_offset(d.where("kind <> 'error'").select("session", "t", "event_id", "e"), d.where("kind = 'error'").select("session", "t", "event_id", "n"),
-                       ["session"], "t", "event_id", "e", "n", OFFS)
-    return b.select("session", "offset", r("score").alias("score"))
+    s = lags.offset_scores(d.where("kind <> 'error'").select("session", "t", "event_id", "e"), d.where("kind = 'error'").select("session", "t", "event_id", "n"),
+                           ["session"], "t", "event_id", "e", "n", OFFS, 500000.0)
+    return lags.best_offset(s, ["session"]).select("session", "offset", r("score").alias("score"), "n")
 
 
 @query("SEG-27b", T(""", st AS (SELECT session, lap2, i, e, n, lead(e) OVER w AS ne, lead(n) OVER w AS nn FROM (SELECT *, i // 32 AS lap2 FROM trace) WINDOW w AS (PARTITION BY session, i // 32 ORDER BY i)),
@@ -446,17 +484,35 @@ def seg_27b(spark, sf):
     return sg.self_crossing(o, "lap2", 10.0, reach=8)
 
 
+@query("SEG-09", T(f""", st AS (SELECT *, lead(e){W} AS ne, lead(n){W} AS nn, lead(t){W} AS nt, coalesce(lead(e){W}, e) - coalesce(lag(e){W}, e) AS dx, coalesce(lead(n){W}, n) - coalesce(lag(n){W}, n) AS dy FROM trace),
+ga AS (SELECT session, i AS gate, e AS gx, n AS gy, -dy/sqrt(dx*dx + dy*dy) AS ux, dx/sqrt(dx*dx + dy*dy) AS uy FROM st WHERE i % 3 = 0 AND (dx <> 0 OR dy <> 0)),
+p AS (SELECT st.session, gate, i, e, n, t, nt, ne - e AS rx, nn - n AS ry, gx - e AS qx, gy - n AS qy, ux, uy FROM st JOIN ga ON ga.session = st.session WHERE nt IS NOT NULL AND speed >= 0.6),
+d AS (SELECT *, rx*uy - ry*ux AS det FROM p), x AS (SELECT *, (qx*uy - qy*ux)/det AS frac, (qx*ry - qy*rx)/det AS off FROM d WHERE abs(det) > 1e-12),
+hi AS (SELECT session, gate, half, CASE WHEN ry*ux - rx*uy >= 0 THEN 1 ELSE -1 END AS side, i, t + frac*(nt - t) AS tc FROM x, (SELECT unnest([4.0, 8.0, 12.0])::DOUBLE AS half) h WHERE frac BETWEEN 0 AND 1 AND abs(off) <= half),
+li AS (SELECT session, gate, half, side, list_reduce(list([i] ORDER BY i), lambda a, b: CASE WHEN b[1] - a[len(a)] > 4 THEN list_concat(a, b) ELSE a END) AS keep FROM hi GROUP BY ALL),
+kp AS (SELECT hi.*, tc - lag(tc) OVER (PARTITION BY hi.session, gate, half, side ORDER BY i) AS gap FROM hi JOIN li USING (session, gate, half, side) WHERE list_contains(keep, i)),
+sc AS (SELECT session, gate, half, side, count(*) AS crossings, count(CASE WHEN gap > 200000 AND gap < 900000 THEN 1 END) AS clean, stddev_pop(CASE WHEN gap > 200000 AND gap < 900000 THEN gap END) AS std FROM kp GROUP BY ALL HAVING count(*) >= 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY clean DESC, coalesce(round(std, 3), 1e9), gate, half, side DESC) AS rn FROM sc)
+SELECT rk.session, gate, half, side, crossings, clean, round(std, 2) AS std, round(gx - ux*half, 5) AS ax, round(gy - uy*half, 5) AS ay FROM rk JOIN ga USING (session, gate) WHERE rn = 1"""))
+def seg_09(spark, sf):
+    """Gate across the driven line at every third row, three widths and both directions."""
+    o = trace(spark, sf).over({"dx": lambda w: F.coalesce(F.lead("e").over(w), F.col("e")) - F.coalesce(F.lag("e").over(w), F.col("e")),
+                               "dy": lambda w: F.coalesce(F.lead("n").over(w), F.col("n")) - F.coalesce(F.lag("n").over(w), F.col("n"))}, before=1, after=1)
+    d = gates.auto_gate(o, 3, [4.0, 8.0, 12.0], F.col("dx"), F.col("dy"), "t", (200000, 900000), gap=4, min_crossings=3, speed="speed", digits=3)
+    return d.select("session", "gate", "half", "side", "crossings", "clean", r("std", 2).alias("std"), r("ax", 5).alias("ax"), r("ay", 5).alias("ay"))
+
+
 GRID_ALONG, GRID_ACROSS, GRID_HALVES = [-25.0, -12.5, 0.0, 12.5, 25.0], [-1.0, 0.0, 1.0], [0.4, 1.2, 12.0]
 _GRID_ROWS = ", ".join(f"('g{i}_{j}_{k}', {37.5 + a}, {b}, {h})" for i, a in enumerate(GRID_ALONG) for j, b in enumerate(GRID_ACROSS) for k, h in enumerate(GRID_HALVES))
 
 
-@query("SEG-09", T(f""", st AS (SELECT *, lead(e){W} AS ne, lead(n){W} AS nn, lead(t){W} AS nt FROM trace), g AS (SELECT * FROM (VALUES {_GRID_ROWS}) v(gate, gx, gy, half)),
+@query("SEG-09b", T(f""", st AS (SELECT *, lead(e){W} AS ne, lead(n){W} AS nn, lead(t){W} AS nt FROM trace), g AS (SELECT * FROM (VALUES {_GRID_ROWS}) v(gate, gx, gy, half)),
 cr AS (SELECT session, gate, i, CASE WHEN ne < e THEN 1 ELSE -1 END AS side, t + (gx - e)/(ne - e)*(nt - t) AS tc FROM st, g WHERE ne <> e AND (gx - e)/(ne - e) BETWEEN 0 AND 1 AND n + (gx - e)/(ne - e)*(nn - n) BETWEEN gy - half AND gy + half),
 d AS (SELECT *, tc - lag(tc) OVER (PARTITION BY session, gate, side ORDER BY tc, i) AS gap FROM cr),
 s AS (SELECT session, gate, side, count(*) AS crossings, count(CASE WHEN gap > 200000 AND gap < 700000 THEN 1 END) AS clean, stddev_pop(CASE WHEN gap > 200000 AND gap < 700000 THEN gap END) AS std FROM d GROUP BY ALL HAVING count(*) >= 2)
 SELECT session, max(clean) AS clean, round(min(CASE WHEN clean = top THEN std END), 3) AS std FROM (SELECT *, max(clean) OVER (PARTITION BY session) AS top FROM s) GROUP BY session"""))
-def seg_09(spark, sf):
+def seg_09b(spark, sf):
     """Grid search for the gate: most clean laps, then the least spread."""
-    gates = sg.gate_grid((37.5, 0.0), (1.0, 0.0), GRID_ALONG, GRID_ACROSS, GRID_HALVES)
-    d = sg.best_gate(trace(spark, sf), gates, "t", (200000, 700000), 2)
+    grid = sg.gate_grid((37.5, 0.0), (1.0, 0.0), GRID_ALONG, GRID_ACROSS, GRID_HALVES)
+    d = sg.best_gate(trace(spark, sf), grid, "t", (200000, 700000), 2)
     return d.select("session", "clean", r("std", 3).alias("std"))

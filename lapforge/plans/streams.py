@@ -134,23 +134,26 @@ def jon_08(spark, sf):
         "event_id", "lid", r("distance").alias("distance"))
 
 
-@query("JON-09", T(""", b AS (SELECT *, (i % 16)/16.0 + (k % 5)*0.01 AS frac FROM trace), ref AS (SELECT session, i AS ref_i, e AS re, n AS rn_, (i % 16)/16.0 AS rf FROM trace WHERE lap = 0)
-SELECT b.session, b.event_id, arg_min(ref_i, (pow(re-e,2)+pow(rn_-n,2), ref_i)) AS ref_i, round(sqrt(min(pow(re-e,2)+pow(rn_-n,2))), 6) AS dist
-FROM b JOIN ref ON b.session = ref.session AND abs(frac - rf) <= 0.1 WHERE lap > 0 GROUP BY ALL"""))
+_NEAR = "least(len(s.dl), {h} + 5)"
+_WIN = "s.dl[greatest(0, {h} - 2) + 1:" + _NEAR + "]"
+
+
+def _walk_sql(h: str) -> str:
+    part = _WIN.format(h=h)
+    return f"greatest(0, {h} - 2) + list_position({part}, list_min({part})) - 1"
+
+
+@query("JON-09", recursive("""SELECT b.session, b.lap, b.event_id, b.i % 16 AS j, list(pow(p.e-b.e,2)+pow(p.n-b.n,2) ORDER BY p.i) AS dl
+FROM trace b JOIN trace p ON p.session = b.session AND p.lap = 0 WHERE b.lap > 0 GROUP BY ALL""",
+       f"SELECT session, lap, event_id, j, {_walk_sql('0')} AS hint, s.dl AS dl FROM src s WHERE j = 0",
+       f"SELECT s.session, s.lap, s.event_id, s.j, {_walk_sql('f.hint')}, s.dl FROM f JOIN src s ON s.session = f.session AND s.lap = f.lap AND s.j = f.j + 1",
+       "SELECT session, event_id, CAST(hint AS BIGINT) AS ref_i, round(sqrt(dl[hint + 1]), 6) AS dist FROM f"))
 def jon_09(spark, sf):
-    """Closest reference-lap point with about the same share of the lap done."""
+    """Reference-lap point of every row, searched only near the last match (2 back, 4 ahead)."""
     d = trace(spark, sf).df
-    tol = 0.1
-    frac = (F.col("i") % 16) / 16.0
-    moving = d.where("lap > 0").withColumn("frac", frac + (F.col("k") % 5) * 0.01)
-    ref = d.where("lap = 0").select("session", F.col("i").alias("ref_i"), F.col("e").alias("re"), F.col("n").alias("rn"), frac.alias("rf"))
-    slot = F.floor(F.col("rf") / tol)
-    ref = ref.withColumn("slot", F.explode(F.sequence(slot - 1, slot + 1)))
-    pairs = clean.salted_lookup(moving.withColumn("slot", F.floor(F.col("frac") / tol)), ref, ["session", "slot"], F.col(G), "inner")
-    pairs = pairs.where(F.abs(F.col("frac") - F.col("rf")) <= tol)
-    d2 = F.pow(F.col("re") - F.col("e"), 2) + F.pow(F.col("rn") - F.col("n"), 2)
-    best = pairs.groupBy("session", "event_id").agg(F.min(F.struct(d2.alias("d2"), F.col("ref_i").alias("ref_i"))).alias("b"))
-    return best.select("session", "event_id", "b.ref_i", r(F.sqrt("b.d2")).alias("dist"))
+    ref = d.where("lap = 0").select("session", F.col("i").alias("ref_i"), "e", "n")
+    m = aj.forward_nearest(d.where("lap > 0"), ref, ["session"], "lap", "event_id", "i", "ref_i", "e", "n", 2, 5)
+    return m.select("session", "event_id", "ref_i", r("distance").alias("dist"))
 
 
 @query("JON-10", T(""", m AS (SELECT * FROM (VALUES ('t1', 100.0, 0.0), ('t2', 100.0, 100.0), ('t3', 0.0, 100.0)) v(landmark, mx, my))

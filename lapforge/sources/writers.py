@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.functions.geo import MPH
-from lapforge.operators.documents import gather, parts
+from lapforge.operators.documents import PART_ROWS, assemble
 
 
 def session_dataset(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str], csv_path: str | None = None) -> None:
@@ -27,10 +27,21 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def titled_texts(spark: SparkSession, path: str, title_pattern: str) -> DataFrame:
-    """Text files as (title, text): title from the path, text trimmed."""
+def text_files(df: DataFrame, path: str, doc: str, number: str, text: str, size: int = PART_ROWS) -> None:
+    """Text files below ``doc=<id>/part=<n>``, one line of text after the other by ``number`` from 0.
+
+    A part holds ``size`` numbers and is one file, so a long document spreads over tasks.
+    """
+    d = df.select(F.col(doc).alias("doc"), F.expr(f"`{number}` div {size}").alias("part"), F.col(number).alias("_n"), F.col(text).alias("text"))
+    d.repartition("doc", "part").sortWithinPartitions("doc", "part", "_n").select("doc", "part", "text").write.partitionBy("doc", "part").text(path)
+
+
+def titled_texts(spark: SparkSession, path: str, title_pattern: str, part_pattern: str) -> DataFrame:
+    """Text files as (title, part, text): title and part from the path, text trimmed."""
     d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return d.select(F.regexp_extract(F.col("_metadata.file_path"), title_pattern, 1).alias("title"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text"))
+    where = F.col("_metadata.file_path")
+    return d.select(F.regexp_extract(where, title_pattern, 1).alias("title"), F.regexp_extract(where, part_pattern, 1).cast("long").alias("part"),
+                    F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text"))
 
 
 def trip_export(trace: DataFrame, points: DataFrame, t_us: str, trip: Column) -> DataFrame:
@@ -45,5 +56,5 @@ def race_markdown(results: DataFrame, race: str, place: str, tie: Sequence[str],
     rows = results.select(race, F.when(finished, 0).otherwise(1).alias("_s"), F.col(place).alias("_p"), *tie, F.concat(F.lit("- "), line).alias("_l"))
     top = standing.select(race, F.lit(2).alias("_s"), F.col("rank").alias("_p"), *[F.lit(None).cast(results.schema[c].dataType).alias(c) for c in tie],
                           F.concat(F.lit("- Standing "), F.col("rank").cast("string"), F.lit(": "), F.col("name")).alias("_l"))
-    o = parts(rows.unionByName(top), [race], ["_s", "_p", *tie])
-    return gather(o, "_lines", F.col("_l")).select(race, "part", F.array_join("_lines", "\n").alias("markdown"))
+    d = assemble(rows.unionByName(top), [race], ["_s", "_p", *tie], F.col("_l"))
+    return d.select(race, "part", F.array_join("items", "\n").alias("markdown"))

@@ -1,7 +1,9 @@
 """Live twins of session, lap and incident detection on Structured Streaming.
 
-A stateful key is one vehicle, whose rate is bounded by its sensors; each micro-batch of a key
-is sorted by time and folded over a few numbers of state.
+A stateful key is one vehicle, whose rate is bounded by its sensors. Rows wait in the key's list
+state until the watermark passes them and are then folded in event time over a few numbers of
+state, so neither the size of a trigger nor the order of its files changes a result. Rows behind
+the watermark are dropped and counted.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def live_sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
@@ -21,28 +26,83 @@ def live_sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str) ->
     return d.select(key, F.col("w.start").alias("t_in"), F.col("_last").alias("t_out"), "n")
 
 
-def _stateful(stream: DataFrame, key: str, order: list[str], out: str, width: int, step: Callable[[list, tuple], tuple], cols: list[str]) -> DataFrame:
-    """Fold time-sorted rows of each key; ``step(state, row)`` returns (state, output row or None)."""
+class _EventTimeFold(StatefulProcessor):
+    """Buffers a key's rows, and folds those that the watermark has passed in event time.
+
+    ``step(state, row)`` returns (state, output row or None). A timer at the earliest waiting row
+    releases it; with ``idle_us`` a key without rows for that long forgets its state.
+    """
+
+    def __init__(self, key: str, ts: str, order: list[str], cols: list[str], row_schema: StructType, width: int, names: list[str],
+                 step: Callable[[list, tuple], tuple], idle_us: int | None):
+        self.key, self.ts, self.order, self.cols, self.row_schema = key, ts, order, cols, row_schema
+        self.width, self.names, self.step, self.idle_us = width, names, step, idle_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.numbers = handle.getValueState("numbers", ", ".join([*[f"s{i} double" for i in range(self.width)], "last long"]))
+
+    def _timer(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fields = self.row_schema.fieldNames()
+        got = pd.concat(list(rows), ignore_index=True)[fields]
+        if len(got):
+            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in row) for row in got.astype(object).itertuples(index=False, name=None)])
+            self._timer(int(got[self.ts].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fields = self.row_schema.fieldNames()
+        held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=fields) if self.waiting.exists() else pd.DataFrame(columns=fields)
+        due = held[held[self.ts].astype("int64") <= passed].sort_values(self.order, kind="stable") if len(held) else held
+        rest = held.drop(due.index)
+        now, last = [None] * self.width, None
+        if self.numbers.exists():
+            *now, last = self.numbers.get()
+        out = []
+        for row in due[self.cols].itertuples(index=False, name=None):
+            now, made = self.step(list(now), row)
+            if made is not None:
+                out.append((key[0], *made))
+        if len(due):
+            last = int(due[self.ts].iloc[-1])
+            self.numbers.update((*[None if v is None else float(v) for v in now], last))
+            if len(rest):
+                self.waiting.put([tuple(row) for row in rest.astype(object).itertuples(index=False, name=None)])
+            else:
+                self.waiting.clear()
+        if len(rest):
+            self._timer(int(rest[self.ts].min()))
+        elif self.idle_us is not None and last is not None:
+            if last + self.idle_us <= passed:
+                self.numbers.clear()
+            else:
+                self._timer(last + self.idle_us)
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, *self.names])
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(stream: DataFrame, key: str, ts: str, delay: str, order: list[str], out: str, width: int, step: Callable[[list, tuple], tuple], cols: list[str],
+              idle_us: int | None = None) -> DataFrame:
+    """Fold the rows of each key in event time. ``ts`` is a clock in microseconds."""
     names = [c.split()[0] for c in out.split(",")]
-    state_schema = ", ".join(f"s{i} double" for i in range(width))
+    fields = list(dict.fromkeys([ts, *order, *cols]))
+    row_schema = StructType([stream.schema[c] for c in fields])
     key_type = stream.schema[key].dataType.simpleString()
+    timed = stream.withColumn("_ts", F.timestamp_micros(ts)).withWatermark("_ts", delay)
+    fold = _EventTimeFold(key, ts, order, cols, row_schema, width, names, step, idle_us)
+    return timed.groupBy(key).transformWithStateInPandas(fold, f"{key} {key_type}, {out}", "Append", "EventTime")
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        now = list(state.get) if state.exists else [None] * width
-        got = []
-        for row in rows[cols].itertuples(index=False, name=None):
-            now, made = step(now, row)
-            if made is not None:
-                got.append((k[0], *made))
-        state.update(tuple(None if v is None else float(v) for v in now))
-        yield pd.DataFrame(got, columns=[key, *names])
-
-    return stream.groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, {out}", state_schema, "append", GroupStateTimeout.NoTimeout)
 
-
-def live_laps(stream: DataFrame, key: str, gate: tuple[float, float, float, float], min_gap: float, min_speed: float = 0.6) -> DataFrame:
+def live_laps(stream: DataFrame, key: str, ts: str, delay: str, gate: tuple[float, float, float, float], min_gap: float, min_speed: float = 0.6,
+              idle_us: int | None = None) -> DataFrame:
     """Gate crossings with interpolated time, side and lap number. Needs t, event_id, e, n, speed."""
     ax, ay, bx, by = gate
     sx, sy = bx - ax, by - ay
@@ -65,11 +125,12 @@ def live_laps(stream: DataFrame, key: str, gate: tuple[float, float, float, floa
         nxt[5], nxt[6] = tc, nxt[6] + 1
         return nxt, (int(pid), tc, 1 if ry * sx - rx * sy >= 0 else -1, int(nxt[6]))
 
-    return _stateful(stream, key, ["t", "event_id"], "event_id long, t_cross double, side int, lap_no long", 7, step, ["t", "event_id", "e", "n", "speed"])
+    return _stateful(stream, key, ts, delay, [ts, "event_id"], "event_id long, t_cross double, side int, lap_no long", 7, step, ["t", "event_id", "e", "n", "speed"], idle_us)
 
 
-def live_incidents(stream: DataFrame, key: str, crash_speed: float, drop: float, spin: float, slow: float, slow_s: float, go: float, go_s: float) -> DataFrame:
-    """Incident flag per row as it arrives. Needs t, event_id, speed, turn."""
+def live_incidents(stream: DataFrame, key: str, ts: str, delay: str, crash_speed: float, drop: float, spin: float, slow: float, slow_s: float, go: float, go_s: float,
+                   idle_us: int | None = None) -> DataFrame:
+    """Incident flag per row once the watermark passes it. Needs t, event_id, speed, turn."""
 
     def step(state, row):
         t, eid, v, w = row
@@ -90,11 +151,25 @@ def live_incidents(stream: DataFrame, key: str, crash_speed: float, drop: float,
             inc, rec = 0.0, 0.0
         return [t, v, inc, low, rec], (int(eid), True)
 
-    return _stateful(stream, key, ["t", "event_id"], "event_id long, incident boolean", 5, step, ["t", "event_id", "speed", "turn"])
-
-
-def drain(stream: DataFrame, path: str) -> None:
-    """Run a stream over all files present now into a Parquet folder, then stop."""
-    q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    return _stateful(stream, key, ts, delay, [ts, "event_id"], "event_id long, incident boolean", 5, step, ["t", "event_id", "speed", "turn"], idle_us)
+
+
+def drain(stream: DataFrame, path: str) -> int:
+    """Run a stream over all files present now into a Parquet folder, then stop.
+
+    Returns the number of rows dropped as later than the watermark. Keyed state needs the RocksDB
+    store; the session's own choice is put back once the query has started.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    was = conf.get(name, None)
+    conf.set(name, ROCKS)
+    try:
+        q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
+             .outputMode("append").trigger(availableNow=True).start())
+    finally:
+        conf.set(name, was) if was else conf.unset(name)
+    late, running = {}, True
+    while running:  # progress keeps the last triggers only
+        running = not q.awaitTermination(1)
+        late |= {p.batchId: sum(op.numRowsDroppedByWatermark for op in p.stateOperators) for p in q.recentProgress}
+    return sum(late.values())
