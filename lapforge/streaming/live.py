@@ -3,18 +3,24 @@
 A stateful key is one vehicle, whose rate is bounded by its sensors. Rows wait in the key's list
 state until the watermark passes them and are then folded in event time over a few numbers of
 state, so neither the size of a trigger nor the order of its files changes a result. Rows behind
-the watermark are dropped and counted.
+the watermark of the trigger before theirs, up to which others may have been folded, are dropped
+and counted.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import FractionalType, IntegralType, StructType
+
+# The process that sets up keyed state on the driver does not inherit the import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,7 +36,8 @@ class _EventTimeFold(StatefulProcessor):
     """Buffers a key's rows, and folds those that the watermark has passed in event time.
 
     ``step(state, row)`` returns (state, output row or None). A timer at the earliest waiting row
-    releases it; with ``idle_us`` a key without rows for that long forgets its state.
+    releases it; with ``idle_us`` a key starts anew after a longer gap between rows, and its state
+    goes once the watermark shows one.
     """
 
     def __init__(self, key: str, ts: str, order: list[str], cols: list[str], row_schema: StructType, width: int, names: list[str],
@@ -46,11 +53,16 @@ class _EventTimeFold(StatefulProcessor):
     def _timer(self, us: int) -> None:
         self.handle.registerTimer(us // 1000 + 1)
 
+    def _rows(self, d: pd.DataFrame) -> list[tuple]:
+        """State rows of the exact types: a batch with a null has its whole numbers as floats."""
+        cast = [int if isinstance(f.dataType, IntegralType) else float if isinstance(f.dataType, FractionalType) else (lambda v: v) for f in self.row_schema]
+        return [tuple(None if pd.isna(v) else c(v) for c, v in zip(cast, row)) for row in d.itertuples(index=False, name=None)]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fields = self.row_schema.fieldNames()
         got = pd.concat(list(rows), ignore_index=True)[fields]
         if len(got):
-            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in row) for row in got.astype(object).itertuples(index=False, name=None)])
+            self.waiting.appendList(self._rows(got))
             self._timer(int(got[self.ts].min()))
         return iter(())
 
@@ -64,24 +76,26 @@ class _EventTimeFold(StatefulProcessor):
         if self.numbers.exists():
             *now, last = self.numbers.get()
         out = []
-        for row in due[self.cols].itertuples(index=False, name=None):
+        for at, row in zip(due[self.ts].tolist(), due[self.cols].itertuples(index=False, name=None)):
+            if self.idle_us is not None and last is not None and at - last > self.idle_us:
+                now = [None] * self.width
             now, made = self.step(list(now), row)
+            last = int(at)
             if made is not None:
                 out.append((key[0], *made))
         if len(due):
-            last = int(due[self.ts].iloc[-1])
             self.numbers.update((*[None if v is None else float(v) for v in now], last))
             if len(rest):
-                self.waiting.put([tuple(row) for row in rest.astype(object).itertuples(index=False, name=None)])
+                self.waiting.put(self._rows(rest))
             else:
                 self.waiting.clear()
         if len(rest):
             self._timer(int(rest[self.ts].min()))
         elif self.idle_us is not None and last is not None:
-            if last + self.idle_us <= passed:
+            if last + self.idle_us < passed:
                 self.numbers.clear()
             else:
-                self._timer(last + self.idle_us)
+                self._timer(last + self.idle_us + 1000)
         if out:
             yield pd.DataFrame(out, columns=[self.key, *self.names])
 
@@ -171,5 +185,6 @@ def drain(stream: DataFrame, path: str) -> int:
     late, running = {}, True
     while running:  # progress keeps the last triggers only
         running = not q.awaitTermination(1)
-        late |= {p.batchId: sum(op.numRowsDroppedByWatermark for op in p.stateOperators) for p in q.recentProgress}
+        for p in q.recentProgress:  # a trigger may be reported again without rows
+            late[p.batchId] = max(late.get(p.batchId, 0), sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
     return sum(late.values())
