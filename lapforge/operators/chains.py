@@ -250,34 +250,43 @@ class Turned(Rule):
 class Decay(Rule):
     """Exponential mean: alpha * x + (1 - alpha) * state, seeded by the first value.
 
-    A transfer is (factor, sum, first value): affine maps compose to one. Rows are weighted in
-    chunks by one matrix product.
+    A transfer is (factor, sum, first value): affine maps compose to one. A block is cut into
+    stretches that step on side by side, each from the state that the maps before it lead to.
     """
 
     width = 3
-    CHUNK = 128
+    STRETCH = 512
 
     def __init__(self, col: str, alpha: float, name: str):
         self.col, self.alpha, self.inputs, self.outputs = col, alpha, [col], {name: pa.float64()}
         self.name = name
-        power = (1 - alpha) ** np.arange(self.CHUNK + 1)
-        k = np.arange(self.CHUNK)
-        self.fade = power[1:]
-        self.weights = np.where(k[:, None] >= k[None, :], alpha * power[np.maximum(k[:, None] - k[None, :], 0)], 0.0)
+
+    def _steps(self, rows: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """All rows (stretches by places) from the states they start in."""
+        out = np.empty_like(rows)
+        for k in range(rows.shape[1]):
+            state = self.alpha * rows[:, k] + (1 - self.alpha) * state
+            out[:, k] = state
+        return out
 
     def _run(self, x: np.ndarray, state: float) -> np.ndarray:
-        if not len(x):
-            return x
-        y, state = [], (x[0] if np.isnan(state) else state)
-        whole = len(x) // self.CHUNK * self.CHUNK
-        for part in (x[:whole].reshape(-1, self.CHUNK), x[whole:].reshape(1, -1)):
-            m = part.shape[1]
-            own = part @ self.weights[:m, :m].T
-            for row in range(len(part) if m else 0):
-                own[row] += self.fade[:m] * state
-                state = own[row, -1]
-            y.append(own.ravel())
-        return np.concatenate(y)
+        """Means of a block; an unset state takes the first value as it is."""
+        unset = np.isnan(state)
+        head, x, state = (x[:1], x[1:], x[0]) if unset else (x[:0], x, state)
+        whole = len(x) // self.STRETCH * self.STRETCH
+        parts = [head]
+        if whole:
+            rows = x[:whole].reshape(-1, self.STRETCH)
+            left = self._steps(rows, np.zeros(len(rows)))[:, -1]
+            entry = np.empty(len(rows))
+            for k, gain in enumerate(left):
+                entry[k] = state
+                state = (1 - self.alpha) ** self.STRETCH * state + gain
+            done = self._steps(rows, entry)
+            state = done[-1, -1]
+            parts.append(done.ravel())
+        parts.append(self._steps(x[whole:].reshape(1, -1), np.array([state])).ravel())
+        return np.concatenate(parts)
 
     def transfer(self, cols: Cols) -> np.ndarray:
         x = cols[self.col]

@@ -353,14 +353,16 @@ def quantiles(
     """
     keys, limit = list(keys), block_rows(df.sparkSession)
     slim = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(cols)])
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if not sizes.where(F.col("_n") > limit).limit(1).count():
+    sizes = written(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    hot, cold = sizes.agg(F.count(F.when(F.col("_n") > limit, 1)), F.count(F.when(F.col("_n") <= limit, 1))).first()
+    if not hot:
         return _sorted_quantiles(slim, keys, cols, qs)
-    if not keys:
-        return _ranked_quantiles(slim, keys, cols, qs)
-    hot = written(sizes.where(F.col("_n") > limit).select(*keys), "hot")  # at most rows / limit keys
-    small = slim.join(F.broadcast(hot) if fits_broadcast(hot) else hot, keys, "left_anti")
-    return _sorted_quantiles(small, keys, cols, qs).unionByName(_ranked_quantiles(slim.join(hot, keys, "left_semi"), keys, cols, qs))
+    if not cold:
+        return _ranked_quantiles(slim, sizes.select(*keys), keys, cols, qs)
+    large = sizes.where(F.col("_n") > limit).select(*keys)  # at most rows / limit keys
+    side = F.broadcast(large) if fits_broadcast(large) else large
+    return _sorted_quantiles(slim.join(side, keys, "left_anti"), keys, cols, qs).unionByName(
+        _ranked_quantiles(slim.join(side, keys, "left_semi"), large, keys, cols, qs))
 
 
 def _sorted_quantiles(slim: DataFrame, keys: list[str], cols: Sequence[str], qs: dict[str, float]) -> DataFrame:
@@ -374,10 +376,10 @@ def _sorted_quantiles(slim: DataFrame, keys: list[str], cols: Sequence[str], qs:
     return lists.select(*keys, *picks)
 
 
-_SKETCH = 10_000
+_SKETCH = 1_000
 
 
-def _ranked_quantiles(slim: DataFrame, keys: list[str], cols: Sequence[str], qs: dict[str, float]) -> DataFrame:
+def _ranked_quantiles(slim: DataFrame, every: DataFrame, keys: list[str], cols: Sequence[str], qs: dict[str, float]) -> DataFrame:
     """The quantiles of keys of more than a block of rows. The sketch is off by at most one in
     ``_SKETCH`` ranks; brackets reach twice as far on both sides, and three rows at least."""
     reach = max(2.0 / _SKETCH, 3.0 / block_rows(slim.sparkSession))
@@ -405,4 +407,4 @@ def _ranked_quantiles(slim: DataFrame, keys: list[str], cols: Sequence[str], qs:
     wide = [F.max(F.when((F.col("c") == c) & (F.col("name") == name), F.col("v"))).alias(f"{c}_{name}") for c in cols for name in qs]
     if not keys:
         return got.agg(*wide)
-    return slim.select(*keys).distinct().join(got.groupBy(*keys).agg(*wide), keys, "left")
+    return every.join(got.groupBy(*keys).agg(*wide), keys, "left")

@@ -60,8 +60,8 @@ def txt_03(spark, sf):
     return table(spark, sf, "pages").select("page_id", term.alias("term"), definition.alias("definition")).where("term is not null")
 
 
-@query("TXT-04", """WITH s AS (SELECT conv_id, turn, turn*37.5 AS start, text, row_number() OVER w - 1 AS pos, sum(strlen(text) + 1) OVER w - strlen(text) - 1 AS at FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, pos // 4096 AS part, CAST(min(at) AS BIGINT) AS "offset", string_agg(text, ' ' ORDER BY start, turn) AS full_text, string_agg(format('[{:02d}:{:02d}] ', CAST(floor(start) AS BIGINT)//60, CAST(floor(start) AS BIGINT) % 60) || text, chr(10) ORDER BY start, turn) AS clock_text FROM s GROUP BY conv_id, pos // 4096""")
+@query("TXT-04", """WITH s AS (SELECT conv_id, turn, turn*37.5 AS start, text, row_number() OVER w - 1 AS pos, sum(strlen(text) + 1) OVER w - strlen(text) - 1 AS place FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, pos // 4096 AS part, CAST(min(place) AS BIGINT) AS "offset", string_agg(text, ' ' ORDER BY start, turn) AS full_text, string_agg(format('[{:02d}:{:02d}] ', CAST(floor(start) AS BIGINT)//60, CAST(floor(start) AS BIGINT) % 60) || text, chr(10) ORDER BY start, turn) AS clock_text FROM s GROUP BY conv_id, pos // 4096""")
 def txt_04(spark, sf):
     s = table(spark, sf, "conversations").withColumn("start", F.col("turn") * 37.5)
     return dc.stitched(s, ["conv_id"], "start", "turn", "text")

@@ -15,8 +15,8 @@ def replay(spark, sf, closing: bool = False):
     """The trace written in ``SLICES`` files sets by time and read back as a stream, and the
     disorder in it: files of one slice may come in any order.
 
-    With ``closing`` a last file has one row of no session, late enough to let the watermark
-    pass all others.
+    With ``closing`` a last file has one row of session -1, which does not exist, late enough to
+    let the watermark pass all others.
     """
     d = trace(spark, sf).df.select("session", "t_us", "t", "event_id", "e", "n", "speed", F.col("k").alias("turn"))
     path = new_path(spark, "stream")
@@ -26,7 +26,7 @@ def replay(spark, sf, closing: bool = False):
         a, b = lo + (hi - lo) * i // SLICES, lo + (hi - lo) * (i + 1) // SLICES + (i == SLICES - 1)
         d.where((F.col("t_us") >= a) & (F.col("t_us") < b)).write.parquet(f"{path}/slice={i}")
     if closing:
-        end = d.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema]).withColumn("t_us", F.lit(hi + delay + 2_000_000))
+        end = d.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema]).withColumns({"session": F.lit(-1).cast("long"), "t_us": F.lit(hi + delay + 2_000_000)})
         end.write.parquet(f"{path}/slice={SLICES}")
     files = spark.readStream.schema(d.schema).option("recursiveFileLookup", True).option("maxBytesPerTrigger", str(256 << 20)).parquet(path)
     return files, f"{delay} microseconds"

@@ -105,12 +105,12 @@ class _EventTimeFold(StatefulProcessor):
 
 def _stateful(stream: DataFrame, key: str, ts: str, delay: str, order: list[str], out: str, width: int, step: Callable[[list, tuple], tuple], cols: list[str],
               idle_us: int | None = None) -> DataFrame:
-    """Fold the rows of each key in event time. ``ts`` is a clock in microseconds."""
+    """Fold the rows of each key in event time. ``ts`` is a clock in microseconds; null keys are left out."""
     names = [c.split()[0] for c in out.split(",")]
     fields = list(dict.fromkeys([ts, *order, *cols]))
     row_schema = StructType([stream.schema[c] for c in fields])
     key_type = stream.schema[key].dataType.simpleString()
-    timed = stream.withColumn("_ts", F.timestamp_micros(ts)).withWatermark("_ts", delay)
+    timed = stream.where(F.col(key).isNotNull()).withColumn("_ts", F.timestamp_micros(ts)).withWatermark("_ts", delay)
     fold = _EventTimeFold(key, ts, order, cols, row_schema, width, names, step, idle_us)
     return timed.groupBy(key).transformWithStateInPandas(fold, f"{key} {key_type}, {out}", "Append", "EventTime")
 
