@@ -8,6 +8,7 @@ trains at the time when the demand reaches its middle word. Only DataFrame funct
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,6 @@ WEIGHTS = (3, 1, 2)
 TILTS = (-0.5, 0.0, 0.5)
 SHARE = 1.5
 MOST = 2.0
-PASSES = 2
 
 
 def _key(source: str) -> Column:
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, tilts:
     return table.withColumn("target", F.least(cap, F.col("w") * level))
 
 
-def training_plan(documents: DataFrame, **options) -> DataFrame:
+def training_plan(documents: DataFrame, keep: Sequence[str] = (), most: float = MOST, **options) -> DataFrame:
     """Each document's ``size``, ``source_size``, ``target`` and the ``copies`` the mix takes.
 
     ``copies`` is an array of (copy, words, position): a queue pass, the words it takes, and the
@@ -62,46 +62,56 @@ def training_plan(documents: DataFrame, **options) -> DataFrame:
     its first words only, so a source's words add up to its rounded target. Words are
     ``[^\\x20\\x09-\\x0D]+``; a null or empty text has size 0 and no copies. Rows are queued by a
     hash of id and text, so reruns agree; repeated rows queue as rows of their own, null ids too.
+    The queue passes ``ceil(most)`` times. ``place`` numbers the rows; columns ``keep`` come along.
     """
-    sizes = documents.select("doc_id", "source", F.xxhash64("text").alias("k"), n_words(F.col("text")).alias("size"), _key("source").alias("_s"))
+    sizes = documents.select("doc_id", "source", F.xxhash64("text").alias("k"), n_words(F.col("text")).alias("size"), _key("source").alias("_s"), *keep)
     sizes = written(sizes, "sizes")
-    targets = written(source_targets(sizes, **options), "targets")
-    queue = ordered(sizes, ["_s"], [F.xxhash64("doc_id", "k", F.lit("queue")), "doc_id", "k"]).running(exclusive=True, start=("sum", "size"))
-    rows = salted_lookup(queue.df.drop("_g"), targets, ["_s"], F.xxhash64("doc_id", "k"), "inner")
+    targets = written(source_targets(sizes, most=most, **options), "targets")
+    queue = ordered(sizes, ["_s"], [F.xxhash64("doc_id", "k", F.lit("queue")), "doc_id", "k", *keep]).running(exclusive=True, start=("sum", "size"))
+    rows = salted_lookup(queue.df.withColumnRenamed("_g", "place"), targets, ["_s"], F.xxhash64("doc_id", "k"), "inner")
     demand, start = F.round("target").cast("long"), F.coalesce("start", F.lit(0))
     q = lambda offset, words: F.least(F.lit(1.0), (offset + words / 2) / F.greatest("target", F.lit(1e-9)))
     # The root of tilt * t^2 + (1 - tilt) * t = q, in the form that also holds for tilt 0.
     when = lambda x: F.least(F.lit(1.0), 2 * x / (1 - F.col("tilt") + F.sqrt((1 - F.col("tilt")) * (1 - F.col("tilt")) + 4 * F.col("tilt") * x)))
     copies = []
-    for copy in range(PASSES):
+    for copy in range(math.ceil(most)):
         offset = start + copy * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), demand - offset))
         copies.append(F.struct(F.lit(copy).alias("copy"), words.cast("long").alias("words"), when(q(offset, words)).alias("position")))
     taken = F.filter(F.array(*copies), lambda c: c["words"] > 0)
-    return rows.select("doc_id", "source", "k", "size", "source_size", "target", taken.alias("copies"))
+    return rows.select("doc_id", "source", "k", "size", "source_size", "target", "place", *keep, taken.alias("copies"))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` (words with repeats)."""
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` (words with repeats), ``positions``
+    (training time of every copy) and ``train_rank``.
+
+    The rank numbers the documents from 0 by the position at which they train first, over a range
+    sort; documents that the mix does not take have none.
+    """
     plan = training_plan(documents, **options)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    rows = plan.select("doc_id", "k", "size", "source_size", "target", taken.alias("taken"), F.col("copies.position").alias("positions"), "place")
+    first = F.get("positions", F.lit(0))
+    rows = ordered(rows, [], [first.asc_nulls_last(), F.col("place")]).df
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "positions", F.when(F.size("positions") > 0, F.col("_g")).alias("train_rank"))
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The documents in training order, in the columns they came with; a repeat is a row again.
 
-    A part of a document is its text up to the last word taken, with ``n_chars`` to match.
-    Of rows with the same id, source and text the first is shown for all.
+    A part of a document is its text up to the last word taken, with ``n_chars`` to match. Rows
+    that differ in any column are rows of their own; rows equal in all are interchangeable, so one
+    text of them travels. Names of the given columns never clash with the plan's.
     """
     cols = documents.columns
-    plan = training_plan(documents, **options).select("doc_id", "source", "k", "size", F.explode("copies").alias("_c"))
-    copies = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("k").alias("_k2"), "size", "_c.words", "_c.position")
-    docs = documents.withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_k"])
-    out = docs.select(F.struct(*[docs[c] for c in cols]).alias("_d"), "_k").join(
-        copies, F.col("_d.doc_id").eqNullSafe(F.col("_id")) & F.col("_d.source").eqNullSafe(F.col("_src")) & (F.col("_k") == F.col("_k2")))
+    row = [F.xxhash64(*cols).alias("_r1"), F.xxhash64(F.lit(1), *cols).alias("_r2")]
+    plan = training_plan(documents.select("doc_id", "source", "text", *row), ["_r1", "_r2"], **options)
+    copies = plan.select("_r1", "_r2", "place", "size", F.explode("copies").alias("_c")).select("_r1", "_r2", "place", "size", "_c.words", "_c.position")
+    texts = documents.select(F.struct(*[documents[c] for c in cols]).alias("_d"), *row).groupBy("_r1", "_r2").agg(F.first("_d").alias("_d"))
+    out = salted_lookup(copies, texts, ["_r1", "_r2"], F.col("place"), "inner", selective=True)
     pieces = F.split(F.col("_d.text"), f"(?<=[^{SPACE}])(?=[{SPACE}])")
     text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("words").cast("int")), "")).otherwise(F.col("_d.text"))
-    out = out.select("_d", text.alias("_text"), "position", "_id").repartitionByRange("position", "_id").sortWithinPartitions("position", "_id")
+    out = out.select("_d", text.alias("_text"), "position", "place").repartitionByRange("position", "place").sortWithinPartitions("position", "place")
     put = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return out.select(*[put[c].alias(c) if c in put else F.col(f"_d.{c}").alias(c) for c in cols])
