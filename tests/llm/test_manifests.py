@@ -212,7 +212,9 @@ def with_leaf(spark, rows):
 def small_blocks(spark):
     """Orders cross block edges."""
     spark.conf.set("spark.lapforge.blockRows", "16")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
     yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     spark.conf.unset("spark.lapforge.blockRows")
 
 
