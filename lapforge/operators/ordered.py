@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapforge.session import block_rows, fits_broadcast, written
+from lapforge.session import block_rows, written
 
 G = "_g"
 B = "_b"
@@ -154,10 +154,12 @@ class Ordered:
         part = Window.partitionBy(*self.keys, B).orderBy(G)
         edge = -1 if exclusive else 0
         past = part.rowsBetween(Window.unboundedPreceding, edge)
-        future = part.rowsBetween(-edge, Window.unboundedFollowing)
+        # Looking ahead is looking back in the reverse order: frames that end at the last row are
+        # computed anew for every row.
+        future = Window.partitionBy(*self.keys, B).orderBy(F.desc(G)).rowsBetween(Window.unboundedPreceding, edge)
         ws = Window.partitionBy(*self.keys).orderBy(B)
         before = ws.rowsBetween(Window.unboundedPreceding, -1)
-        after = ws.rowsBetween(1, Window.unboundedFollowing)
+        after = Window.partitionBy(*self.keys).orderBy(F.desc(B)).rowsBetween(Window.unboundedPreceding, -1)
         whole = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         local, partial, carry, merged = {}, [], [], {}
         for name, (kind, e) in exprs.items():
@@ -183,9 +185,9 @@ class Ordered:
                 carry.append(F.last(p, True).over(before).alias(f"_c_{name}"))
                 merged[name] = F.coalesce(F.col(name), c)
             elif kind == "next":
-                local[name] = F.first(e, True).over(future)
+                local[name] = F.last(e, True).over(future)
                 partial.append(F.min_by(e, F.when(e.isNotNull(), F.col(G))).alias(f"_p_{name}"))
-                carry.append(F.first(p, True).over(after).alias(f"_c_{name}"))
+                carry.append(F.last(p, True).over(after).alias(f"_c_{name}"))
                 merged[name] = F.coalesce(F.col(name), c)
             else:
                 raise ValueError(f"unknown running kind {kind}")
@@ -360,9 +362,8 @@ def quantiles(
     if not cold:
         return _ranked_quantiles(slim, sizes.select(*keys), keys, cols, qs)
     large = sizes.where(F.col("_n") > limit).select(*keys)  # at most rows / limit keys
-    side = F.broadcast(large) if fits_broadcast(large) else large
-    return _sorted_quantiles(slim.join(side, keys, "left_anti"), keys, cols, qs).unionByName(
-        _ranked_quantiles(slim.join(side, keys, "left_semi"), large, keys, cols, qs))
+    return _sorted_quantiles(slim.join(large, keys, "left_anti"), keys, cols, qs).unionByName(
+        _ranked_quantiles(slim.join(large, keys, "left_semi"), large, keys, cols, qs))
 
 
 def _sorted_quantiles(slim: DataFrame, keys: list[str], cols: Sequence[str], qs: dict[str, float]) -> DataFrame:
@@ -393,8 +394,8 @@ def _ranked_quantiles(slim: DataFrame, every: DataFrame, keys: list[str], cols:
     wide = F.struct(F.col("m.name").alias("name"), F.col("m.q").alias("q"), F.when(F.col("m.q") <= reach, F.col("least")).otherwise(F.col("m.from")).alias("from"),
                     F.when(F.col("m.q") >= 1 - reach, F.col("most")).otherwise(F.col("m.to")).alias("to"))
     marks = written(sketch.select(*keys, "c", "total", "least", "most", marks.alias("m")).select(*keys, "c", "total", wide.alias("m")).select(*keys, "c", "total", "m.*"), "marks")
-    # Marks are a few rows for each of the few hot keys.
-    near = long.join(F.broadcast(marks) if fits_broadcast(marks) else marks, [*keys, "c"]).where(F.col("v") <= F.col("to"))
+    # Marks are a few rows for each of the few hot keys; the optimiser broadcasts them while they are small.
+    near = long.join(marks, [*keys, "c"]).where(F.col("v") <= F.col("to"))
     value = F.when(F.col("v") >= F.col("from"), F.col("v"))
     freq = written(near.groupBy(*keys, "c", "name", value.alias("v")).agg(F.count(F.lit(1)).alias("m")), "freq")
     below = freq.where("v is null").select(*keys, "c", "name", F.col("m").alias("below"))
