@@ -38,7 +38,7 @@ def assemble(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Col
         o = ordered(rows, keys, ranks).position("_pos").running(exclusive=True, _at=("sum", "_w"))
         o = o.cols(part=F.floor(F.col("_pos") / size)).cut()
         listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_item"))), lambda x: x["_item"]).alias(c)
-        d = o.df.groupBy(*keys, "part").agg(listed("items"), F.min("_pos").alias("first"), F.coalesce(F.min("_at"), F.lit(0)).alias("offset"))
+        d = o.df.groupBy(*keys, "part").agg(listed("items"), F.min("_pos").alias("first"), F.min(F.coalesce("_at", F.lit(0))).alias("offset"))
         top = o.df.where(F.col("_pos") < max(head, 1)).groupBy(*keys).agg(listed("head"))
         if whole:
             top = top.join(o.df.groupBy(*keys).agg(*whole), keys)

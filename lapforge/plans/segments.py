@@ -471,17 +471,19 @@ def seg_36(spark, sf):
     return lags.best_offset(s, ["session"]).select("session", "offset", r("score").alias("score"), "n")
 
 
-@query("SEG-27b", T(""", st AS (SELECT session, lap2, i, e, n, lead(e) OVER w AS ne, lead(n) OVER w AS nn FROM (SELECT *, i // 32 AS lap2 FROM trace) WINDOW w AS (PARTITION BY session, i // 32 ORDER BY i)),
-z AS (SELECT *, row_number() OVER (PARTITION BY session, lap2 ORDER BY i) AS k, count(*) OVER (PARTITION BY session, lap2) AS m FROM st WHERE ne <> e OR nn <> n),
+@query("SEG-27b", T(CNT + """, sq AS (SELECT session, lap_no AS lap2, i, e, n, lead(e) OVER w AS ne, lead(n) OVER w AS nn FROM lm WHERE lap_no BETWEEN 1 AND top - 1 WINDOW w AS (PARTITION BY session, lap_no ORDER BY i)),
+z AS (SELECT *, row_number() OVER (PARTITION BY session, lap2 ORDER BY i) AS k, count(*) OVER (PARTITION BY session, lap2) AS m FROM sq WHERE ne <> e OR nn <> n),
 y AS (SELECT a.session, a.lap2, b.e-a.e AS qx, b.n-a.n AS qy, a.ne-a.e AS rx, a.nn-a.n AS ry, b.ne-b.e AS sx, b.nn-b.n AS sy,
     b.k = a.k + 1 OR (b.k - a.k = a.m - 1 AND b.ne = a.e AND b.nn = a.n) AS joined FROM z a JOIN z b ON a.session = b.session AND a.lap2 = b.lap2 AND b.k > a.k),
 x AS (SELECT *, rx*sy - ry*sx AS det, (qx*rx + qy*ry)/(rx*rx + ry*ry) AS t0, (qx*rx + qy*ry + sx*rx + sy*ry)/(rx*rx + ry*ry) AS t1 FROM y)
-SELECT DISTINCT session, lap2 FROM x WHERE CASE WHEN joined THEN abs(det) <= 1e-12 AND rx*sx + ry*sy < 0
+SELECT DISTINCT session, lap2 AS lap_no FROM x WHERE CASE WHEN joined THEN abs(det) <= 1e-12 AND rx*sx + ry*sy < 0
     WHEN abs(det) <= 1e-12 THEN abs(qx*ry - qy*rx) <= 1e-12 AND greatest(t0, t1) >= 0 AND least(t0, t1) <= 1
     ELSE (qx*sy-qy*sx)/det BETWEEN 0 AND 1 AND (qx*ry-qy*rx)/det BETWEEN 0 AND 1 END"""))
 def seg_27b(spark, sf):
-    o = trace(spark, sf).cols(lap2=F.expr("i div 32"))
-    return sg.self_crossing(o, "lap2", 10.0, reach=8)
+    """Timed laps, from gate to gate, whose path crosses itself."""
+    o = crossed_rows(spark, sf).running(lap_no=("count", F.when(F.col("crossed"), 1)))
+    o = o.totals(top=F.max("lap_no")).where("lap_no between 1 and top - 1")
+    return sg.self_crossing(o.map(lambda d: d.drop("top")), "lap_no", 10.0, reach=8)
 
 
 @query("SEG-09", T(f""", st AS (SELECT *, lead(e){W} AS ne, lead(n){W} AS nn, lead(t){W} AS nt, coalesce(lead(e){W}, e) - coalesce(lag(e){W}, e) AS dx, coalesce(lead(n){W}, n) - coalesce(lag(n){W}, n) AS dy FROM trace),

@@ -251,7 +251,7 @@ def jon_17(spark, sf):
     return o.out("session", "event_id", r("d").alias("distance"), (F.col("sm") > 0.4).alias("on_track"))
 
 
-@query("JON-18", T(""", f AS (SELECT * FROM trace), s AS (SELECT session, t AS st, e AS se FROM trace WHERE kind = 'error' AND i < 40),
+@query("JON-18", T(""", f AS (SELECT * FROM trace), s AS (SELECT session, t AS st, e AS se FROM trace WHERE kind = 'error'),
 j AS (SELECT f.session, f.event_id, f.i, f.t, p.st pt, p.se pe, q.st qt, q.se qe FROM f ASOF JOIN s p ON f.session = p.session AND f.t >= p.st
 ASOF LEFT JOIN s q ON f.session = q.session AND f.t < q.st),
 x AS (SELECT *, qt IS NULL AND pt < t AS past FROM j), y AS (SELECT *, sum(CASE WHEN past THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY i) AS m FROM x)
@@ -260,7 +260,7 @@ round(CASE WHEN past THEN greatest(0.1, 1.0 - 0.05*m) WHEN pt = t THEN 1.0 ELSE
 CASE WHEN past THEN 'Extrapolated' ELSE 'Interpolated' END AS source FROM y"""))
 def jon_18(spark, sf):
     d = trace(spark, sf).df
-    out = aj.fix_provenance(d, d.where(SLOW).where("i < 40"), ["session"], "t", "event_id", ["e"])
+    out = aj.fix_provenance(d, d.where(SLOW), ["session"], "t", "event_id", ["e"])
     return out.select("session", "event_id", r("fix_e").alias("fix_e"), r("confidence").alias("confidence"), "source")
 
 
