@@ -177,9 +177,9 @@ def snk_05(spark, sf):
     return spark.read.schema(md.schema).json(path)
 
 
-@query("TXT-02", """SELECT conv_id::VARCHAR AS title, turn // 4096 AS part, trim(string_agg(text, chr(10) ORDER BY turn), chr(10) || ' ') AS text FROM conversations GROUP BY conv_id, turn // 4096""")
+@query("TXT-02", """SELECT conv_id::VARCHAR AS title, trim(string_agg(text, chr(10) ORDER BY turn), chr(10) || ' ') AS text FROM conversations GROUP BY conv_id""")
 def txt_02(spark, sf):
-    """A text file per conversation part, read whole; title and part come from the folder names."""
+    """Conversations written as text files and read whole; title and place in the text come from the folder names."""
     path = new_path(spark, "texts")
     wr.text_files(table(spark, sf, "conversations"), path, "conv_id", "turn", "text")
-    return wr.titled_texts(spark, path, r"doc=([^/]+)", r"part=([0-9]+)")
+    return wr.whole_texts(wr.titled_texts(spark, path, r"doc=([^/]+)", r"part=(-?[0-9]+)", trim=False))

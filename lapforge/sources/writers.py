@@ -36,12 +36,23 @@ def text_files(df: DataFrame, path: str, doc: str, number: str, text: str, size:
     d.repartition("doc", "part").sortWithinPartitions("doc", "part", "_n").select("doc", "part", "text").write.partitionBy("doc", "part").text(path)
 
 
-def titled_texts(spark: SparkSession, path: str, title_pattern: str, part_pattern: str) -> DataFrame:
-    """Text files as (title, part, text): title and part from the path, text trimmed."""
+def titled_texts(spark: SparkSession, path: str, title_pattern: str, part_pattern: str, trim: bool = True) -> DataFrame:
+    """Text files as (title, part, text): title and part from the path, text trimmed unless told not to."""
     d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     where = F.col("_metadata.file_path")
-    return d.select(F.regexp_extract(where, title_pattern, 1).alias("title"), F.regexp_extract(where, part_pattern, 1).cast("long").alias("part"),
-                    F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text"))
+    return d.select(F.regexp_extract(where, title_pattern, 1).alias("title"), F.regexp_extract(where, part_pattern, 1).try_cast("long").alias("part"),
+                    (_trimmed("value") if trim else F.col("value")).alias("text"))
+
+
+def _trimmed(text: str) -> Column:
+    return F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
+def whole_texts(parts: DataFrame) -> DataFrame:
+    """One row (title, text) for each title: its untrimmed parts in order, then trimmed as a whole."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("part").isNull().alias("last"), "part", "text")))
+    d = parts.groupBy("title").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("text"))
+    return d.select("title", _trimmed("text").alias("text"))
 
 
 def trip_export(trace: DataFrame, points: DataFrame, t_us: str, trip: Column) -> DataFrame:
