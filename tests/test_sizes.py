@@ -17,3 +17,17 @@ def test_conversations_are_whole_texts(spark, tmp_path):
                              "text": [f"line {i} " for i in range(turns)] + [" one "]}), tmp_path / "conversations.parquet")
     got = {row["title"]: row["text"] for row in QUERIES["TXT-02"](spark, str(tmp_path)).collect()}
     assert got == {"7": "\n".join(f"line {i} " for i in range(turns)).strip(), "8": "one"}
+
+
+def test_packed_tables_are_not_broadcast(spark):
+    """Sorted rows pack well: 600 000 rows below the threshold as files are far above it in memory."""
+    from lapforge.operators.clean import salted_lookup
+    from lapforge.session import by_key, fits_broadcast, written
+
+    side = written(spark.range(600_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), (F.col("id") * 0.5).alias("x")), "side")
+    small = written(side.limit(50), "side")
+    assert not fits_broadcast(side) and fits_broadcast(small)
+    rows = side.select("k", F.col("v").alias("w"))
+    for joined in (rows.join(by_key(side), "k"), salted_lookup(rows, side, ["k"], F.col("w"), "inner", selective=True), salted_lookup(rows, side, ["k"], F.col("w"), "inner")):
+        assert "BroadcastHashJoin" not in plan(joined) and joined.count() == 600_000
+    assert "BroadcastHashJoin" in plan(rows.join(by_key(small), "k"))
