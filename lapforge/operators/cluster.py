@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.operators.clean import salted_lookup
-from lapforge.session import written
+from lapforge.session import by_key, written
 
 
 def _around(half: bool = False, own: bool = False):
@@ -32,16 +32,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
     while True:
-        seen = salted_lookup(both, labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), ["b"], F.col("a"), "inner")
+        seen = salted_lookup(both, labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), ["b"], F.col("a"), "inner", selective=True)
         best = seen.groupBy(F.col("a").alias("node")).agg(F.min("_lb").alias("_m"))
-        d = labels.join(best, "node", "left").withColumn("_m", F.least("label", "_m"))
+        d = labels.join(by_key(best), "node", "left").withColumn("_m", F.least("label", "_m"))
         hook = written(d.groupBy("label").agg(F.min("_m").alias("to")), "hook")
         for _ in range(2):
             nxt = hook.select(F.col("label").alias("to"), F.col("to").alias("_t2"))
-            hook = written(salted_lookup(hook, nxt, ["to"], F.col("label")).select("label", F.coalesce("_t2", "to").alias("to")), "hook")
+            hook = written(salted_lookup(hook, nxt, ["to"], F.col("label"), selective=True).select("label", F.coalesce("_t2", "to").alias("to")), "hook")
         if not hook.where("label <> to").limit(1).count():
             return labels
-        labels = written(salted_lookup(labels, hook, ["label"], F.col("node")).select("node", F.col("to").alias("label")), "labels")
+        labels = written(salted_lookup(labels, hook, ["label"], F.col("node"), selective=True).select("node", F.col("to").alias("label")), "labels")
 
 
 def _near_cells(core: DataFrame, keys: Sequence[str], eps: float, side: float) -> DataFrame:
@@ -49,14 +49,14 @@ def _near_cells(core: DataFrame, keys: Sequence[str], eps: float, side: float) -
     cells = core.groupBy(*keys, "cx", "cy").agg(F.first("node").alias("node"))
     left = cells.select(*keys, F.col("node").alias("a"), "cx", "cy", _around(half=True).alias("o"))
     left = left.select(*keys, "a", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    todo = left.join(cells.withColumnRenamed("node", "b"), [*keys, "cx", "cy"]).select(
+    todo = left.join(by_key(cells.withColumnRenamed("node", "b")), [*keys, "cx", "cy"]).select(
         "a", "b", F.lit(0).cast("long").alias("ax"), F.lit(0).cast("long").alias("ay"), F.lit(0).cast("long").alias("bx"), F.lit(0).cast("long").alias("by"))
     todo, found, level = written(todo, "pairs"), None, 0
     while todo.limit(1).count():
         size = side / 2**level
         sub = lambda v, c: F.floor((F.col(v) - F.col(c) * side) / size)
         busy = todo.select(F.col("a").alias("node")).unionByName(todo.select(F.col("b").alias("node"))).distinct()
-        boxes = salted_lookup(core, busy, ["node"], F.hash("x", "y"), "inner").groupBy("node", sub("x", "cx").alias("sx"), sub("y", "cy").alias("sy")).agg(
+        boxes = salted_lookup(core, busy, ["node"], F.hash("x", "y"), "inner", selective=True).groupBy("node", sub("x", "cx").alias("sx"), sub("y", "cy").alias("sy")).agg(
             F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
         boxes = written(boxes, "boxes")
         if level:
@@ -65,7 +65,7 @@ def _near_cells(core: DataFrame, keys: Sequence[str], eps: float, side: float) -
             boxes = boxes.withColumns({"ux": F.lit(0).cast("long"), "uy": F.lit(0).cast("long")})
         side_of = lambda s: boxes.select(
             F.col("node").alias(s), F.col("ux").alias(f"{s}x"), F.col("uy").alias(f"{s}y"), F.struct("sx", "sy", "x0", "x1", "y0", "y1").alias(f"{s}_"))
-        j = todo.join(side_of("a"), ["a", "ax", "ay"]).join(side_of("b"), ["b", "bx", "by"])
+        j = todo.join(by_key(side_of("a")), ["a", "ax", "ay"]).join(by_key(side_of("b")), ["b", "bx", "by"])
         A, B = F.col("a_"), F.col("b_")
         gap = lambda lo, hi: F.greatest(F.lit(0.0), A[lo] - B[hi], B[lo] - A[hi])
         span = lambda lo, hi: F.greatest(A[hi] - B[lo], B[hi] - A[lo])
@@ -74,7 +74,7 @@ def _near_cells(core: DataFrame, keys: Sequence[str], eps: float, side: float) -
         j = written(j.where(near <= eps).select("a", "b", A["sx"].alias("ax"), A["sy"].alias("ay"), B["sx"].alias("bx"), B["sy"].alias("by"), (far <= eps).alias("sure")), "pairs")
         hit = j.where("sure").select("a", "b").distinct()
         found = hit if found is None else found.unionByName(hit)
-        todo = written(j.where("not sure").join(hit, ["a", "b"], "left_anti").drop("sure"), "pairs")
+        todo = written(j.where("not sure").join(by_key(hit), ["a", "b"], "left_anti").drop("sure"), "pairs")
         level += 1
     return found if found is not None else todo.select("a", "b")
 
@@ -90,7 +90,7 @@ def density_clusters(points: DataFrame, keys: Sequence[str], pid: str, x: str, y
     pts = pts.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
     on = [*keys, "cx", "cy"]
     weight = pts.groupBy(*on).agg(F.sum("m").alias("w"))
-    pts = written(salted_lookup(pts, weight, on, F.hash("pid")), "points")
+    pts = written(salted_lookup(pts, weight, on, F.hash("pid"), selective=True), "points")
 
     def neighbours(thin: DataFrame, other: DataFrame, own: bool) -> DataFrame:
         """(pid of a thin-cell point, row of ``other``) at most eps apart, own cell included or not."""
@@ -101,13 +101,13 @@ def density_clusters(points: DataFrame, keys: Sequence[str], pid: str, x: str, y
 
     thin = pts.where(F.col("w") < min_pts)
     seen = neighbours(thin, pts.select(*on, "x", "y", "m", "pid"), False).groupBy(F.col("tp").alias("pid")).agg(F.sum("m").alias("more"))
-    thin = thin.join(seen, "pid", "left").withColumn("core", F.col("w") + F.coalesce("more", F.lit(0)) >= min_pts).drop("more")
+    thin = thin.join(by_key(seen), "pid", "left").withColumn("core", F.col("w") + F.coalesce("more", F.lit(0)) >= min_pts).drop("more")
     flagged = written(pts.where(F.col("w") >= min_pts).withColumn("core", F.lit(True)).unionByName(thin.select(*pts.columns, "core")), "core")
     ids = flagged.where("core").groupBy(*on).agg(F.min("pid").alias("node"))
-    core = written(salted_lookup(flagged.where("core"), ids, on, F.hash("pid"), "inner"), "core")
+    core = written(salted_lookup(flagged.where("core"), ids, on, F.hash("pid"), "inner", selective=True), "core")
     labels = components(ids.select("node"), _near_cells(core, keys, eps, side))
-    core = salted_lookup(core, labels, ["node"], F.hash("pid")).select(*on, "x", "y", "pid", "label")
+    core = salted_lookup(core, labels, ["node"], F.hash("pid"), selective=True).select(*on, "x", "y", "pid", "label")
     border = neighbours(flagged.where("not core"), core, True).groupBy(F.col("tp").alias("pid")).agg(F.min("label").alias("label"))
-    rest = flagged.where("not core").join(border, "pid", "left").select(*keys, "x", "y", "label")
+    rest = flagged.where("not core").join(by_key(border), "pid", "left").select(*keys, "x", "y", "label")
     named = written(core.select(*keys, "x", "y", "label").unionByName(rest), "clusters").withColumnsRenamed({"x": x, "y": y})
-    return salted_lookup(points, named, [*keys, x, y], F.hash(pid)).withColumn("cluster", F.coalesce("label", F.lit(-1))).drop("label")
+    return salted_lookup(points, named, [*keys, x, y], F.hash(pid), selective=True).withColumn("cluster", F.coalesce("label", F.lit(-1))).drop("label")
