@@ -469,8 +469,12 @@ def counted(o: Ordered, rule: Rule, fan: int = FAN) -> tuple[Ordered, int]:
     src = o.df.withColumn(B, F.expr(f"{G} div {o.rows}"))
     ends = src.groupBy(*keys).agg(F.min(B).alias("lo"), F.max(B).alias("hi"))
     rounds = 0
-    if ends.where("hi > lo").limit(1).count():
+    many = ends.where("hi > lo")
+    many = written(many.select(*keys), "keys") if keys else many
+    if many.limit(1).count():
+        # Keys inside one block are entered unset; the others are two for each block at most.
         slim, names = src.select(*on, G, *rule.inputs), list(rule.inputs)
+        slim = slim.join(many, keys) if keys else slim
         if isinstance(rule, Resume):
             tops = written(_per_block(slim, on, names, lambda cols: np.array([rule.bound(cols)])), "bounds").select(*on, F.get("_t", F.lit(0)).alias("_top"))
             limit = _over_blocks(tops, keys, o.rows).running(exclusive=True, _bound=("max", "_top")).df.withColumnRenamed(G, B)
@@ -480,7 +484,8 @@ def counted(o: Ordered, rule: Rule, fan: int = FAN) -> tuple[Ordered, int]:
         place = _over_blocks(t.select(*on), keys, o.rows).running(_n=("count", F.lit(1))).df.withColumnRenamed(G, B).withColumn("_n", F.col("_n") - 1)
         t = written(t.join(place, on), "transfers")
         entry, rounds = _entries(t.drop(B), keys, rule, fan)
-        src = src.join(t.select(*on, "_n").join(entry, [*keys, "_n"]).select(*on, "_entry"), on)
+        entry = written(t.select(*on, "_n").join(entry, [*keys, "_n"]).select(*on, "_entry"), "entries")
+        src = src.join(entry, on, "left").withColumn("_entry", F.coalesce("_entry", F.lit(float("nan"))))
     else:
         src = src.withColumn("_entry", F.lit(float("nan")))
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
