@@ -237,7 +237,7 @@ def prj_07(spark, sf):
     norm = F.sqrt(F.pow(gx, 2) + F.pow(gy, 2) + 0.25) + 1e-9
     dot = F.col("l_quantity") * gx + F.col("l_discount") * gy + F.col("l_tax") * 0.5
     side = grav.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", "o_custkey")
-    return clean.salted_lookup(gyro, side, ["l_orderkey"], F.col("l_linenumber"), "inner").select(
+    return clean.salted_lookup(gyro, side, ["l_orderkey"], F.col("l_linenumber"), "inner", selective=True).select(
         "l_orderkey", "l_linenumber", r(dot / norm).alias("yaw_rate"))
 
 
