@@ -220,16 +220,17 @@ def offset_scores(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str
         rt, rv = time[is_right][order], v[is_right][order]
         lt, lv = time[~is_right], v[~is_right]
         out = np.zeros((len(shifts), 6))
-        for k, shift in enumerate(shifts if len(rt) and len(lt) else []):
-            at = lt + shift
+        some = max(1, (1 << 20) // max(1, len(lt)))  # shifts tried in one array operation
+        for k in range(0, len(shifts) if len(rt) and len(lt) else 0, some):
+            at = lt + shifts[k : k + some, None]
             p = np.searchsorted(rt, at, "right") - 1
-            exact = (p >= 0) & (rt[np.maximum(p, 0)] == at)
-            fine = (p >= 0) & ((p + 1 < len(rt)) | exact)
-            p, x, y = p[fine], at[fine], lv[fine]
-            q = np.minimum(p + 1, len(rt) - 1)
-            w = np.where(exact[fine], 0.0, (x - rt[p]) / np.where(rt[q] > rt[p], rt[q] - rt[p], 1.0))
-            z = rv[p] + (rv[q] - rv[p]) * w
-            out[k] = len(y), y.sum(), z.sum(), y @ y, z @ z, y @ z
+            q, hit = np.minimum(p + 1, len(rt) - 1), p >= 0
+            p = np.maximum(p, 0)
+            exact = hit & (rt[p] == at)
+            fine = hit & ((p + 1 < len(rt)) | exact)
+            w = np.where(exact, 0.0, (at - rt[p]) / np.where(rt[q] > rt[p], rt[q] - rt[p], 1.0))
+            y, z = np.where(fine, lv, 0.0), np.where(fine, rv[p] + (rv[q] - rv[p]) * w, 0.0)
+            out[k : k + some] = np.stack([v.sum(axis=1) for v in (fine, y, z, y * y, z * z, y * z)], axis=1)
         n, *sums = out.T
         return with_keys(table, keys, offset=shifts, n=n.astype("int64"), **dict(zip(("sa", "sb", "saa", "sbb", "sab"), sums)))
 
