@@ -129,31 +129,37 @@ def local_lags(o: Ordered, tick: str, a: str, b: str, width: int, step: int, sea
     Window w holds ticks from w * step, ``width`` of them; ``b`` is searched from ``search`` ticks
     before it to ``search`` after it, as far as the key has rows. All lags come from one transform
     of the two z-scored slices. Windows run while they end before the key's last tick; those with
-    fewer than ``least`` rows, or without two more rows of ``b``, give none. A group is a window
-    with its margins, never a key.
+    fewer than ``least`` rows, or without two more rows of ``b``, give none. A group is the windows
+    that start in a block of ticks, with their margins, so few ticks are copied and none holds a
+    key beyond a block. Positions of ``o`` are not used.
     """
-    keys = o.keys
-    o = o.totals(_n=F.count(F.lit(1)))
+    keys, per = o.keys, max(1, o.rows // step)
     first, last = F.expr(f"({tick} - {width + search}) div {step}") - 1, F.expr(f"({tick} + {search}) div {step}")
-    rows = o.df.select(*keys, tick, "_n", F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"),
-                       F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("win"))
-    at = F.col("win") * step
-    rows = rows.where((F.col(tick) >= at - search) & (F.col(tick) < at + width + search) & (at < F.col("_n") - width))
+    group = lambda win: F.floor(win / per)
+    rows = o.df.select(*keys, tick, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"),
+                       F.explode(F.sequence(group(F.greatest(first, F.lit(0))), group(last))).alias("_c"))
+    rows = rows.where((F.col(tick) >= F.col("_c") * (per * step) - search) & (F.col(tick) < F.col("_c") * (per * step) + (per - 1) * step + width + search))
 
     def match(table: pa.Table) -> pa.Table:
         t = table.column(tick).to_numpy()
         order = np.argsort(t)
-        t, start = t[order], table.column("win")[0].as_py() * step
+        t, c = t[order], table.column("_c")[0].as_py()
         va, vb = floats(table, "_a")[order], floats(table, "_b")[order]
-        inside = (t >= start) & (t < start + width)
         win, lag, score = [], [], []
-        if inside.sum() >= least and len(t) >= inside.sum() + 2:
-            k, top = window_lag(va[inside], vb)
-            win, lag, score = [start // step], [int(t[0]) + k - start], [top]
+        for w in range(c * per, min((c + 1) * per, int(t[-1]) // step + 1)):
+            start = w * step
+            lo, i, j, hi = np.searchsorted(t, [start - search, start, start + width, start + width + search])
+            if j - i >= max(least, 1) and hi - lo >= j - i + 2:
+                k, top = window_lag(va[i:j], vb[lo:hi])
+                win.append(w)
+                lag.append(int(t[lo]) + k - start)
+                score.append(top)
         out = with_keys(table, keys, win=np.array(win, "int64"), lag=np.array(lag, "int32"), score=np.array(score, "float64"))
         return out
 
-    return rows.groupBy(*keys, "win").applyInArrow(match, schema_of(o.df, keys, "win long, lag int, score double"))
+    found = rows.groupBy(*keys, "_c").applyInArrow(match, schema_of(o.df, keys, "win long, lag int, score double"))
+    sizes = o.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return found.join(sizes, keys).where(F.col("win") * step < F.col("_n") - width).drop("_n")
 
 
 def clock_fit(lags: DataFrame, keys: Sequence[str], at: str, lag: str, score: str, least: float = 0.30) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.operators.asof import bracket, interpolate, lerp
-from lapforge.operators.ordered import Ordered
+from lapforge.operators.ordered import G, Ordered, ordered
+from lapforge.session import written
 
 GRID_CHUNK = 4096
 
@@ -31,10 +32,44 @@ def time_grid(spans: DataFrame, keys: Sequence[str], lo: str, hi: str, step: flo
 
 
 def uniform(df: DataFrame, keys: Sequence[str], t: str, tie: str, cols: Sequence[str], hz: float) -> DataFrame:
-    """Every key on a uniform clock with linear values, end excluded."""
-    spans = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    grid = time_grid(spans, keys, "_lo", "_hi", 1.0 / hz, t).withColumn(tie, F.col("tick"))
-    return interpolate(grid, df, keys, t, tie, cols).drop(tie)
+    """Every key on a uniform clock with linear values, end excluded.
+
+    A row makes the ticks from itself to before the next one, so only the rows are ordered and
+    no tick is shuffled or joined.
+    """
+    return _ticks(ordered(df.where(F.col(t).isNotNull()).select(*keys, t, tie, *cols), keys, [t, tie]).totals(_lo=F.min(t), _hi=F.max(t)), t, cols, 1.0 / hz).drop(G)
+
+
+def uniform_ordered(df: DataFrame, keys: Sequence[str], t: str, tie: str, cols: Sequence[str], hz: float) -> Ordered:
+    """``uniform`` with positions: a key's ticks follow those of the keys before it."""
+    keys, step = list(keys), 1.0 / hz
+    rows = df.where(F.col(t).isNotNull()).select(*keys, t, tie, *cols)
+    spans = rows.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi")).withColumn("_n", F.ceil((F.col("_hi") - F.col("_lo")) / step))
+    spans = ordered(spans, [], keys).running(exclusive=True, _off=("sum", "_n")).df.select(*keys, "_lo", "_hi", F.coalesce("_off", F.lit(0)).alias("_off"))
+    o = ordered(rows, keys, [t, tie]).attach(written(spans, "spans"))
+    return Ordered(_ticks(o, t, cols, step).withColumn(G, F.col("_off") + F.col("tick")).drop("_off"), keys, o.rows)
+
+
+def _ticks(o: Ordered, t: str, cols: Sequence[str], step: float) -> DataFrame:
+    """The grid of rows that carry their key's ``_lo`` and ``_hi``, in time order and without NULL times."""
+    o = o.lead(_nt=t, **{f"_n_{c}": c for c in cols})
+    at = lambda k: F.col("_lo") + k * step
+
+    def tick(time: Column) -> Column:
+        """The first tick at or after ``time``, as floats add."""
+        k = F.ceil((time - F.col("_lo")) / step)
+        return F.least(F.when(at(k - 1) >= time, k - 1).when(at(k) < time, k + 1).otherwise(k), F.col("_k"))
+
+    d = o.df.withColumn("_k", F.ceil((F.col("_hi") - F.col("_lo")) / step))
+    d = d.withColumns({"_first": tick(F.col(t)), "_last": F.coalesce(tick(F.col("_nt")), F.col("_k")) - 1}).where("_first <= _last")
+    d = d.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - F.col("_first")) / GRID_CHUNK))))
+    first = F.col("_first") + F.col("_c") * GRID_CHUNK
+    d = d.withColumn("tick", F.explode(F.sequence(first, F.least(first + GRID_CHUNK - 1, F.col("_last")))))
+    d = d.withColumn("_at", at(F.col("tick")))
+    w = F.coalesce((F.col("_at") - F.col(t)) / F.nullif(F.col("_nt") - F.col(t), F.lit(0).cast("double")), F.lit(0.0))
+    value = lambda c: F.when(F.col(t) == F.col("_at"), F.col(c)).when(F.col("_nt").isNull(), F.col(c)).otherwise(F.col(c) + (F.col(f"_n_{c}") - F.col(c)) * w)
+    more = [c for c in (G, "_off") if c in d.columns]
+    return d.select(*o.keys, "tick", F.col("_at").alias(t), *[value(c).alias(c) for c in cols], *more)
 
 
 def mixed(df: DataFrame, keys: Sequence[str], t: str, tie: str, linear: Sequence[str], hold: Sequence[str], hz: float) -> DataFrame:

@@ -31,3 +31,72 @@ def test_packed_tables_are_not_broadcast(spark):
     for joined in (rows.join(by_key(side), "k"), salted_lookup(rows, side, ["k"], F.col("w"), "inner", selective=True), salted_lookup(rows, side, ["k"], F.col("w"), "inner")):
         assert "BroadcastHashJoin" not in plan(joined) and joined.count() == 600_000
     assert "BroadcastHashJoin" in plan(rows.join(by_key(small), "k"))
+
+
+def test_a_lookup_of_orders_is_not_repeated(spark, tmp_path, tiny_blocks):
+    """No order has many rows, so none is salted and the orders are not copied."""
+    n = 200
+    pq.write_table(pa.table({"o_orderkey": range(n), "o_custkey": range(n), "o_totalprice": [1e5] * n}), tmp_path / "orders.parquet")
+    pq.write_table(pa.table({"l_orderkey": [i // 2 for i in range(2 * n)], "l_linenumber": [i % 2 for i in range(2 * n)], "l_quantity": [1.0] * (2 * n),
+                             "l_discount": [0.0] * (2 * n), "l_tax": [0.0] * (2 * n)}), tmp_path / "lineitem.parquet")
+    got = QUERIES["PRJ-07"](spark, str(tmp_path))
+    assert got.count() == 2 * n and "Generate" not in plan(got)
+
+
+def test_shifts_are_taken_after_the_join(spark, tiny_blocks):
+    from lapforge.operators import segment as sg
+
+    ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)]
+    rows = [(1, lap, (i + lap) % 4, *ring[i]) for lap in range(3) for i in range(4)] * 2
+    d = spark.createDataFrame(rows, "key long, lap long, p long, x double, y double")
+    got = sg.circular_shift(d, d.where("lap = 0").drop("lap"), ["key", "lap"], "p", "x", "y", 4, F.col("lap"))
+    text = plan(got)
+    assert text.index("Generate explode(_ref") < text.index("Join")
+    assert {(r["lap"], r["shift"], r["err"]) for r in got.collect()} == {(0, 0, 0.0), (1, 3, 0.0), (2, 2, 0.0)}
+
+
+def test_offsets_of_a_cell_are_one_array_operation(spark, monkeypatch):
+    import numpy as np
+    from lapforge.operators import lags
+
+    t = [float(i) for i in range(40)]
+    a = spark.createDataFrame([(1, i, x, x % 7) for i, x in enumerate(t)], "key long, i long, t double, a double")
+    b = a.select("key", "i", "t", F.col("a").alias("b"))
+    called = []
+    monkeypatch.setattr(lags, "in_cells", lambda *args: a.limit(1))  # only the closure is wanted
+
+    class Stop(Exception):
+        pass
+
+    def take(self, fn, schema):
+        called.append(fn)
+        raise Stop
+
+    from pyspark.sql.group import GroupedData
+    monkeypatch.setattr(GroupedData, "applyInArrow", take)
+    monkeypatch.setattr(lags, "in_cells", lambda *args: a.withColumn("_cell", F.lit(0)))
+    try:
+        lags.offset_scores(a, b, ["key"], "t", "i", "a", "b", [k / 10 for k in range(-50, 51)], 5.0)
+    except Stop:
+        pass
+    searches, plain = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *args: searches.append(1) or plain(*args))
+    side = {"key": [1] * 40, "_t": t, "_tie": list(range(40)), "_v": [x % 7 for x in t]}
+    table = pa.concat_tables([pa.table(side | {"_right": [flag] * 40}) for flag in (False, True)])
+    got = called[0](table)
+    assert got.num_rows == 101 and len(searches) == 1
+
+
+def test_a_grid_moves_rows_not_ticks(spark):
+    from lapforge.operators import lags, resample
+
+    t = [0.0, 0.3, 0.3, 5.0, 5.05, 9.95]
+    d = spark.createDataFrame([(1, i, x, x * 2 if i != 1 else 99.0) for i, x in enumerate(t)] + [(2, 9, 3.0, 1.0), (None, 8, None, 1.0)], "key long, i long, t double, v double")
+    got = resample.uniform(d, ["key"], "t", "i", ["v"], 10.0)
+    rows = sorted((r["key"], r["tick"], r["t"], r["v"]) for r in got.collect())
+    assert [r[1] for r in rows] == list(range(100)) and all(abs(r[3] - 2 * r[2]) < 1e-9 for r in rows[3:])
+    assert abs(rows[1][3] - 33) < 1e-9 and abs(rows[2][3] - 66) < 1e-9
+    o = resample.uniform_ordered(d, ["key"], "t", "i", ["v"], 10.0)
+    assert sorted(r["_g"] for r in o.df.collect()) == list(range(100))
+    copies = lags.local_lags(o, "tick", "v", "v", 40, 20, 20)
+    assert "_c#" in plan(copies) and [(r["win"], r["lag"]) for r in copies.orderBy("win").collect()] == [(w, 0) for w in range(3)]
