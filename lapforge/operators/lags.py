@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.operators.ordered import B, G, Ordered, ordered, quantiles
+from lapforge.operators.resample import Grid
 from lapforge.operators.stats import weighted_line
 
 
@@ -123,7 +124,7 @@ def window_lag(a: np.ndarray, b: np.ndarray, digits: int = 9) -> tuple[int, floa
     return k, float(score[k])
 
 
-def local_lags(o: Ordered, tick: str, a: str, b: str, width: int, step: int, search: int, least: int = 50) -> DataFrame:
+def local_lags(o: Ordered | Grid, tick: str, a: str, b: str, width: int, step: int, search: int, least: int = 50) -> DataFrame:
     """Lag of ``b`` against ``a`` in sliding windows of a uniform grid: ``win``, ``lag``, ``score``.
 
     Window w holds ticks from w * step, ``width`` of them; ``b`` is searched from ``search`` ticks
@@ -131,20 +132,29 @@ def local_lags(o: Ordered, tick: str, a: str, b: str, width: int, step: int, sea
     of the two z-scored slices. Windows run while they end before the key's last tick; those with
     fewer than ``least`` rows, or without two more rows of ``b``, give none. A group is the windows
     that start in a block of ticks, with their margins, so few ticks are copied and none holds a
-    key beyond a block. Positions of ``o`` are not used.
+    key beyond a block. Positions of ``o`` are not used. Of a ``Grid`` the rows go to the groups
+    and make their ticks there, so what is moved does not grow with the clock's rate.
     """
-    keys, per = o.keys, max(1, o.rows // step)
-    first, last = F.expr(f"({tick} - {width + search}) div {step}") - 1, F.expr(f"({tick} + {search}) div {step}")
+    keys, per, grid = o.keys, max(1, o.rows // step), isinstance(o, Grid)
+    if grid:
+        rows, first, last, fill = o.spans([a, b]), "_first", "_last", o.filler([a, b])
+    else:
+        rows, first, last = o.df.select(*keys, tick, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")), tick, tick
     group = lambda win: F.floor(win / per)
-    rows = o.df.select(*keys, tick, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"),
-                       F.explode(F.sequence(group(F.greatest(first, F.lit(0))), group(last))).alias("_c"))
-    rows = rows.where((F.col(tick) >= F.col("_c") * (per * step) - search) & (F.col(tick) < F.col("_c") * (per * step) + (per - 1) * step + width + search))
+    early, late = F.expr(f"({first} - {width + search}) div {step}") - 1, F.expr(f"({last} + {search}) div {step}")
+    begin = lambda c: c * (per * step) - search
+    end = lambda c: c * (per * step) + (per - 1) * step + width + search
+    rows = rows.withColumn("_c", F.explode(F.sequence(group(F.greatest(early, F.lit(0))), group(late))))
+    rows = rows.where((F.col(last) >= begin(F.col("_c"))) & (F.col(first) < end(F.col("_c"))))
 
     def match(table: pa.Table) -> pa.Table:
-        t = table.column(tick).to_numpy()
-        order = np.argsort(t)
-        t, c = t[order], table.column("_c")[0].as_py()
-        va, vb = floats(table, "_a")[order], floats(table, "_b")[order]
+        c = table.column("_c")[0].as_py()
+        if grid:
+            t, (va, vb) = fill(table, begin(c), end(c))
+        else:
+            t = table.column(tick).to_numpy()
+            order = np.argsort(t)
+            t, va, vb = t[order], floats(table, "_a")[order], floats(table, "_b")[order]
         win, lag, score = [], [], []
         for w in range(c * per, min((c + 1) * per, int(t[-1]) // step + 1)):
             start = w * step
@@ -158,7 +168,7 @@ def local_lags(o: Ordered, tick: str, a: str, b: str, width: int, step: int, sea
         return out
 
     found = rows.groupBy(*keys, "_c").applyInArrow(match, schema_of(o.df, keys, "win long, lag int, score double"))
-    sizes = o.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = o.df.groupBy(*keys).agg((F.sum(F.col("_last") - F.col("_first") + 1) if grid else F.count(F.lit(1))).alias("_n"))
     return found.join(sizes, keys).where(F.col("win") * step < F.col("_n") - width).drop("_n")
 
 

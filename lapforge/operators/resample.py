@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,76 @@ def time_grid(spans: DataFrame, keys: Sequence[str], lo: str, hi: str, step: flo
     return d.select(*keys, "tick", (F.col(lo) + F.col("tick") * step).alias(name))
 
 
-def uniform(df: DataFrame, keys: Sequence[str], t: str, tie: str, cols: Sequence[str], hz: float) -> DataFrame:
-    """Every key on a uniform clock with linear values, end excluded.
+class Grid:
+    """A uniform clock, end excluded, kept as the rows that make its ticks.
 
-    A row makes the ticks from itself to before the next one, so only the rows are ordered and
-    no tick is shuffled or joined.
+    A row makes the ticks ``_first`` to ``_last``, from itself to before the next one, with linear
+    values; it carries the next row's values. ``ticks`` lists them as rows, a ``filler`` inside a task.
     """
-    return _ticks(ordered(df.where(F.col(t).isNotNull()).select(*keys, t, tie, *cols), keys, [t, tie]).totals(_lo=F.min(t), _hi=F.max(t)), t, cols, 1.0 / hz).drop(G)
+
+    def __init__(self, o: Ordered, t: str, cols: Sequence[str], step: float):
+        """``o`` holds rows in time order, without NULL times, that carry their key's ``_lo`` and ``_hi``."""
+        self.keys, self.rows, self.t, self.cols, self.step = o.keys, o.rows, t, list(cols), step
+        o = o.lead(_nt=t, **{f"_n_{c}": c for c in cols})
+        at = lambda k: F.col("_lo") + k * step
+
+        def tick(time: Column) -> Column:
+            """The first tick at or after ``time``, as floats add."""
+            k = F.ceil((time - F.col("_lo")) / step)
+            return F.least(F.when(at(k - 1) >= time, k - 1).when(at(k) < time, k + 1).otherwise(k), F.col("_k"))
+
+        d = o.df.withColumn("_k", F.ceil((F.col("_hi") - F.col("_lo")) / step))
+        self.df = d.withColumns({"_first": tick(F.col(t)), "_last": F.coalesce(tick(F.col("_nt")), F.col("_k")) - 1}).where("_first <= _last")
+
+    def ticks(self) -> DataFrame:
+        t, cols = self.t, self.cols
+        d = self.df.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - F.col("_first")) / GRID_CHUNK))))
+        first = F.col("_first") + F.col("_c") * GRID_CHUNK
+        d = d.withColumn("tick", F.explode(F.sequence(first, F.least(first + GRID_CHUNK - 1, F.col("_last")))))
+        d = d.withColumn("_at", F.col("_lo") + F.col("tick") * self.step)
+        w = F.coalesce((F.col("_at") - F.col(t)) / F.nullif(F.col("_nt") - F.col(t), F.lit(0).cast("double")), F.lit(0.0))
+        value = lambda c: F.when(F.col(t) == F.col("_at"), F.col(c)).when(F.col("_nt").isNull(), F.col(c)).otherwise(F.col(c) + (F.col(f"_n_{c}") - F.col(c)) * w)
+        more = [c for c in (G, "_off") if c in d.columns]
+        return d.select(*self.keys, "tick", F.col("_at").alias(t), *[value(c).alias(c) for c in cols], *more)
+
+    def spans(self, cols: Sequence[str]) -> DataFrame:
+        """The rows with what a ``filler`` needs for ``cols``."""
+        doubles = ["_lo", self.t, "_nt", *[x for c in dict.fromkeys(cols) for x in (c, f"_n_{c}")]]
+        return self.df.select(*self.keys, "_first", "_last", *[F.col(c).cast("double").alias(c) for c in doubles])
+
+    def filler(self, cols: Sequence[str]) -> Callable[[pa.Table, int, int], tuple[np.ndarray, list[np.ndarray]]]:
+        """Of one key's ``spans``, the ticks from ``lo`` to below ``hi`` and their values, as ``ticks`` makes them; NULL is NaN."""
+        t_name, step = self.t, self.step
+
+        def fill(table: pa.Table, lo: int, hi: int) -> tuple[np.ndarray, list[np.ndarray]]:
+            read = lambda c: np.asarray(table.column(c).to_numpy(zero_copy_only=False), dtype="float64")
+            first, last = table.column("_first").to_numpy(), table.column("_last").to_numpy()
+            order = np.argsort(first)
+            first, last = np.maximum(first[order], lo), np.minimum(last[order], hi - 1)
+            n = np.maximum(last - first + 1, 0)
+            tick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+            own = lambda c: np.repeat(read(c)[order], n)
+            t, nt, at = own(t_name), own("_nt"), own("_lo") + tick * step
+            with np.errstate(divide="ignore", invalid="ignore"):
+                w = np.where(nt == t, 0.0, (at - t) / (nt - t))
+            keep, out = (t == at) | np.isnan(nt), []
+            for c in cols:
+                v = own(c)
+                out.append(np.where(keep, v, v + (own(f"_n_{c}") - v) * w))
+            return tick, out
+
+        return fill
+
+
+def uniform_grid(df: DataFrame, keys: Sequence[str], t: str, tie: str, cols: Sequence[str], hz: float) -> Grid:
+    """Every key on a uniform clock with linear values, end excluded; only the rows are ordered."""
+    o = ordered(df.where(F.col(t).isNotNull()).select(*keys, t, tie, *cols), keys, [t, tie])
+    return Grid(o.totals(_lo=F.min(t), _hi=F.max(t)), t, cols, 1.0 / hz)
+
+
+def uniform(df: DataFrame, keys: Sequence[str], t: str, tie: str, cols: Sequence[str], hz: float) -> DataFrame:
+    """The ticks of ``uniform_grid`` as rows: no tick is shuffled or joined."""
+    return uniform_grid(df, keys, t, tie, cols, hz).ticks().drop(G)
 
 
 def uniform_ordered(df: DataFrame, keys: Sequence[str], t: str, tie: str, cols: Sequence[str], hz: float) -> Ordered:
@@ -47,29 +112,7 @@ def uniform_ordered(df: DataFrame, keys: Sequence[str], t: str, tie: str, cols:
     spans = rows.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi")).withColumn("_n", F.ceil((F.col("_hi") - F.col("_lo")) / step))
     spans = ordered(spans, [], keys).running(exclusive=True, _off=("sum", "_n")).df.select(*keys, "_lo", "_hi", F.coalesce("_off", F.lit(0)).alias("_off"))
     o = ordered(rows, keys, [t, tie]).attach(written(spans, "spans"))
-    return Ordered(_ticks(o, t, cols, step).withColumn(G, F.col("_off") + F.col("tick")).drop("_off"), keys, o.rows)
-
-
-def _ticks(o: Ordered, t: str, cols: Sequence[str], step: float) -> DataFrame:
-    """The grid of rows that carry their key's ``_lo`` and ``_hi``, in time order and without NULL times."""
-    o = o.lead(_nt=t, **{f"_n_{c}": c for c in cols})
-    at = lambda k: F.col("_lo") + k * step
-
-    def tick(time: Column) -> Column:
-        """The first tick at or after ``time``, as floats add."""
-        k = F.ceil((time - F.col("_lo")) / step)
-        return F.least(F.when(at(k - 1) >= time, k - 1).when(at(k) < time, k + 1).otherwise(k), F.col("_k"))
-
-    d = o.df.withColumn("_k", F.ceil((F.col("_hi") - F.col("_lo")) / step))
-    d = d.withColumns({"_first": tick(F.col(t)), "_last": F.coalesce(tick(F.col("_nt")), F.col("_k")) - 1}).where("_first <= _last")
-    d = d.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - F.col("_first")) / GRID_CHUNK))))
-    first = F.col("_first") + F.col("_c") * GRID_CHUNK
-    d = d.withColumn("tick", F.explode(F.sequence(first, F.least(first + GRID_CHUNK - 1, F.col("_last")))))
-    d = d.withColumn("_at", at(F.col("tick")))
-    w = F.coalesce((F.col("_at") - F.col(t)) / F.nullif(F.col("_nt") - F.col(t), F.lit(0).cast("double")), F.lit(0.0))
-    value = lambda c: F.when(F.col(t) == F.col("_at"), F.col(c)).when(F.col("_nt").isNull(), F.col(c)).otherwise(F.col(c) + (F.col(f"_n_{c}") - F.col(c)) * w)
-    more = [c for c in (G, "_off") if c in d.columns]
-    return d.select(*o.keys, "tick", F.col("_at").alias(t), *[value(c).alias(c) for c in cols], *more)
+    return Ordered(Grid(o, t, cols, step).ticks().withColumn(G, F.col("_off") + F.col("tick")).drop("_off"), keys, o.rows)
 
 
 def mixed(df: DataFrame, keys: Sequence[str], t: str, tie: str, linear: Sequence[str], hold: Sequence[str], hz: float) -> DataFrame:
