@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lapforge.llm.common import held
 from lapforge.operators.clean import salted_lookup
 from lapforge.operators.cluster import components
-from lapforge.session import new_path, written
+from lapforge.session import new_path, shuffles_freed, written
 
 SHINGLE = 10
 BANDS = 6
@@ -45,7 +45,8 @@ def distinct_lines(documents: DataFrame) -> DataFrame:
     rows = line_rows(documents).select("doc_id", "k", "pos", "_l", *_line_key()).where("h1 is not null")
     lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("_l").alias("l"))
     name, buckets = f"lapforge_lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines.write.option("compression", "zstd").option("path", new_path(spark, "lines")).bucketBy(buckets, "h1", "h2").saveAsTable(name)
+    with shuffles_freed(spark):
+        lines.write.option("compression", "zstd").option("path", new_path(spark, "lines")).bucketBy(buckets, "h1", "h2").saveAsTable(name)
     return spark.table(name)
 
 

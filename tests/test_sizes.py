@@ -126,3 +126,24 @@ def test_windows_are_filled_from_rows(spark):
         spark.conf.unset("spark.lapforge.blockRows")
     assert repr(a) == repr(b) and len(a) > 40  # a window over a null is NaN in both
     assert "tick#" not in plan(got)  # rows go to the groups, no tick
+
+
+def test_a_written_table_keeps_no_shuffle_files(spark):
+    """Intermediate tables of one query add up on disk; the shuffles that made them must not."""
+    import glob
+    import time
+
+    from lapforge.llm.lines import distinct_lines
+    from lapforge.session import written
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting, "false"), files()
+    d = written(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    lines = distinct_lines(spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("one\n"), F.col("id").cast("string")).alias("text")))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting) == was
+    assert d.count() == 700 and lines.count() == 51
