@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lapforge.operators.ordered import B, G, Ordered, ordered, quantiles
 from lapforge.operators.resample import Grid
 from lapforge.operators.stats import weighted_line
+from lapforge.session import written
 
 
 def schema_of(df: DataFrame, keys: Sequence[str], more: str) -> str:
@@ -98,14 +99,59 @@ def lap_period(o: Ordered, x: str, y: str, lo: int, hi: int, within: float = 0.1
     return s.where("_k > 2").groupBy(*o.keys).agg(pick.alias("b")).select(*o.keys, "b.*")
 
 
-def autocorrelation(o: Ordered, col: str, lo: int, hi: int) -> DataFrame:
+def autocorrelation(o: Ordered | Grid, col: str, lo: int, hi: int) -> DataFrame:
     """Score of every lag: sum of products of centred values over the sum of their squares."""
+    if isinstance(o, Grid):
+        return _grid_autocorrelation(o, col, lo, hi)
     o = o.totals(_m=F.avg(col)).cols(_c=F.col(col) - F.col("_m"))
     zero = o.df.groupBy(*o.keys).agg(F.nullif(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("_z"))
     s = _lag_sums(o, ["_c"], lo, hi, "product").where("n > 0").join(zero, o.keys)
     return s.select(*o.keys, "lag", (F.col("total") / F.col("_z")).alias("score")).where("score is not null")
 
 
+def _grid_autocorrelation(g: Grid, col: str, lo: int, hi: int) -> DataFrame:
+    """``autocorrelation`` of a grid whose ticks are made in the tasks.
+
+    A key's ticks are cut into blocks, which carry the rows of the ``hi`` ticks after them; an Arrow
+    call takes the blocks of many keys, about a block of ticks in all. Means are sums over each
+    row's stretch of the line.
+    """
+    keys, size, fill = g.keys, max(g.rows, hi), g.filler([col])
+    spans = written(g.spans([col]), "spans")
+    n, t, nt, v, nv = F.col("_last") - F.col("_first") + 1, F.col(g.t), F.col("_nt"), F.col(col), F.col(f"_n_{col}")
+    weight = F.coalesce((n * (F.col("_lo") - t) + g.step * ((F.col("_first") + F.col("_last")) * n / 2)) / F.nullif(nt - t, F.lit(0.0)), F.lit(0.0))
+    exact = F.col("_lo") + F.col("_first") * g.step == t
+    part = F.when(nt.isNull(), F.struct((v * n).alias("v"), n.alias("n"))).when(nv.isNotNull(), F.struct((v * n + (nv - v) * weight).alias("v"), n.alias("n")))
+    part = F.when(v.isNotNull(), part.otherwise(F.struct(F.when(exact, v).alias("v"), F.when(exact, 1).alias("n"))))
+    means = spans.select(*keys, part.alias("p")).groupBy(*keys).agg((F.sum("p.v") / F.sum("p.n")).alias("_m"))
+    rows = Ordered(spans, keys, g.rows).attach(means).df
+    rows = rows.withColumn("_c", F.explode(F.sequence(F.expr(f"greatest(_first - {hi}, 0) div {size}"), F.expr(f"_last div {size}"))))
+    deals = (spans.agg(F.sum(n).alias("n")).first()["n"] or 0) // size + int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*spans.columns, "_m", "_c", F.pmod(F.xxhash64(*keys, "_c"), F.lit(deals)).alias("_deal")).drop(G)
+
+    def partial(table: pa.Table) -> pa.Table:
+        ids = [table.column("_c").to_numpy(), *[table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy() for k in keys]]
+        order = np.lexsort(ids)
+        starts = np.flatnonzero(np.append(True, np.any([np.diff(i[order]) != 0 for i in ids], axis=0)))
+        table, lags = table.take(pa.array(order)).combine_chunks(), np.arange(lo, hi + 1)
+        total, n, z = np.zeros((len(starts), len(lags))), np.zeros((len(starts), len(lags)), "int64"), np.zeros(len(starts))
+        for k, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(order)))):
+            own = table.slice(a, b - a)
+            c = own.column("_c")[0].as_py()
+            tick, (v,) = fill(own, c * size, (c + 1) * size + hi)
+            mine = int(np.searchsorted(tick, (c + 1) * size))
+            if mine:
+                v = np.nan_to_num(v - floats(own.slice(0, 1), "_m")[0])
+                total[k], n[k], z[k] = correlate(v[:mine], v, lo, hi), np.clip(len(v) - lags, 0, mine), (v[:mine] ** 2).sum()
+        named = {k: table.column(k).take(pa.array(np.repeat(starts, len(lags)))) for k in keys}
+        return pa.table(named | {"lag": pa.array(np.tile(lags, len(starts)).astype("int32")), "total": pa.array(total.ravel()),
+                                 "n": pa.array(n.ravel()), "z": pa.array(np.repeat(z, len(lags)))})
+
+    parts = rows.groupBy("_deal").applyInArrow(partial, schema_of(g.df, keys, "lag int, total double, n long, z double"))
+    s = parts.repartition(*keys).groupBy(*keys, "lag").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("z").alias("z"))
+    return s.where("n > 0").select(*keys, "lag", (F.col("total") / F.nullif("z", F.lit(0.0))).alias("score")).where("score is not null")
+
+
 def best_lag(scores: DataFrame, keys: Sequence[str], digits: int = 9) -> DataFrame:
     """The lag with the highest score, the shortest of those equal to ``digits``."""
     s = scores.withColumn("score", F.round("score", digits))
@@ -137,7 +183,7 @@ def local_lags(o: Ordered | Grid, tick: str, a: str, b: str, width: int, step: i
     """
     keys, per, grid = o.keys, max(1, o.rows // step), isinstance(o, Grid)
     if grid:
-        rows, first, last, fill = o.spans([a, b]), "_first", "_last", o.filler([a, b])
+        rows, first, last, fill = o.spans([a, b]).drop(G), "_first", "_last", o.filler([a, b])
     else:
         rows, first, last = o.df.select(*keys, tick, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")), tick, tick
     group = lambda win: F.floor(win / per)

@@ -68,7 +68,7 @@ class Grid:
     def spans(self, cols: Sequence[str]) -> DataFrame:
         """The rows with what a ``filler`` needs for ``cols``."""
         doubles = ["_lo", self.t, "_nt", *[x for c in dict.fromkeys(cols) for x in (c, f"_n_{c}")]]
-        return self.df.select(*self.keys, "_first", "_last", *[F.col(c).cast("double").alias(c) for c in doubles])
+        return self.df.select(*self.keys, G, "_first", "_last", *[F.col(c).cast("double").alias(c) for c in doubles])
 
     def filler(self, cols: Sequence[str]) -> Callable[[pa.Table, int, int], tuple[np.ndarray, list[np.ndarray]]]:
         """Of one key's ``spans``, the ticks from ``lo`` to below ``hi`` and their values, as ``ticks`` makes them; NULL is NaN."""

@@ -147,3 +147,22 @@ def test_a_written_table_keeps_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(setting) == was
     assert d.count() == 700 and lines.count() == 51
+
+
+def test_autocorrelation_is_taken_from_rows(spark):
+    from lapforge.operators import lags, resample
+
+    rng = random.Random(11)
+    rows = [(k, i, t, None if i % 23 == 7 else rng.random()) for k in ("a", "b") for i, t in enumerate(sorted(round(rng.uniform(0, 30), 1) for _ in range(150)))]
+    rows += [("c", 1, 5.0, 1.0), ("d", 2, 1.0, 3.0), ("d", 3, 9.0, 3.0), (None, 4, 2.0, 1.0), (None, 5, 9.0, 2.0)]
+    args = (spark.createDataFrame(rows, "key string, i long, t double, v double"), ["key"], "t", "i", ["v"], 10.0)
+    spark.conf.set("spark.lapforge.blockRows", "70")
+    try:
+        got = lags.autocorrelation(resample.uniform_grid(*args), "v", 5, 40)
+        text = plan(got)
+        got = {(r["key"], r["lag"]): r["score"] for r in got.collect()}
+        want = {(r["key"], r["lag"]): r["score"] for r in lags.autocorrelation(resample.uniform_ordered(*args).cut(), "v", 5, 40).collect()}
+    finally:
+        spark.conf.unset("spark.lapforge.blockRows")
+    assert got.keys() == want.keys() and len(got) >= 72 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert "tick#" not in text  # rows go to the calls, no tick
