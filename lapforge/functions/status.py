@@ -52,10 +52,14 @@ def rows() -> list[tuple[str, str, str, str]]:
 
 
 def classify(df: DataFrame, status: str) -> DataFrame:
-    """Join group, family, sub-family and flags; lapped finishers follow a pattern."""
+    """Join group, family, sub-family and flags; lapped finishers follow a pattern.
+
+    The list is a constant of this file, whose size the optimiser does not know: without the hint it
+    shuffles all rows by their few statuses.
+    """
     spark: SparkSession = df.sparkSession
     names = spark.createDataFrame(rows(), f"{status} string, _g string, _f string, _s string")
-    d = df.join(names, status, "left")
+    d = df.join(F.broadcast(names), status, "left")
     lapped = F.col(status).rlike(LAPPED)
     pick = lambda c: F.coalesce(c, F.when(lapped, "lapped"), F.lit("other"))
     d = d.withColumns({"status_group": pick("_g"), "status_family": pick("_f"), "status_subfamily": pick("_s")}).drop("_g", "_f", "_s")

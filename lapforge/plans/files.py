@@ -3,10 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lapforge.plans.history import VERB_SQL, verbose
+from lapforge.plans.history import VERB_SQL, entries, with_outcome
 from lapforge.plans.registry import query
 from lapforge.plans.views import T, events, r, table, trace
-from lapforge.session import new_path, written
+from lapforge.session import new_path, shuffles_freed, written
 from lapforge.sources import readers as rd
 from lapforge.sources import writers as wr
 
@@ -168,12 +168,14 @@ def snk_04(spark, sf):
 l AS (SELECT race, CASE WHEN grp IN ('finished', 'lapped') THEN 0 ELSE 1 END AS s, place AS p, car, driver, price, '- ' || outcome AS line FROM vt UNION ALL SELECT race, 2, rk, NULL, NULL, NULL, '- Standing ' || rk || ': ' || name FROM sd)
 SELECT race, 0::BIGINT AS part, string_agg(line, chr(10) ORDER BY s, p, car, driver, price) AS markdown FROM l GROUP BY race""")
 def snk_05(spark, sf):
-    d = written(verbose(spark, sf), "results")
+    d = written(entries(spark, sf).select("race", "driver", "name", "place", "car", "price"), "results")
+    d = with_outcome(d)  # sentences are made where they are read
     w = Window.partitionBy("race").orderBy("best", "driver")
     top = d.groupBy("race", "driver", "name").agg(F.min("place").alias("best")).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     md = wr.race_markdown(d, "race", "place", ["car", "driver", "price"], F.col("finished_flag"), F.col("outcome"), top)
     path = new_path(spark, "md")
-    md.write.json(path)
+    with shuffles_freed(spark):
+        md.write.option("compression", "gzip").json(path)
     return spark.read.schema(md.schema).json(path)
 
 

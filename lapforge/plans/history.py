@@ -30,13 +30,19 @@ RES_SQL = f"""WITH res0 AS (SELECT l_orderkey AS race, l_suppkey AS driver, l_li
 ([{_list(NAMES)}])[1 + l_partkey % {len(NAMES)}] AS status FROM lineitem), res AS (SELECT *, {_case(1)} AS grp, {_case(2)} AS fam, {_case(3)} AS sub FROM res0) """
 
 
-def results(spark, sf):
-    names = F.array(*[F.lit(n) for n in NAMES])
-    d = table(spark, sf, "lineitem").select(
+def lineups(spark, sf):
+    return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("driver"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("car"),
-        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"), F.col("l_linestatus").alias("ls"),
-        F.get(names, (F.col("l_partkey") % len(NAMES)).cast("int")).alias("status"))
-    return st.classify(d, "status")
+        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"), F.col("l_linestatus").alias("ls"))
+
+
+def classified(d):
+    names = F.array(*[F.lit(n) for n in NAMES])
+    return st.classify(d.withColumn("status", F.get(names, (F.col("car") % len(NAMES)).cast("int"))), "status")
+
+
+def results(spark, sf):
+    return classified(lineups(spark, sf))
 
 
 @query("SCA-07", RES_SQL + "SELECT race, driver, place, car, price, status, grp AS status_group, fam AS status_family, sub AS status_subfamily, grp IN ('finished', 'lapped') AS finished_flag, grp NOT IN ('finished', 'lapped') AS dnf_flag FROM res")
@@ -82,17 +88,25 @@ greatest(0, 8 - place) AS pts, CAST(round(price*100) AS BIGINT) AS ms FROM res J
 vt AS (SELECT *, {OUTCOME_SQL} AS outcome FROM v) """
 
 
-def verbose(spark, sf):
-    d = results(spark, sf)
+def entries(spark, sf):
+    """Line-ups with year, team and driver name; the smaller tables meet first, and texts are left for later."""
+    d = lineups(spark, sf)
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("race"), "o_custkey", F.year("o_orderdate").alias("yr"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("team"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("driver"), F.col("s_name").alias("name"))
-    d = d.join(o, "race").join(c, "o_custkey").join(s, "driver")
+    return d.join(s, "driver").join(o.join(c, "o_custkey"), "race")
+
+
+def with_outcome(d):
+    d = classified(d)
     place = F.when(F.col("price") % 2 < 1.2, F.col("place").cast("string")).otherwise("R")
     pts = F.greatest(F.lit(0), 8 - F.col("place"))
-    d = d.withColumns({"pts": pts, "outcome": dc.outcome_text(F.col("name"), place, pts, F.col("status"), F.col("status_group"))})
+    return d.withColumns({"pts": pts, "outcome": dc.outcome_text(F.col("name"), place, pts, F.col("status"), F.col("status_group"))})
+
+
+def verbose(spark, sf):
     ms = F.round(F.col("price") * 100).cast("long")
-    return d.withColumns({"q": F.col("qty").cast("long"), "ms": ms})
+    return with_outcome(entries(spark, sf)).withColumns({"q": F.col("qty").cast("long"), "ms": ms})
 
 
 @query("TXT-05", VERB_SQL + """SELECT race, driver, place, car, price, 'In the ' || yr || ' race ' || race || ', ' || name || ' drove for ' || team || ', started ' || CASE WHEN q % 7 = 0 THEN 'from an unclassified position' ELSE 'from P' || (q % 7) END || ', and ' ||

@@ -166,3 +166,26 @@ def test_autocorrelation_is_taken_from_rows(spark):
         spark.conf.unset("spark.lapforge.blockRows")
     assert got.keys() == want.keys() and len(got) >= 72 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     assert "tick#" not in text  # rows go to the calls, no tick
+
+
+def test_race_markdown_writes_no_sentences(spark, tmp_path, monkeypatch):
+    """Results meet the status list without a shuffle, and the table kept for both branches holds no text but names."""
+    from lapforge.functions import status
+    from lapforge.plans import files
+
+    rows = spark.range(20).select(F.concat(F.lit("Engine"), F.col("id").cast("string")).alias("status"), "id")
+    assert "Exchange hashpartitioning" not in plan(status.classify(rows, "status"))
+    n = 30
+    stamp = pa.array([1_500_000_000_000_000] * 3, pa.timestamp("us"))
+    pq.write_table(pa.table({"o_orderkey": [1, 2, 3], "o_custkey": [1, 1, None], "o_orderdate": stamp}), tmp_path / "orders.parquet")
+    pq.write_table(pa.table({"c_custkey": [1], "c_name": ["team"]}), tmp_path / "customer.parquet")
+    pq.write_table(pa.table({"s_suppkey": [1, 2], "s_name": ["a", "b"]}), tmp_path / "supplier.parquet")
+    pq.write_table(pa.table({"l_orderkey": [i % 3 + 1 for i in range(n)], "l_suppkey": [i % 2 + 1 for i in range(n)], "l_linenumber": [i % 7 + 1 for i in range(n)],
+                             "l_partkey": list(range(n)), "l_extendedprice": [100.0 + i / 2 for i in range(n)], "l_quantity": [float(i) for i in range(n)],
+                             "l_linestatus": ["F"] * n}), tmp_path / "lineitem.parquet")
+    kept = []
+    monkeypatch.setattr(files, "written", lambda d, *a: kept.append(d.columns) or d)
+    got = {r["race"]: r["markdown"].split("\n") for r in QUERIES["SNK-05"](spark, str(tmp_path)).collect()}
+    assert kept == [["race", "driver", "name", "place", "car", "price"]]
+    assert set(got) == {1, 2} and all(len(v) == 12 for v in got.values())  # ten results, two standings
+    assert all(v[-2].startswith("- Standing 1: ") for v in got.values())
