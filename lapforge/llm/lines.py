@@ -7,15 +7,13 @@ shingles: each of ``BANDS * ROWS`` values is the least shingle hash under anothe
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.llm.common import held
 from lapforge.operators.clean import salted_lookup
 from lapforge.operators.cluster import components
-from lapforge.session import new_path, shuffles_freed, written
+from lapforge.session import new_path, shuffles_freed, tables_dropped, written
 
 SHINGLE = 10
 BANDS = 6
@@ -39,14 +37,19 @@ def line_rows(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "k", "pos", F.expr(r"trim(BOTH ' \t\r' FROM _raw)").alias("_l"))
 
 
+def _table_of(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
 def distinct_lines(documents: DataFrame) -> DataFrame:
     """``h1``, ``h2``, ``l``, the first occurrence (by id, then text hash, then place) and the count ``n``."""
     spark = documents.sparkSession
     rows = line_rows(documents).select("doc_id", "k", "pos", "_l", *_line_key()).where("h1 is not null")
     lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("_l").alias("l"))
-    name, buckets = f"lapforge_lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, buckets = new_path(spark, "lines"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _table_of(path)
     with shuffles_freed(spark):
-        lines.write.option("compression", "zstd").option("path", new_path(spark, "lines")).bucketBy(buckets, "h1", "h2").saveAsTable(name)
+        lines.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "h1", "h2").saveAsTable(name)
     return spark.table(name)
 
 
@@ -69,22 +72,31 @@ def band_keys(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return sig.select("h1", "h2", F.array(*keys).alias("keys"))
 
 
+def _shingle_sets(rows: DataFrame, ids: list[str], lines: dict[str, str], shingle: int) -> DataFrame:
+    """``ids`` and, for each of the columns ``lines``, the array of its distinct shingle hashes under the name it maps to.
+
+    A line's code points are a lambda's variable, as a column's bytes would be copied for every shingle.
+    """
+    def hashes(line: str) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(line) - shingle, F.lit(0)))
+        return F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * shingle)))))[0]
+
+    sets = [F.array_distinct(hashes(line)).alias(name) for line, name in lines.items()]
+    return rows.select(*ids, held(F.struct(*sets)).alias("_x")).select(*ids, "_x.*")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (h1, h2, a1, a2) whose shingle sets reach ``similar``, as links ``a``, ``b``."""
-    def _shingled(line: str) -> list[Column]:
-        return [F.encode(line, "UTF-32").alias("b"), F.greatest(F.length(line) - shingle, F.lit(0)).alias("last")]
+    """Those of ``pairs`` (h1, h2, a1, a2) whose shingle sets reach ``similar``, as links ``a``, ``b``.
 
+    All shingles of both lines are compared, each pair's in the partition that the join left it in.
+    """
     text = lines.select("h1", "h2", "l")
     pairs = pairs.join(text, ["h1", "h2"]).withColumnRenamed("l", "_la")
     pairs = pairs.join(text.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("l").alias("_lb")), ["a1", "a2"])
-    # All shingles of both lines, each pair's in the partition that the join left it in.
     ids = ["a1", "a2", "h1", "h2"]
-    sides = pairs.select(*ids, F.explode_outer(F.array(F.struct(F.lit(1).alias("side"), *_shingled("_la")), F.struct(F.lit(2).alias("side"), *_shingled("_lb")))).alias("_x"))
-    sides = sides.select(*ids, "_x.side", "_x.b", "_x.last").select(*ids, "side", "b", F.explode_outer(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    hashed = sides.select(*ids, "side", F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("s"))
-    met = hashed.groupBy(*ids, "s").agg(F.bit_or("side").alias("side"))
-    sizes = met.groupBy(*ids).agg(F.count(F.when(F.col("side") == 3, 1)).alias("n"), F.count(F.lit(1)).alias("m"))
-    good = sizes.where(F.col("n") >= similar * F.col("m"))
+    sets = _shingle_sets(pairs, ids, {"_la": "sa", "_lb": "sb"}, shingle)
+    sizes = sets.select(*ids, held(F.struct(F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("all"))).alias("_x"))
+    good = sizes.where(F.col("_x.n") >= similar * (F.col("_x.all") - F.col("_x.n")))
     return good.select(_node("a1", "a2").alias("a"), _node("h1", "h2").alias("b"))
 
 
@@ -110,14 +122,14 @@ def _postings(crowd: DataFrame, lines: DataFrame, similar: float, shingle: int)
     Two lines with ``similar`` share one of the first size - similar * size + 1 shingles of each, in
     any order common to all; rare ones come first, so lines of one template seldom meet.
     """
-    text = crowd.join(lines.select("h1", "h2", "l"), ["h1", "h2"])
-    d = text.select("h1", "h2", held(F.struct(F.encode("l", "UTF-32").alias("b"), F.greatest(F.length("l") - shingle, F.lit(0)).alias("last"))).alias("_x"))
-    d = d.select("h1", "h2", "_x.b", F.explode_outer(F.sequence(F.lit(0), F.col("_x.last"))).alias("i"))
-    has = written(d.select("h1", "h2", F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("s")).distinct(), "shingles")
-    d = salted_lookup(has, has.groupBy("s").agg(F.count(F.lit(1)).alias("df")), ["s"], F.col("h1"), "inner", selective=True)
+    sets = _shingle_sets(crowd.join(lines.select("h1", "h2", "l"), ["h1", "h2"]), ["h1", "h2"], {"l": "has"}, shingle)
+    has = written(sets.select("h1", "h2", F.size("has").alias("size"), F.explode("has").alias("s")), "shingles")
+    # A shingle of one line alone only moves the others' places back.
+    shared = written(has.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    d = salted_lookup(has, shared, ["s"], F.col("h1"), "inner", selective=True)
     own = Window.partitionBy("h1", "h2")
-    d = d.select("h1", "h2", "s", "df", F.row_number().over(own.orderBy("df", "s")).alias("at"), F.count(F.lit(1)).over(own).alias("size"))
-    d = d.where((F.col("df") > 1) & (F.col("at") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1)).drop("df")
+    d = d.select("h1", "h2", "s", "size", (F.row_number().over(own.orderBy("df", "s")) + F.col("size") - F.count(F.lit(1)).over(own)).alias("at"))
+    d = d.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1)
     return written(d.join(crowd.select("h1", "h2", "keys"), ["h1", "h2"]), "postings")
 
 
@@ -126,7 +138,8 @@ def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> D
 
     Lines of a posting's commonest label need no pairs among themselves, so only its other lines
     meet all lines: in cells of parts dealt by hash, each of ``cell`` lines or so a side. With
-    ``star`` they meet the least of themselves only, which links a family in linear time.
+    ``star`` they meet one line of the posting only, in every posting another by hash: pairs no
+    more than the postings, which link most of a family as random pairs of it do.
     """
     counts = posts.groupBy("s", "label").agg(F.count(F.lit(1)).alias("n"))
     stats = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few")).where("few > 0")
@@ -134,7 +147,7 @@ def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> D
     side = F.struct("h1", "h2", "label", "keys", "at", "size")
     few = rows.where("label <> big")
     if star:
-        hub = few.groupBy("s").agg(F.min(side).alias("q"))
+        hub = rows.groupBy("s").agg(F.min_by(side, F.xxhash64("s", "h1", "h2")).alias("q"))
         met = salted_lookup(few.select("s", "big", side.alias("p")), hub, ["s"], F.col("p.h1"), "inner", selective=True)
     else:
         pa, pb = F.ceil(F.col("few") / cell).cast("int"), F.ceil(F.col("all") / cell).cast("int")
@@ -202,6 +215,18 @@ def removed_lines(documents: DataFrame, **options) -> DataFrame:
     return gone.groupBy("doc_id", "k").agg(F.sort_array(F.collect_list(item)).alias("removed"))
 
 
+def _written_removed(documents: DataFrame, **options) -> DataFrame:
+    """``removed_lines`` as a table; those written on the way, with the lines' texts, are dropped."""
+    spark = documents.sparkSession
+    with tables_dropped(spark) as made:
+        removed = written(removed_lines(documents, **options), "removed")
+        made.pop()
+        for path in made:
+            if "/lapforge-lines-" in path:
+                spark.sql(f"DROP TABLE {_table_of(path)}")
+    return removed
+
+
 def _with_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:
     r = removed.withColumnsRenamed({"doc_id": "_r_id", "k": "_r_k"})
     return docs.join(r, docs["doc_id"].eqNullSafe(r["_r_id"]) & (docs["_k"] == r["_r_k"]), "left").drop("_r_id", "_r_k")
@@ -215,7 +240,7 @@ def line_report(documents: DataFrame, **options) -> DataFrame:
     Blank lines stay. A null text counts as empty, which is one blank line. Rows equal in id and
     text are one document and are returned as often as they occur.
     """
-    removed = written(removed_lines(documents, **options), "removed")
+    removed = _written_removed(documents, **options)
     text = F.coalesce("text", F.lit(""))
     docs = documents.select("doc_id", F.xxhash64(text).alias("_k"), F.size(F.split(text, "\n")).alias("n_lines"))
     out = _with_removed(docs, removed)
@@ -228,7 +253,7 @@ def dedup_lines(documents: DataFrame, **options) -> DataFrame:
     Every row stays, also when all its lines are gone. A row that loses no line is unchanged. The
     other columns, whatever their names, are as they were.
     """
-    removed = written(removed_lines(documents, **options), "removed")
+    removed = _written_removed(documents, **options)
     cols = documents.columns
     docs = documents.select(F.struct(*cols).alias("_d"), F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k"))
     out = _with_removed(docs, removed)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapforge.operators.clean import salted_lookup
+from lapforge.operators.clean import HOT_ROWS, salted_lookup
 from lapforge.session import by_key, written
 
 
@@ -27,21 +27,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node id of each connected component.
 
     Every round joins label groups to their smallest neighbour and shortens the pointers, so the
-    number of rounds grows with the logarithm of a chain's length.
+    number of rounds grows with the logarithm of a chain's length. Tables of too few rows for a hot
+    key are joined without looking for one.
     """
+    limit = int(nodes.sparkSession.conf.get("spark.lapforge.hotRows", str(HOT_ROWS)))
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
+    plain = lambda df, side, on, by, how="left": df.join(by_key(side), on, how)
+    salted = lambda df, side, on, by, how="left": salted_lookup(df, side, on, by, how, selective=True)
+    edge_lookup, node_lookup = [salted if rows.count() > limit else plain for rows in (both, labels)]
     while True:
-        seen = salted_lookup(both, labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), ["b"], F.col("a"), "inner", selective=True)
+        seen = edge_lookup(both, labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), ["b"], F.col("a"), "inner")
         best = seen.groupBy(F.col("a").alias("node")).agg(F.min("_lb").alias("_m"))
         d = labels.join(by_key(best), "node", "left").withColumn("_m", F.least("label", "_m"))
         hook = written(d.groupBy("label").agg(F.min("_m").alias("to")), "hook")
         for _ in range(2):
             nxt = hook.select(F.col("label").alias("to"), F.col("to").alias("_t2"))
-            hook = written(salted_lookup(hook, nxt, ["to"], F.col("label"), selective=True).select("label", F.coalesce("_t2", "to").alias("to")), "hook")
+            hook = written(node_lookup(hook, nxt, ["to"], F.col("label")).select("label", F.coalesce("_t2", "to").alias("to")), "hook")
         if not hook.where("label <> to").limit(1).count():
             return labels
-        labels = written(salted_lookup(labels, hook, ["label"], F.col("node"), selective=True).select("node", F.col("to").alias("label")), "labels")
+        labels = written(node_lookup(labels, hook, ["label"], F.col("node")).select("node", F.col("to").alias("label")), "labels")
 
 
 def _near_cells(core: DataFrame, keys: Sequence[str], eps: float, side: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,8 +14,10 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from lapforge.llm import fingerprints, lines, mixing, neardup, pieces, quality, tokens, topk, toxicity, urls
+from lapforge.session import scratch_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -251,6 +254,39 @@ def test_line_dedup_in_a_crowd(spark, cell):
     assert got == {i: k for i, k in enumerate(root) if i != k}
 
 
+def test_line_dedup_leaves_one_table(spark):
+    """What is written on the way, with the lines' texts, is dropped; the removed lines stay to be read."""
+    df = spark.createDataFrame([(i, f"the same line of this document\nown line number {i}", "en", "s", 0) for i in range(8)], DOC)
+    folder = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    tables = len(spark.catalog.listTables())
+    report = lines.line_report(df)
+    assert len(spark.catalog.listTables()) == tables
+    made = [name for name in os.listdir(folder) if name not in before]
+    assert [name.split("-")[1] for name in made if name.startswith("lapforge-")] == ["removed"]
+    assert sum(r["n_kept"] for r in report.collect()) < 16
+
+
+def test_line_dedup_family_in_linear_pairs(spark):
+    """Most of a family of near copies is linked by one partner a posting, before any two of its lines meet."""
+    rng = random.Random(31)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)]
+    made = []
+    for _ in range(120):
+        line = list(base)
+        for at in rng.sample(range(300), 2):
+            line[at] = rng.choice("0123456789")
+        made.append("".join(line))
+    table = lines.distinct_lines(spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(made)], DOC))
+    crowd = lines.band_keys(table)
+    posts = lines._postings(crowd, table, lines.SIMILAR, lines.SHINGLE).withColumn("label", F.struct("h1", "h2"))
+    links = lines._verified(lines._posting_pairs(posts, lines.SIMILAR, lines.CELL, True), table, lines.SIMILAR, lines.SHINGLE)
+    shared = lines._posting_pairs(posts, lines.SIMILAR, lines.CELL, False).count()
+    labels = lines._linked(links)
+    assert links.count() < shared / 2
+    assert labels.groupBy("label").count().agg(F.max("count")).first()[0] > 60
+
+
 # -- 4 ---------------------------------------------------------------------------------------
 def test_top_k(spark):
     rng = np.random.default_rng(3)
