@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from lapforge.operators.clean import salted_lookup
 from lapforge.operators.documents import assemble
 from lapforge.operators.ordered import G, ordered
-from lapforge.session import written
+from lapforge.session import small_arrow_batches, written
 
 K1, B = 1.2, 0.75
 QUERY_BATCH = 256
+#: Texts that Python counts at once, their bytes, and documents of a scored block.
+TEXT_ROWS, TEXT_BYTES, BLOCK_DOCS = 256, 8 << 20, 2048
 
 
 def tokens(text: Column) -> Column:
@@ -70,15 +72,13 @@ class _Best:
 def _score_blocks(queries: list[tuple], boosts: Sequence[float], avgdl: Sequence[float], k: int):
     """Best documents of every query over the batches of a task.
 
-    A batch is a block: its postings are grouped by term, with the term's highest impact. A query
-    whose highest impacts do not add up to its k-th score so far passes the block over; the bound
-    carries the same rounding as the scores.
+    A block is ``BLOCK_DOCS`` documents of a batch at most: its postings are grouped by term, with
+    the term's highest impact. A query whose highest impacts do not add up to its k-th score so far
+    passes the block over; the bound carries the same rounding as the scores.
     """
     def apply(batches):
         best = [_Best(k) for _ in queries]
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(at, BLOCK_DOCS) for b in batches for at in range(0, b.num_rows, BLOCK_DOCS)):
             docs, blocks = b.column("doc").to_numpy(), []
             for i, mean in enumerate(avgdl):
                 lists = b.column(f"t{i}")
@@ -129,7 +129,8 @@ def lexical_top(docs: DataFrame, queries: DataFrame, doc: str, fields: dict[str,
         some = [(r["query"], r["ts"] or []) for r in qs.where(F.expr(f"{G} div {batch} = {i}")).select("query", "ts").collect()]  # ``batch`` rows
         terms = sorted({t for _, ts in some for t in ts})
         number = {t: j for j, t in enumerate(terms)}
-        posts = written(_postings(docs, doc, names, terms), "postings")
+        with small_arrow_batches(docs.sparkSession, TEXT_ROWS, TEXT_BYTES):
+            posts = written(_postings(docs, doc, names, terms), "postings")
         stats = posts.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"dl{j}").alias(f"a{j}") for j in range(len(names))]).first()
         idf = []
         for j in range(len(names)):  # one row for each asked term

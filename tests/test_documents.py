@@ -1,10 +1,12 @@
 """Documents in parts: whatever the part size, the whole text and its facts stay the same."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lapforge.operators import documents as dc
 from lapforge.operators import retrieve as rt
+from lapforge.session import small_arrow_batches
 
 
 def segments(spark):
@@ -74,3 +76,23 @@ def test_lexical_top_is_exact(spark, batch):
     rows = got.collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r["query"], r["rank"]): r["score"] for r in rows} == want
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """The texts are counted a bounded number of rows and bytes at a time; the session's settings come back."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before, seen, write = [spark.conf.get(k) for k in keys], [], rt.written
+
+    def watched(df, label):
+        seen.append((label, [int(spark.conf.get(k)) for k in keys]))
+        return write(df, label)
+
+    monkeypatch.setattr(rt, "written", watched)
+    df = spark.createDataFrame([(i, f"word{i % 7} other") for i in range(30)], "id long, text string")
+    got = rt.lexical_top(df, spark.createDataFrame([(1, "word3")], "q long, text string"), "id", {"text": 1.0}, "q", "text", 3)
+    assert [r["doc"] for r in got.orderBy("rank").collect()] == [3, 10, 17]
+    assert ("postings", [rt.TEXT_ROWS, rt.TEXT_BYTES]) in seen
+    assert [spark.conf.get(k) for k in keys] == before
+    with small_arrow_batches(spark, 4, 1 << 20):
+        sizes = spark.range(50).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in it), "n long")
+        assert max(r["n"] for r in sizes.collect()) <= 4
