@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapforge.operators.asof import bracket, interpolate, lerp
+from lapforge.operators.asof import bracket, lerp
 from lapforge.operators.ordered import G, Ordered, ordered
 from lapforge.session import written
 
@@ -125,11 +125,31 @@ def mixed(df: DataFrame, keys: Sequence[str], t: str, tie: str, linear: Sequence
 
 
 def fraction_grid(laps: DataFrame, keys: Sequence[str], frac: str, tie: str, cols: Sequence[str], points: int) -> DataFrame:
-    """Lap columns at ``points`` equal fractions 0..1 (a fixed number per lap)."""
-    grid = laps.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("grid"))
-    grid = grid.withColumns({frac: F.col("grid") / F.lit(float(points - 1)), tie: F.col("grid")})
-    return interpolate(grid, laps, keys, frac, tie, cols).drop(tie)
+    """Lap columns at ``points`` equal fractions 0..1 (a fixed number per lap), clamped beyond a lap's ends.
+
+    A row makes the points from itself to before the next one, a lap's first row also those before
+    it: only the rows are ordered. Rows without a fraction sort first, as everywhere.
+    """
+    o = ordered(laps.select(*keys, frac, tie, *cols), keys, [frac, tie])
+    nxt = F.struct(F.col(frac).alias("at"), *[F.col(c) for c in cols])
+    o = o.over({"_after": lambda w: F.lag(F.lit(1)).over(w), "_n": lambda w: F.lead(nxt).over(w)}, before=1, after=1)
+    top = float(points - 1)
+    at = lambda k: k / F.lit(top)
+
+    def point(x: Column) -> Column:
+        """The first point at or after ``x``, as floats divide; ``points`` if there is none."""
+        k = F.ceil(F.when((x > 0) & (x <= 1), x).otherwise(F.lit(0.0)) * top)
+        k = F.when(at(k - 1) >= x, k - 1).when(at(k) < x, k + 1).otherwise(k)
+        return F.when(x > 1, F.lit(points)).when(x > 0, k).otherwise(F.lit(0)).cast("long")
+
+    first = F.when(F.col("_after").isNull(), F.lit(0).cast("long")).otherwise(point(F.col(frac)))
+    last = F.when(F.col("_n").isNull(), F.lit(points).cast("long")).otherwise(point(F.col("_n.at"))) - 1
+    d = o.df.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    d = d.withColumn("grid", F.explode(F.sequence("_first", "_last"))).withColumn("_at", at(F.col("grid")))
+    w = F.coalesce((F.col("_at") - F.col(frac)) / F.nullif(F.col("_n.at") - F.col(frac), F.lit(0).cast("double")), F.lit(0.0))
+    own = (F.col("_at") <= F.col(frac)) | F.col("_n").isNull()
+    value = lambda c: F.when(own, F.col(c)).otherwise(F.col(c) + (F.col("_n")[c] - F.col(c)) * w)
+    return d.select(*keys, "grid", F.col("_at").alias(frac), *[value(c).alias(c) for c in cols])
 
 
 def densify(o: Ordered, x: str, y: str, spacing: float) -> DataFrame:

@@ -105,7 +105,7 @@ def lap_01(spark, sf):
 
 def clocked(spark, sf) -> Ordered:
     """Complete laps with distance, fraction and lap clock."""
-    return lap_fractions(spark, sf).totals(_s=F.min("t")).cols(clock=F.col("t") - F.col("_s")).map(lambda d: d.drop("_s"))
+    return lap_fractions(spark, sf, _s=F.min("t")).cols(clock=F.col("t") - F.col("_s")).map(lambda d: d.drop("_s"))
 
 
 GT = f"coalesce({LERP.format(p='pc', q='qc')}, pc, qc)"
@@ -249,8 +249,8 @@ def lap_12(spark, sf):
     """First part of every lap on a common grid: ranked, delta to the best, spread of the lowest speed."""
     g = resample.fraction_grid(clocked(spark, sf).df, ["session", "lap"], "frac", "event_id", ["clock", "speed"], 20)
     s = g.groupBy("session", "lap").agg(F.max(F.when(F.col("grid") == 9, F.col("clock"))).alias("s1"), F.min(F.when(F.col("grid") <= 9, F.col("speed"))).alias("apex"))
-    o = ordered(s, ["session"], ["s1", "lap"]).position("_r").totals(best=F.min("s1"), hi=F.max("apex"), lo=F.min("apex"))
-    return o.out("session", "lap", (F.col("_r") + 1).alias("place"), r(F.col("s1") - F.col("best"), 3).alias("delta"), r("apex").alias("apex"), r(F.col("hi") - F.col("lo")).alias("apex_spread"))
+    o = ordered(s, ["session"], ["s1", "lap"]).totals(_start=F.min(G), best=F.min("s1"), hi=F.max("apex"), lo=F.min("apex"))
+    return o.out("session", "lap", (F.col(G) - F.col("_start") + 1).alias("place"), r(F.col("s1") - F.col("best"), 3).alias("delta"), r("apex").alias("apex"), r(F.col("hi") - F.col("lo")).alias("apex_spread"))
 
 
 @query("LAP-13", T(CORN + "SELECT fr.session, corner, round(avg(k/97.0 - 0.5), 6) AS head_yaw FROM fr JOIN hw ON hw.session = fr.session WHERE f >= cf - 0.1 AND f < cf GROUP BY ALL"))

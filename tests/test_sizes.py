@@ -106,6 +106,22 @@ def test_a_grid_moves_rows_not_ticks(spark):
     assert "explode(sequence(FLOOR" in text or "_c#" in text
 
 
+def test_a_fraction_grid_orders_rows_only(spark, tiny_blocks, monkeypatch):
+    from lapforge.operators import resample
+
+    seen, real = [], resample.ordered
+    monkeypatch.setattr(resample, "ordered", lambda d, *a: (seen.append(d.count()), real(d, *a))[1])
+    laps = {1: [(0.0, 5.0), (0.25, 7.0), (0.3, None), (0.6, 1.0), (1.0, 2.0)], 2: [(0.4, 3.0), (0.4, 9.0), (0.55, 4.0)], 3: [(None, 8.0), (0.5, 6.0)], 4: [(None, 2.0)]}
+    rows = [(k, i, f, v) for k, lap in laps.items() for i, (f, v) in enumerate(lap)]
+    d = resample.fraction_grid(spark.createDataFrame(rows, "lap long, i long, frac double, v double"), ["lap"], "frac", "i", ["v"], 5)
+    assert d.columns == ["lap", "grid", "frac", "v"]
+    got = sorted((r["lap"], r["grid"], r["frac"], r["v"]) for r in d.collect())
+    assert [x[:3] for x in got] == [(k, g, g / 4) for k in laps for g in range(5)]
+    want = [5, 7, None, 1 + 0.15 / 0.4, 2, 3, 3, 9 - 5 * (0.5 - 0.4) / (0.55 - 0.4), 4, 4, 8, 8, 6, 6, 6, 2, 2, 2, 2, 2]
+    assert [None if x is None else round(x, 9) for *_, x in got] == [None if x is None else round(x, 9) for x in want]
+    assert seen == [len(rows)]  # points were sorted in among the rows once
+
+
 def test_windows_are_filled_from_rows(spark):
     """Rows, not their ticks, go to the windows; gaps of many blocks, equal times, nulls and lone rows included."""
     from lapforge.operators import lags, resample
