@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -23,6 +24,8 @@ from lapforge.session import written
 HELD_OUT = 2
 THRESHOLD = 0.7
 WORDS_KEPT = 500_000
+GRAMS_KEPT = 200_000
+CHARS = 1 << 20
 _words = re.compile(WORD).findall
 
 
@@ -39,19 +42,34 @@ class Settings:
     seed: int = 7
 
 
-def word_features(word: str, before: str, s: Settings) -> list[int]:
+class _Buckets(dict):
+    """Bucket of every character n-gram asked for; at most ``GRAMS_KEPT`` are remembered."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def of(self, name: str) -> int:
+        return crc32(name.encode("utf-8", "surrogatepass")) % self.buckets
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= GRAMS_KEPT:
+            self.clear()
+        self[name] = bucket = self.of(name)
+        return bucket
+
+
+def word_features(word: str, before: str, s: Settings, grams: _Buckets) -> list[int]:
     """Buckets of one word in its place: the word, its character n-grams, and the word pair.
 
     A pair is hashed as the word's shape beside its neighbour's, with a sign for a repeated word,
     since most pairs of words are never seen again.
     """
     b = f"<{word}>"
-    names = [b, *(b[i : i + n] for n in s.grams for i in range(len(b) - n + 1))]
-    names.append("same" if word == before else "new")
-    return [crc32(x.encode("utf-8", "surrogatepass")) % s.buckets for x in names]
+    return [grams.of(b), *[grams[b[i : i + n]] for n in s.grams for i in range(len(b) - n + 1)], grams["same" if word == before else "new"]]
 
 
-def _spread(words: list[str], s: Settings, known: dict) -> Iterator[tuple[list[int], int]]:
+def _spread(words: list[str], s: Settings, known: dict, grams: _Buckets) -> Iterator[list[int]]:
     before = ""
     for word in words:
         key = (word, word == before)
@@ -59,17 +77,106 @@ def _spread(words: list[str], s: Settings, known: dict) -> Iterator[tuple[list[i
         if found is None:
             if len(known) >= WORDS_KEPT:
                 known.clear()
-            found = known[key] = word_features(word, before, s)
+            found = known[key] = word_features(word, before, s, grams)
         yield found
         before = word
 
 
-def features(text: str, s: Settings, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, s: Settings, known: dict, grams: _Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs. A text without words has none."""
-    all_ = [b for f in _spread(_words(text), s, known) for b in f]
+    all_ = [b for f in _spread(_words(text), s, known, grams) for b in f]
     return np.unique(np.array(all_, dtype="int32"), return_counts=True)
 
 
+#: One byte's step of a CRC-32, for arrays.
+_STEP = np.array([crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], dtype="uint32")
+
+
+def ascii_features(words: list[bytes], s: Settings) -> np.ndarray:
+    """``word_features`` of ASCII words of one length, a row each, but for the pair's sign, which comes last there."""
+    padded = [b"<" + w + b">" for w in words]
+    text = np.frombuffer(b"".join(padded), dtype="uint8").reshape(len(words), -1)
+    parts = [np.array([crc32(b) for b in padded], dtype="uint32")[:, None]]
+    for n in s.grams:
+        c = np.uint32(0xFFFFFFFF)
+        for j in range(n if n <= text.shape[1] else 0):
+            c = _STEP[(c ^ text[:, j : text.shape[1] - n + 1 + j]) & 0xFF] ^ (c >> np.uint32(8))
+        if n <= text.shape[1]:
+            parts.append(c ^ np.uint32(0xFFFFFFFF))
+    return (np.hstack(parts) % np.uint32(s.buckets)).astype("int64")
+
+
+class _Scores:
+    """Scores of texts from their words, whose sums are remembered: ``WORDS_KEPT`` words and those of one call at most."""
+
+    def __init__(self, weight: np.ndarray, s: Settings):
+        self.weight, self.s, self.grams = weight, s, _Buckets(s.buckets)
+        self.clear()
+
+    def clear(self) -> None:
+        """``sums`` has a word's sum where it is new and where it follows itself, ``sizes`` the number of its features."""
+        self.places: dict[bytes, int] = {}
+        self.sums, self.sizes = np.zeros((0, 2)), np.zeros(0, dtype="int64")
+
+    def learn(self, words: set[bytes]) -> None:
+        fresh = words.difference(self.places)
+        if len(self.places) + len(fresh) > WORDS_KEPT:
+            self.clear()
+            fresh = words
+        alike: dict[int, list[bytes]] = {}
+        for word in fresh:
+            alike.setdefault(len(word) if word.isascii() else -1, []).append(word)
+        sums, sizes = [self.sums], [self.sizes]
+        for size, group in alike.items():
+            few = max(1, CHARS // (size + 1)) if size >= 0 else len(group)
+            for part in (group[i : i + few] for i in range(0, len(group), few)):
+                two, n = self._ascii(part) if size >= 0 else self._others(part)
+                sums.append(two)
+                sizes.append(n)
+            self.places.update(zip(group, range(len(self.places), len(self.places) + len(group))))
+        self.sums, self.sizes = np.vstack(sums), np.concatenate(sizes)
+
+    def _ascii(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        f = ascii_features(words, self.s)
+        ends = [np.full((len(f), 1), self.grams[sign]) for sign in ("new", "same")]
+        sums = np.stack([self.weight.take(np.hstack([f, end])).sum(axis=1) for end in ends], axis=1)
+        return sums.astype("float64"), np.full(len(f), f.shape[1] + 1)
+
+    def _others(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sums, sizes = np.zeros((len(words), 2)), np.zeros(len(words), dtype="int64")
+        for i, word in enumerate(words):
+            name = word.decode("utf-8", "surrogatepass")
+            for j, before in enumerate(("", name)):
+                f = word_features(name, before, self.s, self.grams)
+                sums[i, j], sizes[i] = self.weight.take(f).sum(), len(f)
+        return sums, sizes
+
+    def means(self, texts: list[str]) -> Iterator[float]:
+        """Mean score of every text's features, repeats included; 0 without words.
+
+        Bytes split at ASCII white space, which gives the words of ``WORD``; sums run in their order.
+        """
+        words = [text.encode("utf-8", "surrogatepass").split() for text in texts]
+        self.learn(set(chain.from_iterable(words)))
+        for of in words:
+            at = np.fromiter(map(self.places.__getitem__, of), "int64", len(of))
+            again = np.zeros(len(of), dtype="int64")
+            again[1:] = at[1:] == at[:-1]
+            yield float(self.sums[at, again].cumsum()[-1] / self.sizes[at].sum()) if of else 0.0
+
+
+def _groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts in groups of about ``CHARS`` characters; null counts as empty."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= CHARS:
+            yield group
+            group, size = [], 0
+    yield group
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings, classes: int = 2) -> np.ndarray:
     """Class scores per bucket (buckets + 1 rows; the last is the bias), by stochastic gradient descent.
 
@@ -122,10 +229,10 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), label
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        known, grams = {}, _Buckets(s.buckets)
         for batch in batches:
             for doc_id, y, t, k in zip(batch["doc_id"], batch["label"], batch["text"], batch["k"]):
-                ids, counts = features(t, s, known)
+                ids, counts = features(t, s, known, grams)
                 yield pd.DataFrame({"doc_id": [doc_id], "label": [y], "size": [len(t)], "k": [k], "ids": [ids], "counts": [counts.astype("int32")]})
 
     chosen = training_rows(documents, labels, label, s).withColumn("k", F.xxhash64("text"))
@@ -154,27 +261,9 @@ def score(documents: DataFrame, model: np.ndarray, s: Settings = Settings()) ->
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weight = shared.value
-        words: dict[tuple[str, bool], tuple[float, int]] = {}
-
-        def value(key: tuple[str, bool]) -> tuple[float, int]:
-            if len(words) >= WORDS_KEPT:
-                words.clear()
-            f = word_features(key[0], key[0] if key[1] else "", s)
-            words[key] = found = (float(weight[f].sum()), len(f))
-            return found
-
+        scores = _Scores(weight, s)
         for texts in batches:
-            out = []
-            for text in texts:
-                total = count = 0
-                before = ""
-                for word in _words(text or ""):
-                    key = (word, word == before)
-                    v, n = words.get(key) or value(key)
-                    total += v
-                    count += n
-                    before = word
-                out.append(1 / (1 + np.exp(-(total / max(1, count) + float(weight[-1])))))
+            out = [1 / (1 + np.exp(-(mean + float(weight[-1])))) for group in _groups(texts) for mean in scores.means(group)]
             yield pd.Series(out, dtype="float64")
 
     return run(F.col("text"))

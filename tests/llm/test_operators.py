@@ -146,6 +146,28 @@ def test_quality_held_out(labelled):
     assert sum(r["predicted"] == int(r["doc_id"] % 4 != 0) for r in seen) >= 0.95 * len(seen)
 
 
+def test_quality_scores_a_group_of_words_at_once(monkeypatch):
+    s = quality.Settings()
+    weight, plain = np.random.default_rng(0).normal(size=s.buckets + 1).astype("float32"), quality.word_features
+    texts = ["", " \t\n", "a a a b a", "the the\x0bthe\x0c of\r\nof x\x1cx x\x1cx x\x85 \u00e9t\u00e9 \u00e9t\u00e9 \u65e5\u672c", "word\x00 <> >< " + "y" * 300, *[f"w{i} w{i // 2} w{i}" for i in range(60)]]
+    want = []
+    for text in texts:
+        total, count, before = 0.0, 0, ""
+        for word in quality._words(text):
+            f = plain(word, before, s, quality._Buckets(s.buckets))
+            total, count, before = total + float(weight[f].sum()), count + len(f), word
+        want.append(total / max(1, count))
+    called = []
+    monkeypatch.setattr(quality, "word_features", lambda *a: (called.append(a[0]), plain(*a))[1])
+    monkeypatch.setattr(quality, "GRAMS_KEPT", 5)
+    for kept, chars in ((quality.WORDS_KEPT, quality.CHARS), (7, 20)):
+        monkeypatch.setattr(quality, "WORDS_KEPT", kept)
+        monkeypatch.setattr(quality, "CHARS", chars)
+        scores = quality._Scores(weight, s)
+        assert [m for group in quality._groups(texts) for m in scores.means(group)] == want
+    assert not any(word.isascii() for word in called)
+
+
 def test_quality_ignores_held_out_labels(spark, labelled):
     docs, labels = labelled
     turned = labels.withColumn("quality", (1 - labels["quality"]).cast("int"))
