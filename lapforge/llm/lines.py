@@ -21,6 +21,7 @@ ROWS = 3
 SIMILAR = 0.8
 STEP = 8
 CELL = 1024
+HEAD = 16
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -133,18 +134,26 @@ def _postings(crowd: DataFrame, lines: DataFrame, similar: float, shingle: int)
     return written(d.join(crowd.select("h1", "h2", "keys"), ["h1", "h2"]), "postings")
 
 
-def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> DataFrame:
+def _posting_hits(posts: DataFrame, similar: float, cell: int, star: bool) -> DataFrame:
     """Pairs (h1, h2, a1, a2) of lines that share a band and a posting's shingle and have two labels.
 
     Lines of a posting's commonest label need no pairs among themselves, so only its other lines
     meet all lines: in cells of parts dealt by hash, each of ``cell`` lines or so a side. With
     ``star`` they meet one line of the posting only, in every posting another by hash: pairs no
     more than the postings, which link most of a family as random pairs of it do.
+
+    Otherwise a pair is made in one posting, not in all it shares: that of its first shingle in
+    common, if both lines have it among their first ``HEAD`` postings here. A posting that holds two
+    labels is never left out, so these are all that a pair with two labels can share.
     """
     counts = posts.groupBy("s", "label").agg(F.count(F.lit(1)).alias("n"))
     stats = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("few")).where("few > 0")
     rows = written(salted_lookup(posts, written(stats, "stats"), ["s"], F.col("h1"), "inner", selective=True), "posts")
     side = F.struct("h1", "h2", "label", "keys", "at", "size")
+    if not star:
+        head = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "s"))), 1, HEAD), lambda x: x["s"])
+        rows = written(rows.join(rows.groupBy("h1", "h2").agg(head.alias("head")), ["h1", "h2"]), "posts")
+        side = F.struct("h1", "h2", "label", "keys", "at", "size", "head")
     few = rows.where("label <> big")
     if star:
         hub = rows.groupBy("s").agg(F.min_by(side, F.xxhash64("s", "h1", "h2")).alias("q"))
@@ -160,10 +169,19 @@ def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> D
     own, other = F.struct("p.h1", "p.h2"), F.struct("q.h1", "q.h2")
     # The first shingle in common bounds the number in common, which 1 + similar of the sum of sizes asks for.
     most = F.least(p["size"] - p["at"], q["size"] - q["at"]) + 1
-    met = met.where((p["label"] != q["label"]) & ((q["label"] == F.col("big")) | (own != other))
+    # Two of the other lines meet in both orders, but for a star.
+    met = met.where((p["label"] != q["label"]) & ((q["label"] == F.col("big")) | (own != other if star else own < other))
                     & (most * (1 + similar) >= (p["size"] + q["size"]) * similar - 1e-9) & F.arrays_overlap("p.keys", "q.keys"))
+    if not star:
+        first = F.get(F.filter(p["head"], lambda x: F.array_contains(q["head"], x)), F.lit(0))
+        met = met.where(F.coalesce(first == F.col("s"), F.lit(True)))
     met = met.select(F.least(own, other).alias("_p"), F.greatest(own, other).alias("_q"))
-    return met.select(F.col("_p.h1").alias("h1"), F.col("_p.h2").alias("h2"), F.col("_q.h1").alias("a1"), F.col("_q.h2").alias("a2")).distinct()
+    return met.select(F.col("_p.h1").alias("h1"), F.col("_p.h2").alias("h2"), F.col("_q.h1").alias("a1"), F.col("_q.h2").alias("a2"))
+
+
+def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> DataFrame:
+    """The pairs of ``_posting_hits``, each once."""
+    return _posting_hits(posts, similar, cell, star).distinct()
 
 
 def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, cell: int = CELL) -> DataFrame:

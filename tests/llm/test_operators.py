@@ -309,6 +309,25 @@ def test_line_dedup_family_in_linear_pairs(spark):
     assert labels.groupBy("label").count().agg(F.max("count")).first()[0] > 60
 
 
+def test_line_dedup_makes_a_pair_once(spark, monkeypatch):
+    """Lines that share many postings meet in that of their first common shingle; none is lost, however few are kept."""
+    rng = random.Random(37)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(70)] for _ in range(3)]
+    made = []
+    for i in range(60):
+        line = list(base[i % 3])
+        line[rng.randrange(70)] = rng.choice("0123456789")
+        made.append("".join(line))
+    table = lines.distinct_lines(spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(made)], DOC))
+    posts = lines._postings(lines.band_keys(table), table, lines.SIMILAR, lines.SHINGLE).withColumn("label", F.struct("h1", "h2"))
+    seen = {}
+    for head in (0, 2, lines.HEAD):
+        monkeypatch.setattr(lines, "HEAD", head)
+        seen[head] = [tuple(r) for r in lines._posting_hits(posts, lines.SIMILAR, 5, False).collect()]
+    assert set(seen[0]) == set(seen[2]) == set(seen[lines.HEAD])
+    assert len(seen[lines.HEAD]) == len(set(seen[0])) < len(seen[0])
+
+
 # -- 4 ---------------------------------------------------------------------------------------
 def test_top_k(spark):
     rng = np.random.default_rng(3)
