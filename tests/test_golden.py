@@ -88,6 +88,43 @@ def test_self_crossing(spark):
     assert found == {lap for lap, (_, crosses) in paths.items() if crosses}
 
 
+def test_anomalous_laps(spark):
+    """A lap is anomalous if it crosses itself or meets a barrier; short laps are left out."""
+    paths = {
+        "clean": ([(0, 0), (10, 0), (10, 10), (0, 10)], False),
+        "eight": ([(0, 0), (10, 10), (10, 0), (0, 10)], True),
+        "cuts": ([(0, 0), (40, 0), (40, 10), (0, 10)], True),
+        "both": ([(0, 0), (40, 40), (40, 0), (0, 10)], True),
+        "touches": ([(0, 0), (20, 5), (0, 10), (-5, 10)], True),
+        "over": ([(0, 0), (19, 5), (51, 5), (51, 20)], True),
+        "beside": ([(0, 0), (19, 5), (15, 5), (10, 20)], False),
+        "upright": ([(59, 20), (61, 20), (61, 30), (70, 30)], True),
+        "slanted": ([(0, -10), (10, -20), (10, -30), (0, -40)], True),
+        "short": ([(0, 0), (10, 10), (10, 0)], False),
+    }
+    rows = [(1, lap, i, float(x), float(y)) for lap, (pts, _) in paths.items() for i, (x, y) in enumerate(pts)]
+    o = ordered(spark.createDataFrame(rows, "session long, lap string, i long, e double, n double"), ["session"], ["lap", "i"])
+    barriers = [(20.0, 5.0, 50.0, 5.0), (60.0, 10.0, 60.0, 40.0), (5.0, -25.0, 15.0, -15.0)]
+    found = [r.lap for r in segment.anomalous_laps(o, "lap", barriers, 4, 10.0, reach=2).collect()]
+    assert sorted(found) == sorted(lap for lap, (_, bad) in paths.items() if bad)
+
+
+def test_laps_that_cross_themselves_are_anomalous(spark, tmp_path):
+    """SEG-27 over timed laps: the first goes round twice, as a gate step is slow; the third meets the barrier."""
+    import datetime as dt
+
+    import __spark_entry__ as entry
+
+    # e is off by event_id % 7 - 3 halves, n by event_id % 5 - 2 halves. The warm-up and exit laps meet the barrier, too.
+    start, ids, slow, out = dt.datetime(2024, 1, 1), [], {33}, {6, 7, 70, 71, 118, 119}
+    for i in range(120):
+        ids.append(35 * i + next(k for k in range(35) if k % 7 == (6 if i in out else 3) and k % 5 == 2))
+    rows = [(ids[i], 1, start + dt.timedelta(seconds=i), "view", 0.1 if i in slow else 50.0, '{"k": 1}') for i in range(120)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.session, r.lap) for r in entry.queries()["SEG-27"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (1, 3)}
+
+
 def test_wrap(spark):
     d = spark.range(1).select(geo.wrap180(F.lit(1.0) - 359.0).alias("a"), geo.wrap180(F.lit(359.0) - 1.0).alias("b"))
     assert tuple(d.first()) == (2.0, -2.0)
