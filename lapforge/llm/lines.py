@@ -7,13 +7,16 @@ shingles: each of ``BANDS * ROWS`` values is the least shingle hash under anothe
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.llm.common import held
-from lapforge.operators.clean import salted_lookup
+from lapforge.operators.clean import HOT_ROWS, salted_lookup
 from lapforge.operators.cluster import components
-from lapforge.session import new_path, shuffles_freed, tables_dropped, written
+from lapforge.session import by_key, new_path, shuffles_freed, tables_dropped, written
 
 SHINGLE = 10
 BANDS = 6
@@ -22,6 +25,8 @@ SIMILAR = 0.8
 STEP = 8
 CELL = 1024
 HEAD = 16
+#: Lines times characters of a bucket whose lines are compared where they are: about a second's work.
+WORK = 1 << 25
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -35,7 +40,10 @@ def line_rows(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``k`` (hash of the text), ``pos`` and ``_l`` (line without outer white space) of every line."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
     rows = docs.select("doc_id", F.xxhash64("_t").alias("k"), F.posexplode_outer(F.split("_t", "\n")).alias("pos", "_raw"))
-    return rows.select("doc_id", "k", "pos", F.expr(r"trim(BOTH ' \t\r' FROM _raw)").alias("_l"))
+    # A trim walks through the whole line, and few lines have white space at an end.
+    ends = reduce(or_, [at(c) for c in " \t\r" for at in (F.col("_raw").startswith, F.col("_raw").endswith)])
+    line = F.when(ends, F.expr(r"trim(BOTH ' \t\r' FROM _raw)")).otherwise(F.col("_raw"))
+    return rows.select("doc_id", "k", "pos", line.alias("_l"))
 
 
 def _table_of(path: str) -> str:
@@ -79,8 +87,8 @@ def _shingle_sets(rows: DataFrame, ids: list[str], lines: dict[str, str], shingl
     A line's code points are a lambda's variable, as a column's bytes would be copied for every shingle.
     """
     def hashes(line: str) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.length(line) - shingle, F.lit(0)))
-        return F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * shingle)))))[0]
+        starts = F.sequence(F.lit(1), F.greatest(F.length(line) - shingle, F.lit(0)) * 4 + 1, F.lit(4))
+        return F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * shingle)))))[0]
 
     sets = [F.array_distinct(hashes(line)).alias(name) for line, name in lines.items()]
     return rows.select(*ids, held(F.struct(*sets)).alias("_x")).select(*ids, "_x.*")
@@ -111,12 +119,62 @@ def _linked(links: DataFrame) -> DataFrame:
     return components(nodes, links).select("node.h1", "node.h2", "label")
 
 
-def _labelled(rows: DataFrame, links: DataFrame, by: str) -> DataFrame:
+def _regrouped(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """``groups`` (h1, h2, label), as of ``_linked``, with the links ``found`` added.
+
+    Only the groups that a new link joins are gone through again.
+    """
+    limit = int(found.sparkSession.conf.get("spark.lapforge.hotRows", str(HOT_ROWS)))
+    hot = found.count() > limit
+    seen = found
+    for end, other in (("a", "b"), ("b", "a")):
+        side = groups.select(_node("h1", "h2").alias(end), F.col("label").alias(f"_l{end}"))
+        seen = salted_lookup(seen, side, [end], F.col(other), "left", selective=True) if hot else seen.join(by_key(side), end, "left")
+    seen = written(seen.select("a", "b", "_la", "_lb"), "found")
+    edges = written(seen.select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b")).where("a <> b").distinct(), "edges")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    moved = components(nodes, edges).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    fresh = seen.where("_la is null").select(F.col("a").alias("label")).union(seen.where("_lb is null").select(F.col("b").alias("label"))).distinct()
+    groups = groups.union(fresh.select("label.h1", "label.h2", "label"))
+    groups = salted_lookup(groups, moved, ["label"], F.col("h1"), "left", selective=True)
+    return written(groups.select("h1", "h2", F.coalesce("_to", "label").alias("label")), "groups")
+
+
+def _labelled(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     """``rows`` with ``label``; a line without a link is a component of its own. ``by`` differs among a line's rows."""
-    rows = salted_lookup(rows, _linked(links), ["h1", "h2"], F.col(by), "left", selective=True)
+    rows = salted_lookup(rows, groups, ["h1", "h2"], F.col(by), "left", selective=True)
     return rows.withColumn("label", F.coalesce("label", F.struct("h1", "h2")))
 
 
+def _bucket_links(crowd: DataFrame, plain: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """Links between lines of ``crowd`` (h1, h2, keys, label, l) that share a bucket of ``plain`` (key) and have two labels.
+
+    A bucket is one row, each line's shingle set is made once in it, and sets whose sizes are too far
+    apart for ``similar`` are not compared. A pair is made in the first bucket that its lines share; if
+    that is not one of ``plain``, the pair is left to those who compare that bucket.
+    """
+    rows = crowd.select("h1", "h2", "label", "keys", "l", F.explode("keys").alias("key"))
+    rows = salted_lookup(rows, plain, ["key"], F.col("h1"), "inner", selective=True).repartition("key")
+    sets = _shingle_sets(rows, ["h1", "h2", "label", "keys", "key"], {"l": "has"}, shingle)
+    side = F.struct("h1", "h2", "label", "keys", F.size("has").alias("size"), "has")
+    groups = sets.groupBy("key").agg(F.collect_list(side).alias("all"))
+    groups = groups.select("key", "all", F.explode("all").alias("p"))
+    key, p = F.col("key"), F.col("p")
+
+    def near(q: Column) -> Column:
+        first = F.get(F.filter(p["keys"], lambda k: F.array_contains(q["keys"], k)), F.lit(0))
+        return (q["label"] != p["label"]) & (_pair(p) < _pair(q)) & (F.least(p["size"], q["size"]) >= F.greatest(p["size"], q["size"]) * similar - 1e-9) & (first == key)
+
+    met = groups.select("p", F.explode(F.filter("all", near)).alias("q"))
+    sizes = F.struct(F.size(F.array_intersect("p.has", "q.has")).alias("n"), (F.col("p.size") + F.col("q.size")).alias("all"))
+    good = met.select(_pair(p).alias("a"), _pair(F.col("q")).alias("b"), held(sizes).alias("_x"))
+    return good.where(F.col("_x.n") >= similar * (F.col("_x.all") - F.col("_x.n"))).select("a", "b")
+
+
+def _pair(line: Column) -> Column:
+    return F.struct(line["h1"].alias("h1"), line["h2"].alias("h2"))
+
+
 def _postings(crowd: DataFrame, lines: DataFrame, similar: float, shingle: int) -> DataFrame:
     """Each line of ``crowd`` (h1, h2, keys) at the rarest of its shingles: ``s``, its place ``at`` and their number ``size``.
 
@@ -184,20 +242,21 @@ def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> D
     return _posting_hits(posts, similar, cell, star).distinct()
 
 
-def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, cell: int = CELL) -> DataFrame:
-    """Links (``a``, ``b``: structs of h1, h2) between lines whose shingle sets reach ``similar``.
+def line_groups(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, work: int = WORK) -> DataFrame:
+    """``h1``, ``h2`` and the component's ``label`` of every line linked to one whose shingle set reaches ``similar``.
 
-    Lines that share a band's key are candidates, and the components of the links are those of all
+    Lines that share a band's key are candidates, and the components are those of the links of all
     such pairs. Each member of a bucket first meets its least and greatest line, in every band; up
-    to three members that is every pair. Members of larger buckets that are then still in more than
-    one component meet where they share one of their rarest shingles, as any two with ``similar``
-    do; pairs already in one component are left out. Every link is verified on the whole lines. A
+    to three members that is every pair. Members of a larger bucket that are then still in more than
+    one component meet there, if its lines times its characters are at most ``work``; those of the others
+    meet where they share one of their rarest shingles, as any two with ``similar`` do. Pairs already
+    in one component are left out. Every link is verified on the whole lines. A
     pair of similarity 0.8 shares a band with probability 0.986 (0.9: 0.9996).
     """
     keyed = written(band_keys(lines, shingle, bands, rows), "bands")
     members = keyed.select("h1", "h2", F.explode("keys").alias("key"))
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("h1").alias("lo1"), F.min_by("h2", "h1").alias("lo2"), F.max("h1").alias("hi1"), F.max_by("h2", "h1").alias("hi2")).where("m > 1")
-    met = members.join(full, "key")
+    met = written(members.join(full, "key"), "met")
     ends = F.explode(F.array(F.struct(F.col("lo1").alias("a1"), F.col("lo2").alias("a2")), F.struct(F.col("hi1").alias("a1"), F.col("hi2").alias("a2"))))
     pairs = met.select("h1", "h2", ends.alias("_e")).where("h1 <> _e.a1 or h2 <> _e.a2")
     own, other = F.struct("h1", "h2"), F.struct(F.col("_e.a1").alias("h1"), F.col("_e.a2").alias("h2"))
@@ -206,22 +265,38 @@ def similar_lines(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHI
     links = written(_verified(pairs, lines, similar, shingle), "links")
     crowded = written(met.where("m > 3").select("h1", "h2", "key"), "crowded")
     if not crowded.limit(1).count():
-        return links
-    crowded = written(_labelled(crowded, links, "key"), "crowded")
+        return _linked(links)
+    groups = written(_linked(links), "groups")
+    crowd = _crowd(crowded, groups)
+    crowd = written(crowd.join(lines.select("h1", "h2", "l"), ["h1", "h2"]), "crowd")
+    sizes = crowd.select(F.explode("keys").alias("key"), F.length("l").cast("long").alias("n")).groupBy("key").agg((F.count(F.lit(1)) * F.sum("n") <= work).alias("plain"))
+    sizes = written(sizes, "buckets")
+    groups = _regrouped(groups, written(_bucket_links(crowd, sizes.where("plain").select("key"), similar, shingle), "links"))
+    if not sizes.where("not plain").limit(1).count():
+        return groups
+    crowded = crowd.select("h1", "h2", F.explode("keys").alias("key"))
+    crowded = salted_lookup(crowded, sizes.where("not plain").select("key"), ["key"], F.col("h1"), "inner", selective=True)
+    texts = crowd
+    crowd = written(_crowd(written(crowded, "crowded"), groups).drop("label"), "crowd")
+    posts = _postings(crowd, texts, similar, shingle)
+    for star in (True, False):
+        found = written(_verified(_posting_pairs(_labelled(posts, groups, "s"), similar, cell, star), texts, similar, shingle), "links")
+        groups = _regrouped(groups, found)
+    return groups
+
+
+def _crowd(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lines of ``crowded`` (h1, h2, key) in buckets that hold two labels: ``h1``, ``h2``, those ``keys`` in order and ``label``."""
+    crowded = written(_labelled(crowded, groups, "key"), "crowded")
     mixed = crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     crowd = salted_lookup(crowded, written(mixed, "mixed"), ["key"], F.col("h1"), "inner", selective=True)
-    crowd = written(crowd.groupBy("h1", "h2").agg(F.collect_list("key").alias("keys")), "crowd")
-    posts = _postings(crowd, lines, similar, shingle)
-    for star in (True, False):
-        found = written(_verified(_posting_pairs(_labelled(posts, links, "s"), similar, cell, star), lines, similar, shingle), "links")
-        links = written(links.union(found), "links")
-    return links
+    return crowd.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.first("label").alias("label"))
 
 
 def removed_lines(documents: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``k`` and ``removed``: (line, keeper_doc, keeper_line) of every line that goes."""
     lines = distinct_lines(documents)
-    groups = _linked(similar_lines(lines, **options))
+    groups = line_groups(lines, **options)
     slim = lines.select("h1", "h2", "first", "n").join(groups, ["h1", "h2"], "left").where("n > 1 or label is not null")
     slim = slim.withColumn("label", F.coalesce("label", F.struct("h1", "h2")))
     keeper = slim.groupBy("label").agg(F.min("first").alias("keeper"))

@@ -276,6 +276,28 @@ def test_line_dedup_in_a_crowd(spark, cell):
     assert got == {i: k for i, k in enumerate(root) if i != k}
 
 
+@pytest.mark.parametrize("work", [0, 100_000, lines.WORK])
+def test_line_dedup_compares_small_buckets_in_place(spark, monkeypatch, work):
+    """Buckets within ``work`` need no postings, larger ones do; links are the same either way."""
+    rng = random.Random(41)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    made = []
+    for families in (4, 40):
+        head = some(310)
+        made += [head + kin + some(36) for kin in (some(32) for _ in range(families)) for _ in range(2)]
+    made += [some(120) for _ in range(5)] + ["same " * 40, "same " * 50, "same " * 60, "same " * 70]
+    rng.shuffle(made)
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(made)], DOC)
+    table = lines.distinct_lines(df)
+    keys = {r["l"]: set(r["keys"]) for r in lines.band_keys(table).join(table, ["h1", "h2"]).collect()}
+    root = groups(made, lambda a, b: keys[a.strip()] & keys[b.strip()] and jaccard(a.strip(), b.strip()) >= lines.SIMILAR)
+    met = []
+    monkeypatch.setattr(lines, "_postings", lambda crowd, *a, own=lines._postings: met.append(crowd.count()) or own(crowd, *a))
+    got = {r["doc_id"]: r["removed"][0]["keeper_doc"] for r in lines.line_report(df, work=work).collect() if r["removed"]}
+    assert got == {i: k for i, k in enumerate(root) if i != k}
+    assert bool(met) == (work < lines.WORK)
+
+
 def test_line_dedup_leaves_one_table(spark):
     """What is written on the way, with the lines' texts, is dropped; the removed lines stay to be read."""
     df = spark.createDataFrame([(i, f"the same line of this document\nown line number {i}", "en", "s", 0) for i in range(8)], DOC)
