@@ -25,8 +25,6 @@ SIMILAR = 0.8
 STEP = 8
 CELL = 1024
 HEAD = 16
-#: Lines times characters of a bucket whose lines are compared where they are: about a second's work.
-WORK = 1 << 25
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -146,35 +144,6 @@ def _labelled(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("label", F.coalesce("label", F.struct("h1", "h2")))
 
 
-def _bucket_links(crowd: DataFrame, plain: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """Links between lines of ``crowd`` (h1, h2, keys, label, l) that share a bucket of ``plain`` (key) and have two labels.
-
-    A bucket is one row, each line's shingle set is made once in it, and sets whose sizes are too far
-    apart for ``similar`` are not compared. A pair is made in the first bucket that its lines share; if
-    that is not one of ``plain``, the pair is left to those who compare that bucket.
-    """
-    rows = crowd.select("h1", "h2", "label", "keys", "l", F.explode("keys").alias("key"))
-    rows = salted_lookup(rows, plain, ["key"], F.col("h1"), "inner", selective=True).repartition("key")
-    sets = _shingle_sets(rows, ["h1", "h2", "label", "keys", "key"], {"l": "has"}, shingle)
-    side = F.struct("h1", "h2", "label", "keys", F.size("has").alias("size"), "has")
-    groups = sets.groupBy("key").agg(F.collect_list(side).alias("all"))
-    groups = groups.select("key", "all", F.explode("all").alias("p"))
-    key, p = F.col("key"), F.col("p")
-
-    def near(q: Column) -> Column:
-        first = F.get(F.filter(p["keys"], lambda k: F.array_contains(q["keys"], k)), F.lit(0))
-        return (q["label"] != p["label"]) & (_pair(p) < _pair(q)) & (F.least(p["size"], q["size"]) >= F.greatest(p["size"], q["size"]) * similar - 1e-9) & (first == key)
-
-    met = groups.select("p", F.explode(F.filter("all", near)).alias("q"))
-    sizes = F.struct(F.size(F.array_intersect("p.has", "q.has")).alias("n"), (F.col("p.size") + F.col("q.size")).alias("all"))
-    good = met.select(_pair(p).alias("a"), _pair(F.col("q")).alias("b"), held(sizes).alias("_x"))
-    return good.where(F.col("_x.n") >= similar * (F.col("_x.all") - F.col("_x.n"))).select("a", "b")
-
-
-def _pair(line: Column) -> Column:
-    return F.struct(line["h1"].alias("h1"), line["h2"].alias("h2"))
-
-
 def _postings(crowd: DataFrame, lines: DataFrame, similar: float, shingle: int) -> DataFrame:
     """Each line of ``crowd`` (h1, h2, keys) at the rarest of its shingles: ``s``, its place ``at`` and their number ``size``.
 
@@ -242,15 +211,14 @@ def _posting_pairs(posts: DataFrame, similar: float, cell: int, star: bool) -> D
     return _posting_hits(posts, similar, cell, star).distinct()
 
 
-def line_groups(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, work: int = WORK) -> DataFrame:
+def line_groups(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, cell: int = CELL) -> DataFrame:
     """``h1``, ``h2`` and the component's ``label`` of every line linked to one whose shingle set reaches ``similar``.
 
     Lines that share a band's key are candidates, and the components are those of the links of all
     such pairs. Each member of a bucket first meets its least and greatest line, in every band; up
-    to three members that is every pair. Members of a larger bucket that are then still in more than
-    one component meet there, if its lines times its characters are at most ``work``; those of the others
-    meet where they share one of their rarest shingles, as any two with ``similar`` do. Pairs already
-    in one component are left out. Every link is verified on the whole lines. A
+    to three members that is every pair. Members of larger buckets that are then still in more than
+    one component meet where they share one of their rarest shingles, as any two with ``similar``
+    do; pairs already in one component are left out. Every link is verified on the whole lines. A
     pair of similarity 0.8 shares a band with probability 0.986 (0.9: 0.9996).
     """
     keyed = written(band_keys(lines, shingle, bands, rows), "bands")
@@ -267,17 +235,11 @@ def line_groups(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHING
     if not crowded.limit(1).count():
         return _linked(links)
     groups = written(_linked(links), "groups")
-    crowd = _crowd(crowded, groups)
-    crowd = written(crowd.join(lines.select("h1", "h2", "l"), ["h1", "h2"]), "crowd")
-    sizes = crowd.select(F.explode("keys").alias("key"), F.length("l").cast("long").alias("n")).groupBy("key").agg((F.count(F.lit(1)) * F.sum("n") <= work).alias("plain"))
-    sizes = written(sizes, "buckets")
-    groups = _regrouped(groups, written(_bucket_links(crowd, sizes.where("plain").select("key"), similar, shingle), "links"))
-    if not sizes.where("not plain").limit(1).count():
-        return groups
-    crowded = crowd.select("h1", "h2", F.explode("keys").alias("key"))
-    crowded = salted_lookup(crowded, sizes.where("not plain").select("key"), ["key"], F.col("h1"), "inner", selective=True)
-    texts = crowd
-    crowd = written(_crowd(written(crowded, "crowded"), groups).drop("label"), "crowd")
+    crowded = written(_labelled(crowded, groups, "key"), "crowded")
+    mixed = crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    crowd = salted_lookup(crowded, written(mixed, "mixed"), ["key"], F.col("h1"), "inner", selective=True)
+    crowd = written(crowd.groupBy("h1", "h2").agg(F.collect_list("key").alias("keys")), "crowd")
+    texts = written(lines.select("h1", "h2", "l").join(by_key(crowd.select("h1", "h2")), ["h1", "h2"]), "texts")
     posts = _postings(crowd, texts, similar, shingle)
     for star in (True, False):
         found = written(_verified(_posting_pairs(_labelled(posts, groups, "s"), similar, cell, star), texts, similar, shingle), "links")
@@ -285,14 +247,6 @@ def line_groups(lines: DataFrame, similar: float = SIMILAR, shingle: int = SHING
     return groups
 
 
-def _crowd(crowded: DataFrame, groups: DataFrame) -> DataFrame:
-    """Lines of ``crowded`` (h1, h2, key) in buckets that hold two labels: ``h1``, ``h2``, those ``keys`` in order and ``label``."""
-    crowded = written(_labelled(crowded, groups, "key"), "crowded")
-    mixed = crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    crowd = salted_lookup(crowded, written(mixed, "mixed"), ["key"], F.col("h1"), "inner", selective=True)
-    return crowd.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.first("label").alias("label"))
-
-
 def removed_lines(documents: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``k`` and ``removed``: (line, keeper_doc, keeper_line) of every line that goes."""
     lines = distinct_lines(documents)

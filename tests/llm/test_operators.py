@@ -276,26 +276,22 @@ def test_line_dedup_in_a_crowd(spark, cell):
     assert got == {i: k for i, k in enumerate(root) if i != k}
 
 
-@pytest.mark.parametrize("work", [0, 100_000, lines.WORK])
-def test_line_dedup_compares_small_buckets_in_place(spark, monkeypatch, work):
-    """Buckets within ``work`` need no postings, larger ones do; links are the same either way."""
+def test_line_groups_take_new_links_without_starting_anew(spark, monkeypatch):
+    """Only groups that a new link joins are gone through again; labels are those of all links together."""
     rng = random.Random(41)
-    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    made = []
-    for families in (4, 40):
-        head = some(310)
-        made += [head + kin + some(36) for kin in (some(32) for _ in range(families)) for _ in range(2)]
-    made += [some(120) for _ in range(5)] + ["same " * 40, "same " * 50, "same " * 60, "same " * 70]
-    rng.shuffle(made)
-    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(made)], DOC)
-    table = lines.distinct_lines(df)
-    keys = {r["l"]: set(r["keys"]) for r in lines.band_keys(table).join(table, ["h1", "h2"]).collect()}
-    root = groups(made, lambda a, b: keys[a.strip()] & keys[b.strip()] and jaccard(a.strip(), b.strip()) >= lines.SIMILAR)
-    met = []
-    monkeypatch.setattr(lines, "_postings", lambda crowd, *a, own=lines._postings: met.append(crowd.count()) or own(crowd, *a))
-    got = {r["doc_id"]: r["removed"][0]["keeper_doc"] for r in lines.line_report(df, work=work).collect() if r["removed"]}
-    assert got == {i: k for i, k in enumerate(root) if i != k}
-    assert bool(met) == (work < lines.WORK)
+    line = lambda i: (i, -i)
+    made = [tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)]
+    shape = "a struct<h1:bigint,h2:bigint>, b struct<h1:bigint,h2:bigint>"
+    table = lambda links: spark.createDataFrame([(line(a), line(b)) for a, b in links], shape)
+    whole = {(r.h1, r.h2, tuple(r.label)) for r in lines._linked(table(made)).collect()}
+    first = lines._linked(table(made[:30]))
+    seen = []
+    monkeypatch.setattr(lines, "components", lambda nodes, edges, own=lines.components: seen.append(nodes.count()) or own(nodes, edges))
+    got = lines._regrouped(first, table(made[30:]))
+    assert {(r.h1, r.h2, tuple(r.label)) for r in got.collect()} == whole
+    assert got.count() == len(whole)
+    assert seen[0] < len(whole) / 2
+    assert {(r.h1, r.h2, tuple(r.label)) for r in lines._regrouped(got, table(made).limit(0)).collect()} == whole
 
 
 def test_line_dedup_leaves_one_table(spark):
